@@ -37,6 +37,15 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_toxicity(spark, sf_dir):
+    from sinoplan.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit_toxicity(docs.filter(~held_out), labels.filter(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits", "n_quoted")
+
+
 def op5_language(spark, sf_dir):
     from sinoplan.llm.langid import fit_languages, identify
 
