@@ -31,6 +31,12 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op2_decontaminate(spark, sf_dir):
+    from sinoplan.llm.decontam import find_contamination
+
+    return find_contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark, sf_dir):
     from sinoplan.llm.tokens import token_counts
 
@@ -56,6 +62,29 @@ def op5_language(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from sinoplan.llm.nearcopies import jaccard_join
+
+    return jaccard_join(common.table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_jaccard_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws, coalesce(text, '') AS text FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [chr(1) || text] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w
+), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s
+), j AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, j.y FROM r JOIN j ON r.y = j.x
+), k AS (SELECT doc_id, count(*) OVER (PARTITION BY list_sort(g)) AS copies FROM s)
+SELECT k.doc_id, (SELECT min(y) FROM r WHERE r.x = k.doc_id) AS class_id,
+  (SELECT count(*) FROM j WHERE j.x = k.doc_id) AS n_links, k.copies FROM k
+"""
+
+
 def op9_bpe(spark, sf_dir):
     from sinoplan.llm.bpe import bpe_encode
 
