@@ -62,6 +62,12 @@ def op5_language(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op7_repeats(spark, sf_dir):
+    from sinoplan.llm.repeats import remove_repeats
+
+    return remove_repeats(common.table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_jaccard_join(spark, sf_dir):
     from sinoplan.llm.nearcopies import jaccard_join
 
