@@ -62,6 +62,12 @@ def op5_language(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_main_text(spark, sf_dir):
+    from sinoplan.llm.wrapper import extract_main_text
+
+    return extract_main_text(common.table(spark, sf_dir, "pages"))
+
+
 def op7_repeats(spark, sf_dir):
     from sinoplan.llm.repeats import remove_repeats
 
