@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sinoplan.plans import preprocessing  # noqa: F401
+from sinoplan.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict:
