@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sinoplan.plans import geometry, metrics, preprocessing, statistics  # noqa: F401
+from sinoplan.plans import geometry, metrics, ordered, preprocessing, statistics  # noqa: F401
 from sinoplan.plans.registry import ORACLES, QUERIES
 
 
