@@ -130,7 +130,7 @@ def slice_plan(spark, sf_dir):
 _MATRIX = f"""WITH @STACK, {_RAYS}, {_BOX}, h AS (SELECT vec_id, ox, oy, oz, dx, dy, dz, greatest(lo, 0) AS t0, hi AS t1 FROM b WHERE hi > lo AND hi > 0),
 pt AS (SELECT vec_id, (t1 - t0) / 8 AS dt, (ox + (t0 + (i + 0.5) * (t1 - t0) / 8) * dx) / 0.25 + 3.5 AS x, (oy + (t0 + (i + 0.5) * (t1 - t0) / 8) * dy) / 0.25 + 3.5 AS y, (oz + (t0 + (i + 0.5) * (t1 - t0) / 8) * dz) / 0.25 + 3.5 AS z FROM h, range(8) u(i)),
 co AS (SELECT vec_id, dt, (floor(x) + p)::INT AS i, (floor(y) + q)::INT AS j, (floor(z) + o)::INT AS l, abs(1 - p - (x - floor(x))) * abs(1 - q - (y - floor(y))) * abs(1 - o - (z - floor(z))) AS w FROM pt, range(2) a1(p), range(2) a2(q), range(2) a3(o)),
-mx AS (SELECT vec_id, i, j, l, sum(w * dt) AS w FROM co WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND l BETWEEN 0 AND 7 GROUP BY ALL), vx AS (SELECT k AS i, b AS j, a AS l, abs(v) AS mu FROM s WHERE k < 8 AND b < 8 AND a < 8)"""
+mx AS (SELECT vec_id, i, j, l, sum(w * dt) AS w FROM co WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND l BETWEEN 0 AND 7 GROUP BY ALL), vx AS (SELECT k % 8 AS i, b % 8 AS j, a // 8 AS l, avg(abs(v)) AS mu FROM s GROUP BY ALL)"""
 
 
 def matrix(spark, sf_dir):
@@ -140,8 +140,9 @@ def matrix(spark, sf_dir):
 
 
 def phantom(spark, sf_dir):
-    """The corner of the stack as a volume of non-negative values."""
-    return stack(spark, sf_dir).filter("k < 8 AND b < 8 AND a < 8").select(F.col("k").alias("i"), F.col("b").alias("j"), F.col("a").alias("l"), F.abs("v").alias("mu"))
+    """The whole stack folded into a volume of non-negative means."""
+    s = stack(spark, sf_dir)
+    return s.groupBy((F.col("k") % 8).alias("i"), (F.col("b") % 8).alias("j"), F.floor(F.col("a") / 8).cast("int").alias("l")).agg(F.avg(F.abs("v")).alias("mu"))
 
 
 @query(_MATRIX + " SELECT vec_id, round(sum(w * mu), 6) + 0.0 AS p, round(sum(w), 6) + 0.0 AS chord FROM mx JOIN vx USING (i, j, l) GROUP BY vec_id")
@@ -228,12 +229,12 @@ def backproject(spark, sf_dir):
     return pro.backproject(vox, pix, angles, 50.0, 80.0, 0.2, 31.5, 15.5).withColumn("bp", r6(F.col("bp")))
 
 
-@query("""WITH @STACK, n AS (SELECT max(b) AS nb, max(a) AS na FROM s), q AS (SELECT k, b, a, least(greatest(b + 0.3, 0), nb) AS pb, least(greatest(a - 0.6, 0), na) AS pa FROM s, n WHERE k < 4),
+@query("""WITH @STACK, n AS (SELECT max(b) AS nb, max(a) AS na FROM s), q AS (SELECT k, b, a, least(greatest(b + 0.3, 0), nb) AS pb, least(greatest(a - 0.6, 0), na) AS pa FROM s, n),
 c AS (SELECT k, b, a, (floor(pb) + p)::INT AS b2, (floor(pa) + o)::INT AS a2, abs(1 - p - (pb - floor(pb))) * abs(1 - o - (pa - floor(pa))) AS w FROM q, range(2) r1(p), range(2) r2(o))
 SELECT c.k AS i, c.b AS j, c.a AS l, round(sum(w * coalesce(v, 0)), 6) + 0.0 AS mu FROM c LEFT JOIN s ON s.k = c.k AND s.b = c.b2 AND s.a = c.a2 GROUP BY c.k, c.b, c.a""")
 def volume_shift(spark, sf_dir):
     """A linear shift by parts of a voxel, the edge repeated."""
-    vox = stack(spark, sf_dir).filter("k < 4").select(F.col("k").alias("i"), F.col("b").alias("j"), F.col("a").alias("l"), F.col("v").alias("mu"))
+    vox = stack(spark, sf_dir).select(F.col("k").alias("i"), F.col("b").alias("j"), F.col("a").alias("l"), F.col("v").alias("mu"))
     return pro.shift(vox, {"i": 0.0, "j": 0.3, "l": -0.6}).withColumn("mu", r6(F.col("mu")))
 
 
