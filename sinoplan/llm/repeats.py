@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 #: Length of the strings that count as repeats, and of the grams that lead to them.
 REPEAT, GRAM = 100, 48
-#: Starts of strings in one region at most.
-MOST_STARTS = 48
+#: Starts of strings in one region at most: as many as one gram can be the least of.
+MOST_STARTS = REPEAT - GRAM + 1
 #: Bytes that a group may hold: of texts, of anchors, and of suffixes laid out for sorting.
-TEXT_BYTES, ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 16 << 20, 24 << 20
+TEXT_BYTES, ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 14 << 20, 12 << 20
 #: Bytes of text hashed together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _ANCHOR = np.dtype([("gram", "<u8"), ("region", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
 _OWNER = np.dtype([("order", "<i8"), ("row", "<i8")])
@@ -222,8 +222,9 @@ def _cut(n_shards: int):
 
     def run(key, texts, asked):
         out = {"shard": [], "blob": [], "more": []}
-        if asked.num_rows:
-            asks = np.concatenate([np.frombuffer(x.as_py(), _ASK) for x in asked["blob"]])
+        blobs = [x.as_py() for x, ask in zip(asked["blob"], asked["ask"], strict=True) if ask.as_py()]
+        if blobs:
+            asks = np.frombuffer(b"".join(blobs), _ASK)
             asks = asks[np.argsort(asks["row"], kind="stable")]
             place = {r: i for i, r in enumerate(texts["row"].to_pylist())}
             bounds = np.flatnonzero(np.concatenate([[True], asks["row"][1:] != asks["row"][:-1], [True]]))
@@ -249,62 +250,93 @@ def _cut(n_shards: int):
     return run
 
 
-def maximal_repeats(suffix: np.ndarray, size: np.ndarray, before: np.ndarray, inner: np.ndarray, shortest: int):
-    """Scan the enhanced suffix array of some suffixes for maximal repeats.
-
-    ``suffix``: their bytes, one row each, zeros beyond ``size``; ``before``: the byte left of each (-1:
-    none); ``inner``: whether the suffix one to the left is among them. Yields (length, members) of
-    each common-prefix interval of at least ``shortest`` bytes, with all its members, unless every
-    member can be extended to the left by the same byte: then the interval of those extensions, one
-    longer, says the same.
-    """
+def suffix_array(suffix: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes (their bytes, one row each, zeros beyond ``size``), and the common prefix of neighbours."""
     width = suffix.shape[1]
     rank = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
     common = np.empty(max(len(rank) - 1, 0), np.int64)
-    for at in range(0, len(common), 8192):
-        part = rank[at : at + 8193]
+    for at in range(0, len(common), 4096):
+        part = rank[at : at + 4097]
         rows = suffix[part]
         differ = rows[1:] != rows[:-1]
-        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        common[at : at + 8192] = np.minimum(shared, np.minimum(size[part[1:]], size[part[:-1]]))
+        first = differ.argmax(axis=1)
+        shared = np.where(differ[np.arange(len(differ)), first], first, width)
+        common[at : at + 4096] = np.minimum(shared, np.minimum(size[part[1:]], size[part[:-1]]))
+    return rank, common
+
+
+def maximal_repeats(rank: np.ndarray, common: np.ndarray, before: np.ndarray, inner: np.ndarray, shortest: int):
+    """Scan an enhanced suffix array for maximal repeats of at least ``shortest`` bytes.
+
+    ``before``: the byte left of each suffix (-1: none); ``inner``: whether the suffix one to the left is
+    among them. A common-prefix interval is a repeat with all its members. It is left out if every
+    member can be extended to the left by the same byte: the interval of those extensions, one
+    longer, says the same. Returns the intervals in which no other lies (begins, ends, lengths:
+    places in ``rank``, end included), and an iterator (length, begin, end) over the trees of others.
+    """
     near = np.concatenate([[False], common >= shortest, [False]])
     begins, ends = np.flatnonzero(near[1:] & ~near[:-1]), np.flatnonzero(~near[1:] & near[:-1])
     if not len(begins):
-        return
-    # Intervals that every member extends to the left alike, all at once.
+        return begins, ends, begins, iter(())
     edges = np.stack([begins, ends + 1], axis=1).ravel()
-    pad = lambda x: np.append(x[rank], x[rank[-1]])
-    same = np.minimum.reduceat(pad(before), edges)[::2] == np.maximum.reduceat(pad(before), edges)[::2]
-    alike = same & np.minimum.reduceat(pad(inner.astype(np.int8)), edges)[::2].astype(bool)
-    for begin, end in zip(begins[~alike].tolist(), ends[~alike].tolist(), strict=True):
-        if (flat := int(common[begin:end].min())) == int(common[begin:end].max()):
-            yield flat, rank[begin : end + 1]
-            continue
-        stack = []
-        for i in range(begin, end + 1):
-            now = int(common[i]) if i < end else 0
-            left = i
-            while stack and stack[-1][0] > now:
-                length, left = stack.pop()
-                members = rank[left : i + 1]
-                some = before[members]
-                if not (inner[members].all() and (some == some[0]).all()):
-                    yield length, members
-            if now >= shortest and (not stack or stack[-1][0] < now):
-                stack.append((now, left))
+    spread = lambda x, f: f.reduceat(np.append(x[rank], x[rank[-1]]), edges)[::2]
+    alike = (spread(before, np.minimum) == spread(before, np.maximum)) & spread(inner.astype(np.int8), np.minimum).astype(bool)
+    begins, ends = begins[~alike], ends[~alike]
+    if not len(begins):
+        return begins, ends, begins, iter(())
+    edges = np.stack([begins, ends], axis=1).ravel()
+    tail = np.append(common, common[-1])
+    low, high = np.minimum.reduceat(tail, edges)[::2], np.maximum.reduceat(tail, edges)[::2]
+    flat = low == high
+
+    def trees():
+        for begin, end in zip(begins[~flat].tolist(), ends[~flat].tolist(), strict=True):
+            stack: list[tuple[int, int]] = []
+            heights = common[begin:end].tolist() + [0]
+            for i, now in enumerate(heights, begin):
+                left = i
+                while stack and stack[-1][0] > now:
+                    length, left = stack.pop()
+                    members = rank[left : i + 1]
+                    some = before[members]
+                    if not ((some == some[0]).all() and inner[members].all()):
+                        yield length, left, i
+                if now >= shortest and (not stack or stack[-1][0] < now):
+                    stack.append((now, left))
+
+    return begins[flat], ends[flat], low[flat], trees()
+
+
+def covered_lengths(rank: np.ndarray, common: np.ndarray, before: np.ndarray, inner: np.ndarray, age: np.ndarray) -> np.ndarray:
+    """For each suffix the length of the longest maximal repeat in which another member is earlier."""
+    covered = np.zeros(len(rank), np.int64)
+    begins, ends, lengths, trees = maximal_repeats(rank, common, before, inner, REPEAT)
+    if len(begins):
+        sizes = ends - begins + 1
+        at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        ages = age[rank[at]]
+        first = np.repeat(np.minimum.reduceat(ages, np.cumsum(sizes) - sizes), sizes)
+        later = ages != first
+        covered[rank[at[later]]] = np.repeat(lengths, sizes)[later]
+    for length, begin, end in trees:
+        members = rank[begin : end + 1]
+        ages = age[members]
+        later = members[ages != ages.min()]
+        covered[later] = np.maximum(covered[later], length)
+    return covered
 
 
 def _scan(n_buckets: int):
     """Stage 4: the suffix array of a shard; in each maximal repeat all members but the first are covered."""
 
     def run(key, table):
-        rows = np.concatenate([np.frombuffer(x.as_py(), _SUFFIXES) for x in table["blob"]])
+        rows = np.frombuffer(b"".join(x.as_py() for x in table["blob"]), _SUFFIXES)
         data = np.frombuffer(b"".join(x.as_py() for x in table["more"]), np.uint8)
         n = rows["n"].astype(np.int64)
         reach = n + REPEAT - 1
         offset = np.cumsum(reach) - reach
         by = np.argsort(rows["gram"], kind="stable")
-        found = []
+        spans = []
         # Equal strings have equal anchors: anchors are scanned in runs that fit the memory.
         cost = np.cumsum(n[by])
         new = np.flatnonzero(np.concatenate([[True], rows["gram"][by][1:] != rows["gram"][by][:-1]]))
@@ -315,32 +347,41 @@ def _scan(n_buckets: int):
                 base = cost[a - 1]
         for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
             part = by[a:b]
-            each = np.repeat(part, n[part])
+            width = int(reach[part].max())
+            # Each region with zeros after it; bytes of UTF-8 stay below 255, so that one can be added.
+            step = reach[part] + width
+            place = np.cumsum(step) - step
+            line = np.zeros(int(step.sum()), np.uint8)
+            copy = np.arange(int(reach[part].sum())) - np.repeat(np.cumsum(reach[part]) - reach[part], reach[part])
+            line[np.repeat(place, reach[part]) + copy] = data[np.repeat(offset[part], reach[part]) + copy] + np.uint8(1)
+            each = np.repeat(np.arange(len(part)), n[part])
             inner = np.arange(len(each)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-            size = reach[each] - inner
-            width = int(size.max())
-            at = offset[each] + inner
-            # Bytes of UTF-8 stay below 255, so that zero can stand for the end.
-            suffix = np.zeros((len(each), width), np.uint8)
-            padded = np.concatenate([data, np.zeros(width, np.uint8)])
-            for k in range(0, len(each), 16384):
-                block = padded[at[k : k + 16384, None] + np.arange(width)] + np.uint8(1)
-                block[np.arange(width) >= size[k : k + 16384, None]] = 0
-                suffix[k : k + 16384] = block
-            before = np.where(inner > 0, data[np.maximum(at - 1, 0)].astype(np.int16), rows["before"][each])
-            order, start, row = rows["order"][each], rows["start"][each].astype(np.int64) + inner, rows["row"][each]
-            for length, members in maximal_repeats(suffix, size, before, inner > 0, REPEAT):
-                lead = order[members]
-                first = lead.min()
-                place = start[members]
-                first_at = place[lead == first].min()
-                later = members[(lead != first) | (place != first_at)]
-                spans = np.empty(len(later), _SPAN)
-                spans["row"], spans["start"], spans["size"] = row[later], start[later], length
-                found.append(spans)
-        spans = np.unique(np.concatenate(found)) if found else np.empty(0, _SPAN)
+            suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(line, width)[place[each] + inner])
+            of = part[each]
+            before = np.where(inner > 0, line[np.maximum(place[each] + inner - 1, 0)].astype(np.int16) - 1, rows["before"][of])
+            order, start, row = rows["order"][of], rows["start"][of].astype(np.int64) + inner, rows["row"][of]
+            sorted_by = np.lexsort((start, order))
+            step = (np.diff(order[sorted_by]) != 0) | (np.diff(start[sorted_by]) != 0)
+            age = np.empty(len(of), np.int64)
+            age[sorted_by] = np.concatenate([[0], np.cumsum(step)])
+            covered = covered_lengths(*suffix_array(suffix, reach[part][each] - inner), before, inner > 0, age)
+            hit = np.flatnonzero(covered)
+            hit = hit[np.lexsort((start[hit], row[hit]))]
+            if len(hit):  # spans of a text that touch become one
+                begin, end = start[hit], start[hit] + covered[hit]
+                head = np.concatenate([[True], row[hit][1:] != row[hit][:-1]])
+                # Running ends within a text: texts are set far apart on one line.
+                far = (np.cumsum(head) - 1) * (1 << 34)
+                top = np.maximum.accumulate(end + far)
+                head[1:] |= (begin + far)[1:] > top[:-1]
+                heads = np.flatnonzero(head)
+                last = np.append(heads[1:] - 1, len(hit) - 1)
+                out = np.empty(len(heads), _SPAN)
+                out["row"], out["start"], out["size"] = row[hit][heads], begin[heads], (top - far)[last] - begin[heads]
+                spans.append(out)
+        told = np.concatenate(spans) if spans else np.empty(0, _SPAN)
         out = {"bucket": [], "ask": [], "blob": []}
-        for bucket, some in _packed(np.mod(spans["row"], n_buckets), n_buckets, spans):
+        for bucket, some in _packed(np.mod(told["row"], n_buckets), n_buckets, told):
             out["bucket"].append(bucket)
             out["ask"].append(False)
             out["blob"].append(some.tobytes())
@@ -365,7 +406,7 @@ def _apply(carried: list[str], schema: T.StructType, digest: bool):
     """Stage 5: what is left of each text of a bucket."""
 
     def run(key, texts, told):
-        spans = np.concatenate([np.frombuffer(x.as_py(), _SPAN) for x in told["blob"]]) if told.num_rows else np.empty(0, _SPAN)
+        spans = np.frombuffer(b"".join(x.as_py() for x, ask in zip(told["blob"], told["ask"], strict=True) if not ask.as_py()), _SPAN)
         spans = spans[np.argsort(spans["row"], kind="stable")]
         rows = texts["row"].to_numpy()
         begin, end = np.searchsorted(spans["row"], rows), np.searchsorted(spans["row"], rows, "right")
@@ -418,17 +459,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-total // TEXT_BYTES))
     anchor_shards = max(1, -(-(total // 28 * _ANCHOR.itemsize) // ANCHOR_BYTES))
-    suffix_shards = 4 * anchor_shards
+    suffix_shards = max(1, -(-total // (24 * TEXT_BYTES // 4)))
     tasks = lambda n: max(1, min(n, 1 << 15))
 
     placed = texts.withColumn("bucket", F.pmod("row", F.lit(buckets)).cast("int")).repartition(tasks(buckets), "bucket")
     blobs = texts.select("doc_id", "row", "text").mapInArrow(_anchor_blobs(anchor_shards), "shard int, blob binary, more binary")
     judged = blobs.repartition(tasks(anchor_shards), "shard").groupBy("shard").applyInArrow(_judge(buckets), "bucket int, ask boolean, blob binary")
     told = judged.repartition(tasks(buckets), "bucket")
-    asked = told.filter("ask")
-    cut = placed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_cut(suffix_shards), "shard int, blob binary, more binary")
+    # What is asked for and what is settled go the same way, so that the shuffle is made once and read twice.
+    cut = placed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_cut(suffix_shards), "shard int, blob binary, more binary")
     scanned = cut.repartition(tasks(suffix_shards), "shard").groupBy("shard").applyInArrow(_scan(buckets), "bucket int, ask boolean, blob binary")
-    spans = told.filter("NOT ask").unionByName(scanned.repartition(tasks(buckets), "bucket"))
+    spans = told.unionByName(scanned.repartition(tasks(buckets), "bucket"))
     return placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_apply(carried, schema, digest), schema)
 
 

@@ -224,7 +224,10 @@ def test_maximal_repeats_are_all_found():
             inner.append(s > 0)
             where.append((d, s))
     table = np.frombuffer(b"".join(suffix), np.uint8).reshape(-1, 9)
-    found = {(n, frozenset(where[m] for m in members)) for n, members in repeats.maximal_repeats(table, np.array(size), np.array(before), np.array(inner), 3)}
+    rank, common = repeats.suffix_array(table, np.array(size))
+    begins, ends, lengths, trees = repeats.maximal_repeats(rank, common, np.array(before), np.array(inner), 3)
+    every = [*zip(lengths.tolist(), begins.tolist(), ends.tolist(), strict=True), *trees]
+    found = {(n, frozenset(where[m] for m in rank[a : b + 1])) for n, a, b in every}
     assert (7, frozenset({(0, 1), (1, 1)})) in found
     assert (3, frozenset({(0, 1), (0, 4), (1, 1), (1, 4), (2, 1)})) in found or (4, frozenset({(0, 1), (0, 4), (1, 1), (1, 4)})) in found
 
