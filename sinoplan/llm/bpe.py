@@ -22,9 +22,9 @@ from sinoplan.llm.tokens import MARKS, PIECES, chunks
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of pieces whose ids a worker remembers; the longest piece it remembers.
-MEMORY_BYTES, LONG_PIECE = 150 << 20, 256
+MEMORY_BYTES, LONG_PIECE = 48 << 20, 256
 #: Entries of the table of pairs already judged.
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:

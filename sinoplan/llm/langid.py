@@ -27,7 +27,7 @@ WEIGHT, MOST = 0.35, 8.0
 #: A script belongs to a language if it holds this share of the language's letters.
 SCRIPT_SHARE = 0.02
 #: Characters of text whose words go through Viterbi together, and words a worker remembers.
-BATCH_CHARS, KNOWN_WORDS = 12 << 20, 400_000
+BATCH_CHARS, KNOWN_WORDS = 8 << 20, 120_000
 #: With fewer texts than this still running, Viterbi goes text by text.
 FEW = 12
 

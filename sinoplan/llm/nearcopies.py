@@ -21,7 +21,7 @@ HASHES, BAND_ROWS, BANDS = 192, 8, 80
 #: What a task that verifies may hold: bytes of n-gram sets of one block, and texts of one block.
 BLOCK_BYTES, BLOCK_TEXTS = 24 << 20, 4096
 #: Words that a worker remembers the hash of.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 120_000
 
 WORDS = re.compile(r"\w+")
 

@@ -402,7 +402,7 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[heads].tolist(), end[np.append(heads[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
-def _apply(carried: list[str], schema: T.StructType, digest: bool):
+def _apply(carried: list[str], schema: T.StructType, digest: bool, decoded: bool):
     """Stage 5: what is left of each text of a bucket."""
 
     def run(key, texts, told):
@@ -423,14 +423,14 @@ def _apply(carried: list[str], schema: T.StructType, digest: bool):
             out[1].append(len(text) - len(rest))
             out[2].append(len(runs))
             out[3].append(hashlib.sha256(rest).hexdigest() if digest else [{"begin": a, "end": b} for a, b in runs])
-            out[4].append(rest)
-        last = [pa.array(out[3], pa.string())] if digest else [pa.array(out[3], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(out[4], pa.binary())]
+            out[4].append(rest.decode("utf-8", "ignore") if decoded else rest)
+        last = [pa.array(out[3], pa.string())] if digest else [pa.array(out[3], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(out[4], pa.string() if decoded else pa.binary())]
         return pa.table([texts["doc_id"], *(pa.array(x, pa.int64()) for x in out[:3]), *last, *(texts[c] for c in carried)], names=schema.names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: str | None = None, decoded: bool = False) -> DataFrame:
     """Remove each byte covered by a 100-byte string that also starts earlier.
 
     Texts are taken as UTF-8 (null: empty); strings do not cross texts; earlier means in a smaller id,
@@ -445,14 +445,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        but the earliest are covered. 5. The covered runs are taken out of the texts.
 
     Result: id, n_bytes, n_removed, n_spans (maximal removed runs), and kept_sha256 with ``digest``, or
-    else spans (begin, end: bytes) and kept (the bytes left). A null id counts as smaller than all;
+    else spans (begin, end: bytes) and kept (the bytes left; with ``decoded`` as text, what a cut leaves of a
+    character dropped). A null id counts as smaller than all;
     rows that share an id count as one document, so that a repeated row removes nothing of its
     like at the same place, but all that is equal at a later one. An empty table gives no rows.
     Ids must be integers. Columns besides the two named are not read, but for ``carry``, one column
     that is handed on.
     """
     carried = [carry] if carry else []
-    last = [T.StructField("kept_sha256", T.StringType())] if digest else [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]
+    last = [T.StructField("kept_sha256", T.StringType())] if digest else [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if decoded else T.BinaryType())]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), *last, *(docs.schema[c] for c in carried)])
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *carried)
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -470,7 +471,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = placed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_cut(suffix_shards), "shard int, blob binary, more binary")
     scanned = cut.repartition(tasks(suffix_shards), "shard").groupBy("shard").applyInArrow(_scan(buckets), "bucket int, ask boolean, blob binary")
     spans = told.unionByName(scanned.repartition(tasks(buckets), "bucket"))
-    return placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_apply(carried, schema, digest), schema)
+    return placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_apply(carried, schema, digest, decoded), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -481,16 +482,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     whole = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in names if c != "text"), F.col("text").isNull().alias("__null")))
-    found = remove_repeats(whole, carry="__row")
-
-    def decode(batches):
-        for batch in batches:
-            kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), kept], names=["__row", "text"])
-
-    schema = T.StructType([whole.schema["__row"], T.StructField("text", T.StringType())])
-    rows = found.select("__row", "kept").mapInArrow(decode, schema)
-    text = F.when(~F.col("__row.__null"), F.col("text"))
+    # The texts are made in the worker that cuts them: a second one beside it would double the memory.
+    rows = remove_repeats(whole, carry="__row", decoded=True)
+    text = F.when(~F.col("__row.__null"), F.col("kept"))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     columns = {c: F.col(f"__row.`{c}`") for c in names if c != "text"} | {"text": text}
     if "n_chars" in columns:

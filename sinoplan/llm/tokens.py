@@ -26,7 +26,7 @@ BATCH_BYTES = 1 << 18
 #: Bytes of text looked at together in a worker.
 CHUNK_BYTES = 1 << 20
 #: Bytes of pieces whose counts a worker remembers.
-MEMORY_BYTES = 120 << 20
+MEMORY_BYTES = 80 << 20
 
 
 class LibraryCounter:

@@ -29,7 +29,7 @@ FUZZY_FROM, FUZZY_SHARE = 5, 0.05
 #: Words to either side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Words that a worker remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 
 TOKENS = re.compile(r"[\"“”„«»‘’]|\w+")
 QUOTES = frozenset("\"“”„«»‘’")
