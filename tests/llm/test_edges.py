@@ -339,6 +339,33 @@ def test_pages_by_alignment_and_odd_pages(spark):
     assert wrapper.extract_main_text(df.limit(0)).count() == 0
 
 
+def article(*blocks):
+    return "<html><body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body></html>"
+
+
+def prose(seed, n):
+    import random
+
+    draw = random.Random(seed)
+    return [" ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(12)) for _ in range(n)]
+
+
+def main_text(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrapper.extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_near_copies_of_an_article_are_no_template(spark):
+    blocks = prose(1, 6)
+    copies = [[f"on day {i}", *blocks] for i in range(12)]
+    assert main_text(spark, [article(*b) for b in copies]) == ["\n".join(b) for b in copies]
+    # A large host, whichever page is its wrapper: three copies of a long article, and short ones.
+    some = [[f"on day {i}", *prose(2, 30)] for i in range(3)] + [prose(10 + i, 4) for i in range(9)]
+    for n in range(2):
+        pages = [article(f"run {n}", *b) + f"<!-- {n} -->" for b in some]
+        assert main_text(spark, pages) == ["\n".join(b) for b in some]
+
+
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, "a benchmark item that is long enough to be found in some text of the corpus")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     extra = [(20, "Said: a benchmark item that is long   enough to be FOUND in some text of the corpus, yes", "en", "s", 1), (21, "an honest clean text about the weather in the mountains", "en", "s", 1)]
