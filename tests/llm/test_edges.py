@@ -366,6 +366,14 @@ def test_near_copies_of_an_article_are_no_template(spark):
         assert main_text(spark, pages) == ["\n".join(b) for b in some]
 
 
+def test_alignment_decides_inside_articles_from_two_pages_on(spark):
+    blocks = [prose(30 + i, 3 + i % 2) for i in range(10)]
+    pages = [article("share this story", *b) for b in blocks]
+    for n in (2, 9, 10):
+        assert main_text(spark, pages[:n]) == ["\n".join(b) for b in blocks[:n]]
+    assert main_text(spark, pages[:1] * 3) == ["\n".join(["share this story", *blocks[0]])] * 3
+
+
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, "a benchmark item that is long enough to be found in some text of the corpus")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     extra = [(20, "Said: a benchmark item that is long   enough to be FOUND in some text of the corpus, yes", "en", "s", 1), (21, "an honest clean text about the weather in the mountains", "en", "s", 1)]
