@@ -88,8 +88,8 @@ def digest_of(shingles: np.ndarray, text: str) -> bytes:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Of each row: id, node (the name of its set), size, bands (none for a text without a word)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.BinaryType())])
+    """Of each row: id, node (the name of its set), size, bands (none for a text without a word), columns after the text."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.BinaryType()), *docs.schema.fields[2:]])
 
     def run(batches):
         tool = shingler(words)
@@ -101,7 +101,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                 nodes.append(digest_of(found, text))
                 sizes.append(len(found))
                 bands.append(tool.band_hashes(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary()), *batch.columns[2:]], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -194,7 +194,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class of null ids alone has a null class_id. Repeated rows are copies. An empty table gives no
     rows. Columns besides the two named are not read.
     """
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return _classified(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), words, similarity).drop("class")
+
+
+def _classified(texts: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``jaccard_join`` of (doc_id, text), with a name of each row's class and with the columns after the text."""
+    carried = texts.columns[2:]
     signed = checkpointed(_signatures(texts, words))
     nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("bands").alias("bands")))
     rows = _unpack(nodes)
@@ -212,10 +217,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = connected_components(result.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = result.groupBy("node").agg(F.sum("links").alias("links"))
     first = linked.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = linked.join(first, "root").select("node", "class_id")
+    classes = linked.join(first, "root").select("node", "class_id", F.col("root").alias("class"))
     told = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(classes, "node", "left")
-    told = told.select("node", "copies", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links", "copies")
+    told = told.select("node", "copies", F.coalesce("class", "node").alias("class"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "node", *carried).join(told, "node").select("doc_id", "class_id", "n_links", "copies", "class", *carried)
 
 
 def _fetch(texts: DataFrame, active: DataFrame, words: int) -> DataFrame:
@@ -241,7 +246,12 @@ def _fetch(texts: DataFrame, active: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the smallest id, as it stands. Rows with a null id all stay."""
-    kept = jaccard_join(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    told = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return docs.filter(F.col("doc_id").isNull()).unionByName(told)
+    """One row of each class as it stands: that of the smallest id, null ids last.
+
+    Rows are told apart by their id and text, so several texts under one id, or under none, are
+    decided each by its own class; of rows equal in both one is kept.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    classes = _classified(keyed.select("doc_id", F.col("text").cast("string").alias("text"), "__key"))
+    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key"))
+    return keyed.join(kept.select("__key"), "__key", "left_semi").dropDuplicates(["__key", "doc_id", "text"]).select(docs.columns)

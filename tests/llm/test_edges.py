@@ -144,6 +144,16 @@ def test_near_copies_of_odd_texts(odd, none):
     assert nearcopies.jaccard_join(none).count() == 0
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark, odd, none):
+    ids = lambda df: sorted((str(r["doc_id"]), (r["text"] or "")[:20]) for r in df.collect())
+    kept = ids(nearcopies.keep_one(odd))
+    assert [x for x in kept if x[0] in ("10", "11")] == [("10", "one two three four"), ("11", "another text under t")]
+    assert len([x for x in kept if x[0] == "5"]) == 1 and ("None", "a null id with plain") in kept and len(kept) == 10
+    rows = [(None, "some words that stand twice", None, None, 1)] * 2 + [(None, "One two, three four", None, None, 1), (10, "one two three four", None, None, 1), (7, "a", None, None, 1), (7, "b", None, None, 1)]
+    assert ids(nearcopies.keep_one(docs(spark, rows))) == [("10", "one two three four"), ("7", "a"), ("7", "b"), ("None", "some words that stan")]
+    assert nearcopies.keep_one(none).count() == 0
+
+
 def test_a_large_group_in_blocks_loses_no_link(spark, monkeypatch):
     import random
 
