@@ -115,6 +115,20 @@ class Items:
                 yield item_id, distance, end - next(sizes, 0), end
 
 
+def _passes(benchmark: DataFrame, rate: float, item_id_col: str, item_col: str, block_chars: int):
+    """How many passes a benchmark takes, and a function that sends the items of one to every task."""
+    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_col).cast("string").alias("item")).filter(F.col("item").isNotNull()).distinct()
+    chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+
+    def passed(block: int):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block).orderBy("item_id", "item").collect()
+        plain = [(r["item_id"], normalised(r["item"])) for r in rows]
+        return benchmark.sparkSession.sparkContext.broadcast(Items([(i, t, int(rate * len(t))) for i, t in plain if t]))
+
+    return blocks, passed
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text", block_chars: int = BLOCK_CHARS, carry: str | None = None) -> DataFrame:
     """Benchmark items that whole texts hold, up to an edit distance.
 
@@ -131,18 +145,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERRO
     kept; with an empty table on either side there are no rows. Columns besides those named are not
     read, but for ``carry``, one column that is handed on.
     """
-    spark = docs.sparkSession
     carried = [carry] if carry else []
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_id_col].dataType), T.StructField("distance", T.IntegerType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), *(docs.schema[c] for c in carried)])
-    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_col).cast("string").alias("item")).filter(F.col("item").isNotNull()).distinct()
-    chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    blocks, passed = _passes(benchmark, rate, item_id_col, item_col, block_chars)
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *carried)
 
     def one(block: int) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block).orderBy("item_id", "item").collect()
-        plain = [(r["item_id"], normalised(r["item"])) for r in rows]
-        shared = spark.sparkContext.broadcast(Items([(i, t, int(rate * len(t))) for i, t in plain if t]))
+        shared = passed(block)
 
         def run(batches):
             for batch in batches:
@@ -168,7 +177,25 @@ def batch_kind(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows whose text holds no benchmark item; they are kept as they stand."""
-    found = find_contamination(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.filter(F.col("doc_id").isNull()).unionByName(docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_anti").select(docs.columns))
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows whose text holds no benchmark item; they are kept as they stand.
+
+    Each row is decided by its own text: ids may be null or repeated. Null and blank texts stay.
+    """
+    blocks, passed = _passes(benchmark, rate, "item_id", "text", block_chars)
+    out = docs.withColumn("__searched", F.col("text").cast("string"))
+    schema = out.schema
+
+    def one(rows: DataFrame, block: int) -> DataFrame:
+        shared = passed(block)
+
+        def run(batches):
+            for batch in batches:
+                texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
+                yield batch.filter(pa.array([next(shared.value.search(normalised(x.as_py())), None) is None for x in texts], pa.bool_()))
+
+        return rows.mapInArrow(run, schema)
+
+    for block in range(blocks):
+        out = one(out, block)
+    return out.select(docs.columns)

@@ -283,6 +283,16 @@ def test_contamination_equals_brute_force(spark, odd, none):
     assert decontam.find_contamination(odd, benchmark.limit(0)).count() == 0
 
 
+def test_each_row_is_cleaned_by_its_own_text(spark, none):
+    items = spark.createDataFrame([(1, "a benchmark item that is long enough to be found"), (2, "and another item, of a later pass over the texts")], "item_id long, text string")
+    rows = [(None, "so: a benchmark item that is long enough to be FOUND!", None, None, 1), (None, "clean", "en", "s", 2), (None, None, None, None, None), (3, "see and another item, of a later pass over  the texts", None, None, 1), (3, "clean as well", "en", "s", 3), (3, "clean as well", "en", "s", 3)]
+    want = sorted(map(repr, (tuple(r) for r in rows if r[4] != 1)))
+    for chars in (1 << 20, 50):
+        got = decontam.clean_documents(docs(spark, rows, clash=False), items, block_chars=chars)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    assert decontam.clean_documents(docs(spark, rows), items.limit(0)).count() == len(rows) and decontam.clean_documents(none, items).count() == 0
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     raw = rng.integers(-3, 4, (700, 6)) / 8
