@@ -21,10 +21,10 @@ from sinoplan.llm.repeats import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language go on as they are; those without a letter (und) are rejected."""
+    """Documents with a letter go on as they are, also where no language could be learned; those without are rejected."""
     model = fit_languages(docs)
     rows = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    return identify(rows, model, carry="__row").filter(F.col("lang_pred") != "und").select("__row.*")
+    return identify(rows, model, carry="__row").filter(F.col("letters") > 0).select("__row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     Result: id, lang_pred, score (the share of letters in spans of that language; 0 for ``und``),
     spans (array of begin, end, lang: code points of the text, end exclusive, a span from the first
-    letter of its first word to the last of its last). A text that is null, empty or without a
+    letter of its first word to the last of its last), letters (how many the text has). A text that is null, empty or without a
     letter is ``und`` and has no spans; ties between languages go to the first in order of name.
     Rows are kept as they are: repeated rows give repeated results, a null id stays null, an empty
     table gives no rows. Columns besides the two named are not read, but for ``carry``, one column
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     carried = [carry] if carry else []
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span), *(docs.schema[c] for c in carried)])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span), T.StructField("letters", T.LongType()), *(docs.schema[c] for c in carried)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow_span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -288,7 +288,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     shares.append(float(by[best] / by.sum()))
                     turns = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
                     spans.append(_spans(text, path, turns, names))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, arrow_span), *(batch.column(2).slice(first, len(group)) for _ in carried)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, arrow_span), pa.array([int(x.sum()) for x in letters], pa.int64()), *(batch.column(2).slice(first, len(group)) for _ in carried)], names=schema.names)
                 first += len(group)
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *carried).mapInArrow(run, schema)

@@ -414,3 +414,10 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             assert not {"1", "2", "3", "4"} & set(ids[0]) and {"None", "5", "21"} <= set(ids[0])
             assert ids[1].count("5") == 1 and "6" not in ids[1] and ids[1].count("11") <= 1 and "None" in ids[1]
             assert "20" in ids[2] and "20" not in ids[3] and "21" in ids[4]
+
+
+def test_texts_with_letters_stay_where_no_language_is_known(spark):
+    for lang in (None, "und"):
+        rows = [(i, t, lang, "s", 1) for i, (_, t, *_) in enumerate(ODD)]
+        kept = corpus_pipeline.language_id(spark, docs(spark, rows, clash=False), "").collect()
+        assert sorted(r["doc_id"] for r in kept) == list(range(4, len(ODD)))
