@@ -43,18 +43,27 @@ def ssim_map(pairs: DataFrame, group: list[str], span: Column, p: str = "p", t:
     return m.select(*group, "b", "a", (light * contrast).alias("ssim"), contrast.alias("contrast"))
 
 
-def msssim(pairs: DataFrame, group: list[str], span: Column, scales: int = 2, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)) -> DataFrame:
-    """Multi-scale SSIM: contrast at each scale, SSIM at the last, 2 by 2 means between; means floored at 1e-3."""
-    total = sum(weights[:scales])
+def msssim(pairs: DataFrame, group: list[str], span: Column, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)) -> DataFrame:
+    """Multi-scale SSIM: contrast at each scale, SSIM at the last, 2 by 2 means between; means floored at 1e-3.
+
+    Each group has as many scales, up to one a weight, as leave the window of 11 within its smaller
+    side, one at least; the weights of those add up to one. A side under 11 has no valid place and
+    gives no row.
+    """
+    sides = pairs.groupBy(*group).agg((F.max("b") + 1).alias("__h"), (F.max("a") + 1).alias("__w"))
+    levels = sum((F.when(F.least("__h", "__w") >= 11 * 2**s, 1).otherwise(0) for s in range(1, len(weights))), F.lit(1))
+    now = pairs.select(*group, "b", "a", "p", "t", span.alias("span")).join(sides.withColumn("__levels", levels), group)
+    totals = F.array(*(F.lit(sum(weights[: s + 1])) for s in range(len(weights))))
     out = None
-    now = pairs.select(*group, "b", "a", "p", "t", span.alias("span"))
-    for s in range(scales):
-        found = ssim_map(now, group, F.col("span")).groupBy(*group).agg(F.avg("ssim" if s == scales - 1 else "contrast").alias(f"s{s}"))
-        out = found if out is None else out.join(found, group)
-        size = now.groupBy(*group).agg((F.floor((F.max("b") + 1) / 2) * 2).alias("nb"), (F.floor((F.max("a") + 1) / 2) * 2).alias("na"))
-        now = now.join(size, group).filter("b < nb AND a < na").groupBy(*group, F.floor(F.col("b") / 2).cast("int").alias("b"), F.floor(F.col("a") / 2).cast("int").alias("a")).agg(F.avg("p").alias("p"), F.avg("t").alias("t"), F.first("span").alias("span"))
-    logs = sum((weights[s] / total * F.ln(F.greatest(F.col(f"s{s}"), F.lit(1e-3))) for s in range(scales)), F.lit(0.0))
-    return out.select(*group, F.exp(logs).alias("msssim"))
+    for s, weight in enumerate(weights):
+        if s:
+            within = now.filter(F.col("__levels") > s).withColumns({"__h": F.floor(F.col("__h") / 2), "__w": F.floor(F.col("__w") / 2)}).filter((F.col("b") < 2 * F.col("__h")) & (F.col("a") < 2 * F.col("__w")))
+            now = within.groupBy(*group, "__h", "__w", "__levels", F.floor(F.col("b") / 2).cast("int").alias("b"), F.floor(F.col("a") / 2).cast("int").alias("a")).agg(F.avg("p").alias("p"), F.avg("t").alias("t"), F.first("span").alias("span"))
+        mean = F.avg(F.when(F.col("__levels") == s + 1, F.col("ssim")).otherwise(F.col("contrast")))
+        found = ssim_map(now, [*group, "__levels"], F.col("span")).groupBy(*group, "__levels").agg(mean.alias("__mean"))
+        found = found.select(*group, (weight / F.element_at(totals, F.col("__levels")) * F.ln(F.greatest(F.col("__mean"), F.lit(1e-3)))).alias("__log"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(*group).agg(F.exp(F.sum("__log")).alias("msssim"))
 
 
 def gain(p: Column, t: Column) -> Column:

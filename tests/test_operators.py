@@ -140,3 +140,33 @@ def test_raising_the_tolerance_stops_sooner(spark):
     df = spark.createDataFrame([("r", i, m) for i, m in enumerate(ms)], "run string, iter int, m double")
     stops = [stopping.delivered(stopping.stopping_trace(df, t, 0.0, patience=3, start=0)).first()["stop_iter"] for t in (0.0, 0.05, 0.2)]
     assert [s if s is not None else 99 for s in stops] == sorted((s if s is not None else 99 for s in stops), reverse=True)
+
+
+def test_msssim_has_the_scales_that_the_smaller_side_allows(spark):
+    weights = np.array([0.0448, 0.2856, 0.3001, 0.2363, 0.1333])
+    taps = np.array(metrics.gaussian_taps())
+
+    def blurred(x):
+        return np.apply_along_axis(lambda v: np.convolve(v, taps, "valid"), 0, np.apply_along_axis(lambda v: np.convolve(v, taps, "valid"), 1, x))
+
+    def plain(p, t, scales):
+        out, w = 1.0, weights[:scales] / weights[:scales].sum()
+        for s in range(scales):
+            x, y = blurred(p), blurred(t)
+            contrast = (2 * (blurred(p * t) - x * y) + 0.0009) / (blurred(p * p) - x * x + blurred(t * t) - y * y + 0.0009)
+            light = (2 * x * y + 0.0001) / (x * x + y * y + 0.0001)
+            out *= max((contrast * light if s == scales - 1 else contrast).mean(), 1e-3) ** w[s]
+            p, t = (z[: len(z) // 2 * 2, : z.shape[1] // 2 * 2] for z in (p, t))
+            p, t = ((z[::2, ::2] + z[1::2, ::2] + z[::2, 1::2] + z[1::2, 1::2]) / 4 for z in (p, t))
+        return out
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, (shape, scales) in enumerate([((45, 64), 3), ((43, 47), 2), ((15, 60), 1), ((88, 90), 4)]):
+        p = rng.random(shape)
+        t = np.clip(p + rng.normal(0, 0.2, shape), 0, 1)
+        want[k] = plain(p, t, scales)
+        rows += [(k, b, a, float(p[b, a]), float(t[b, a])) for b in range(shape[0]) for a in range(shape[1])]
+    pairs = spark.createDataFrame(rows, "k int, b int, a int, p double, t double")
+    got = {r["k"]: r["msssim"] for r in metrics.msssim(pairs, ["k"], F.lit(1.0)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
