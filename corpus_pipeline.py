@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 from sinoplan.llm import common
 from sinoplan.llm.bpe import bpe_encode
 from sinoplan.llm.decontam import clean_documents
-from sinoplan.llm.langid import fit_languages, identify
+from sinoplan.llm.langid import fit_languages, rows_with_language
 from sinoplan.llm.nearcopies import keep_one
 from sinoplan.llm.repeats import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter go on as they are, also where no language could be learned; those without are rejected."""
-    model = fit_languages(docs)
-    rows = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    return identify(rows, model, carry="__row").filter(F.col("letters") > 0).select("__row.*")
+    found = rows_with_language(docs, fit_languages(docs), "__lang", "__letters")
+    return found.filter(F.col("__letters") > 0).drop("__lang", "__letters")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for n, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if n:  # what this stage has read is no longer needed
+            common.remove_folder(spark, f"{folder}/{STAGES[n - 1][0]}")
     return docs
