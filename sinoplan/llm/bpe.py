@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import sys
@@ -16,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sinoplan.llm.common import in_bounded_batches, tidy, tool
 from sinoplan.llm.tokens import MARKS, PIECES, chunks
 
 #: The pre-tokenizer's pattern of this family of byte-level vocabularies.
@@ -207,9 +207,8 @@ class BytePairCodec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(path: str) -> BytePairCodec:
-    return BytePairCodec(path)
+    return tool(("codec", path), lambda: BytePairCodec(path))
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -247,4 +246,4 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(counts, pa.int64()), pa.array(left, kinds[0]), pa.array(right, kinds[1])], names=schema.names)
                 first += len(part)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         stars = checkpointed(small.distinct())
-        now = stars.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from sinoplan.llm.common import checkpointed, in_bounded_batches, tidy
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
@@ -129,7 +132,7 @@ def _passes(benchmark: DataFrame, rate: float, item_id_col: str, item_col: str,
     return blocks, passed
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text", block_chars: int = BLOCK_CHARS, carry: str | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Benchmark items that whole texts hold, up to an edit distance.
 
     Both sides are compared in lower case with white space collapsed. An item of m characters is in
@@ -138,45 +141,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERRO
     Aho-Corasick pass, and the surroundings are verified. No occurrence within the budget is missed.
 
     The items of one pass, at most about ``block_chars`` characters, are sent to every task; a larger
-    benchmark is searched for in several passes. Result: a row for each document and item found:
+    benchmark is searched for in several passes, one after another, each kept in the shared folder. Result: a row for each document and item found:
     id, item_id, distance, begin, end (characters of the normalised text; the earliest end of the
     least distance, then the latest begin). Texts and items that are null or blank match nothing;
     repeated documents give repeated rows, repeated items (same id and text) count once; null ids are
     kept; with an empty table on either side there are no rows. Columns besides those named are not
-    read, but for ``carry``, one column that is handed on.
+    read. Ids may be of any type.
     """
-    carried = [carry] if carry else []
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_id_col].dataType), T.StructField("distance", T.IntegerType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), *(docs.schema[c] for c in carried)])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_id_col].dataType), T.StructField("distance", T.IntegerType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
+    kinds = [to_arrow_type(schema["item_id"].dataType), pa.int32(), pa.int64(), pa.int64()]
     blocks, passed = _passes(benchmark, rate, item_id_col, item_col, block_chars)
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *carried)
-
-    def one(block: int) -> DataFrame:
+    texts = in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    out = None
+    for block in range(blocks):
         shared = passed(block)
 
-        def run(batches):
+        def run(batches, shared=shared):
             for batch in batches:
                 at, found = [], []
                 for n, text in enumerate(pc.fill_null(batch.column(1), "")):
                     for hit in shared.value.search(normalised(text.as_py())):
                         at.append(n)
                         found.append(hit)
-                take = pa.array(at, pa.int32())
                 columns = list(zip(*found, strict=True)) or [()] * 4
-                kinds = [batch_kind(schema["item_id"].dataType), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *(batch.column(2).take(take) for _ in carried)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
-        return texts.mapInArrow(run, schema)
-
-    out = one(0)
-    for block in range(1, blocks):
-        out = out.unionByName(one(block))
+        hits = texts.mapInArrow(tidy(run), schema)
+        if blocks > 1:  # one pass after another: the driver holds the items of one
+            hits = checkpointed(hits)
+            shared.destroy()
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def batch_kind(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows whose text holds no benchmark item; they are kept as they stand.
 
@@ -186,16 +183,16 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_R
     out = docs.withColumn("__searched", F.col("text").cast("string"))
     schema = out.schema
 
-    def one(rows: DataFrame, block: int) -> DataFrame:
+    for block in range(blocks):
         shared = passed(block)
 
-        def run(batches):
+        def run(batches, shared=shared):
             for batch in batches:
                 texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
                 yield batch.filter(pa.array([next(shared.value.search(normalised(x.as_py())), None) is None for x in texts], pa.bool_()))
 
-        return rows.mapInArrow(run, schema)
-
-    for block in range(blocks):
-        out = one(out, block)
+        out = in_bounded_batches(out).mapInArrow(tidy(run), schema)
+        if blocks > 1:
+            out = checkpointed(out)
+            shared.destroy()
     return out.select(docs.columns)

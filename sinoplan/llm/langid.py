@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sinoplan.llm.common import in_bounded_batches, tidy
 from sinoplan.llm.tokens import chunks
 
 #: Rows of each language that the scores are fitted on, those with the smallest hash of the id.
@@ -43,7 +45,17 @@ SCRIPTS = [
     ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF), ("Han", 0x20000, 0x2FA1F),
 ]
 
-WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _class_of(*categories: str) -> str:
+    """A character class, without brackets, of all code points of the general categories."""
+    inside = [unicodedata.category(chr(c)) in categories for c in range(0x110000)]
+    edges = [c for c in range(1, 0x110000) if inside[c] != inside[c - 1]]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+#: A word is a run of letters (categories L*): what ``\w`` has besides are digits, numerals and the underscore.
+WORDS = re.compile(rf"[^\W\d_{_class_of('No', 'Nl')}]+")
 _NAMES = sorted({s[0] for s in SCRIPTS})
 _FROM = np.array([s[1] for s in sorted(SCRIPTS, key=lambda s: s[1])])
 _TO = np.array([s[2] for s in sorted(SCRIPTS, key=lambda s: s[1])])
@@ -107,6 +119,10 @@ class LanguageModel:
 
     def __setstate__(self, state):
         self.languages, self.log_probability, self.uses_script = state
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the words seen."""
         self.known, self.scores = {}, None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -234,7 +250,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             where = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where)), pa.array(where, pa.int32()), pa.array(total[where])], names=["lang", "bucket", "n"])
 
-    counts = sample.select("doc_id", "text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_bounded_batches(sample).select("doc_id", "text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.zeros((BUCKETS + len(_NAMES), len(languages)))
     table[counts["bucket"], np.searchsorted(languages, counts["lang"])] = counts["n"]
@@ -245,7 +261,35 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return LanguageModel(languages, probability.astype(np.float32), uses)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, carry: str | None = None) -> DataFrame:
+def _labels(texts: pa.Array, model: LanguageModel, switch: float, spans: bool):
+    """Yield for consecutive runs of texts: their number, languages, shares, spans (none asked: none) and letters."""
+    names = model.languages
+    for group in chunks(pc.fill_null(texts, "").to_pylist(), BATCH_CHARS):
+        scores: list[np.ndarray] = []
+        letters: list[np.ndarray] = []
+        for part in chunks(group):
+            words = [WORDS.findall(text.lower()) for text in part]
+            letters += [np.fromiter(map(len, w), np.int64, len(w)) for w in words]
+            scores += model.lookup(words) if names else [np.empty((0, 0), np.float32)] * len(part)
+        paths = viterbi(scores, switch) if names else [np.empty(0, np.int16)] * len(group)
+        langs, shares, found = [], [], []
+        for text, sizes, path in zip(group, letters, paths, strict=True):
+            if not len(path):
+                langs.append("und")
+                shares.append(0.0)
+                found.append([])
+                continue
+            by = np.bincount(path, sizes, len(names))
+            best = int(by.argmax())
+            langs.append(names[best])
+            shares.append(float(by[best] / by.sum()))
+            if spans:
+                turns = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
+                found.append(_spans(text, path, turns, names))
+        yield len(group), langs, shares, found, [int(x.sum()) for x in letters]
+
+
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """Label the spans of every whole text, and the text with the language that most of its letters are in.
 
     Result: id, lang_pred, score (the share of letters in spans of that language; 0 for ``und``),
@@ -253,45 +297,41 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     letter of its first word to the last of its last), letters (how many the text has). A text that is null, empty or without a
     letter is ``und`` and has no spans; ties between languages go to the first in order of name.
     Rows are kept as they are: repeated rows give repeated results, a null id stays null, an empty
-    table gives no rows. Columns besides the two named are not read, but for ``carry``, one column
-    (a struct of a whole row, say) that is handed on as it is.
+    table gives no rows. Columns besides the two named are not read.
     """
-    carried = [carry] if carry else []
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span), T.StructField("letters", T.LongType()), *(docs.schema[c] for c in carried)])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span), T.StructField("letters", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow_span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches):
-        known = shared.value
-        names = known.languages
         for batch in batches:
-            first, texts = 0, pc.fill_null(batch.column(1), "").to_pylist()
-            for group in chunks(texts, BATCH_CHARS):
-                scores: list[np.ndarray] = []
-                letters: list[np.ndarray] = []
-                for part in chunks(group):
-                    words = [WORDS.findall(text.lower()) for text in part]
-                    letters += [np.fromiter(map(len, w), np.int64, len(w)) for w in words]
-                    scores += known.lookup(words) if names else [np.empty((0, 0), np.float32)] * len(part)
-                paths = viterbi(scores, switch) if names else [np.empty(0, np.int16)] * len(group)
-                langs, shares, spans = [], [], []
-                for text, sizes, path in zip(group, letters, paths, strict=True):
-                    if not len(path):
-                        langs.append("und")
-                        shares.append(0.0)
-                        spans.append([])
-                        continue
-                    by = np.bincount(path, sizes, len(names))
-                    best = int(by.argmax())
-                    langs.append(names[best])
-                    shares.append(float(by[best] / by.sum()))
-                    turns = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
-                    spans.append(_spans(text, path, turns, names))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, arrow_span), pa.array([int(x.sum()) for x in letters], pa.int64()), *(batch.column(2).slice(first, len(group)) for _ in carried)], names=schema.names)
-                first += len(group)
-
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *carried).mapInArrow(run, schema)
+            first = 0
+            for n, langs, shares, spans, letters in _labels(batch.column(1), shared.value, switch, True):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, arrow_span), pa.array(letters, pa.int64())], names=schema.names)
+                first += n
+
+    return in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run, lambda: shared.value.forget()), schema)
+
+
+def rows_with_language(docs: DataFrame, model: LanguageModel, lang: str, letters: str, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """All rows of ``docs`` as they are, with their language and count of letters (as ``identify`` has them) in two more columns.
+
+    Rows travel whole, their text once; ``lang`` and ``letters`` must be names that ``docs`` does not have.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(letters, T.LongType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            first = 0
+            for n, langs, _, _, counts in _labels(pc.cast(batch.column(at), pa.string()), shared.value, switch, False):
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(counts, pa.int64())], names=schema.names)
+                first += n
+
+    return in_bounded_batches(docs).mapInArrow(tidy(run, lambda: shared.value.forget()), schema)
 
 
 def _spans(text: str, path: np.ndarray, turns: np.ndarray, names: list[str]) -> list[dict]:

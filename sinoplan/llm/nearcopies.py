@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sinoplan.llm.common import checkpointed
+from sinoplan.llm.common import checkpointed, in_bounded_batches, tidy, tool
 from sinoplan.llm.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -75,11 +75,8 @@ class Shingler:
         return (mixed * np.uint64(0xD6E8FEB86659FD93)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-_SHINGLER: dict[int, Shingler] = {}
-
-
 def shingler(words: int) -> Shingler:
-    return _SHINGLER.setdefault(words, Shingler(words))
+    return tool(("shingler", words), lambda: Shingler(words))
 
 
 def digest_of(shingles: np.ndarray, text: str) -> bytes:
@@ -92,18 +89,18 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.BinaryType()), *docs.schema.fields[2:]])
 
     def run(batches):
-        tool = shingler(words)
+        made = shingler(words)
         for batch in batches:
             nodes, sizes, bands = [], [], []
             for text in pc.fill_null(batch.column(1), ""):
                 text = text.as_py()
-                found = tool.shingles(text)
+                found = made.shingles(text)
                 nodes.append(digest_of(found, text))
                 sizes.append(len(found))
-                bands.append(tool.band_hashes(found).tobytes() if len(found) else None)
+                bands.append(made.band_hashes(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary()), *batch.columns[2:]], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_bounded_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def _unpack(nodes: DataFrame) -> DataFrame:
@@ -119,7 +116,7 @@ def _unpack(nodes: DataFrame) -> DataFrame:
                     bucket = np.concatenate(part) ^ (np.tile(np.arange(BANDS), len(part)) * 0x9E3779B97F4A7)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(bucket)], names=["node", "bucket"])
 
-    return nodes.select("node", "bands").filter(F.col("bands").isNotNull()).mapInArrow(run, "node binary, bucket long")
+    return nodes.select("node", "bands").filter(F.col("bands").isNotNull()).mapInArrow(tidy(run), "node binary, bucket long")
 
 
 def _verify(keys, table: pa.Table, similarity: float) -> pa.Table:
@@ -145,14 +142,7 @@ def _verify(keys, table: pa.Table, similarity: float) -> pa.Table:
     posting = owner[by_code]
     begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
     first = np.concatenate([[0], np.cumsum(sizes)])
-    parent = np.arange(n)
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    root = np.arange(n)
     links = np.zeros(n, np.int64)
     mine = n if left == right else int((block == left).sum())
     for i in range(mine):
@@ -163,14 +153,14 @@ def _verify(keys, table: pa.Table, similarity: float) -> pa.Table:
         shared = np.bincount(posting[where], minlength=n)
         linked = shared >= similarity * (sizes[i] + sizes - shared) - 1e-9
         linked[: i + 1 if left == right else mine] = False
-        for j in np.flatnonzero(linked):
-            links[i] += copies[j]
-            links[j] += copies[i]
-            x, y = find(i), find(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    roots = pa.array([find(i) for i in range(n)])
-    return pa.table([table["node"], table["node"].take(roots), pa.array(links)], names=["node", "root", "links"])
+        if linked.any():
+            links[i] += copies[linked].sum()
+            links[linked] += copies[i]
+            met = np.unique(root[linked])
+            least = min(root[i], met[0])
+            if root[i] != least or met[-1] != least:  # else all are in one class already
+                root[np.isin(root, np.append(met, root[i]))] = least
+    return pa.table([table["node"], table["node"].take(pa.array(root)), pa.array(links)], names=["node", "root", "links"])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -194,14 +184,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class of null ids alone has a null class_id. Repeated rows are copies. An empty table gives no
     rows. Columns besides the two named are not read.
     """
-    return _classified(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), words, similarity).drop("class")
+    return _classified(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), words, similarity).drop("class", "key")
 
 
 def _classified(texts: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``jaccard_join`` of (doc_id, text), with a name of each row's class and with the columns after the text."""
-    carried = texts.columns[2:]
+    """``jaccard_join`` of (doc_id, text), with names of each row's class and of the row itself (of its id and text)."""
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     signed = checkpointed(_signatures(texts, words))
-    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("bands").alias("bands")))
+    least = (F.min("doc_id").alias("first_id"), F.min("key").alias("first_key"))
+    nodes = checkpointed(signed.groupBy("node").agg(*least, F.count("*").alias("copies"), F.max("size").alias("size"), F.max("bands").alias("bands")))
     rows = _unpack(nodes)
     centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
     edges = rows.join(centres, "bucket").filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
@@ -220,29 +211,32 @@ def _classified(texts: DataFrame, words: int = SHINGLE_WORDS, similarity: float
     classes = linked.join(first, "root").select("node", "class_id", F.col("root").alias("class"))
     told = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(classes, "node", "left")
     told = told.select("node", "copies", F.coalesce("class", "node").alias("class"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node", *carried).join(told, "node").select("doc_id", "class_id", "n_links", "copies", "class", *carried)
+    return signed.select("doc_id", "node", "key").join(told, "node").select("doc_id", "class_id", "n_links", "copies", "class", "key")
 
 
 def _fetch(texts: DataFrame, active: DataFrame, words: int) -> DataFrame:
-    """The full set of each active node, from the text of its first row."""
-    wanted = active.select("first_id", "node", "part", "copies", "blocks")
-    met = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select("text", "node", "part", "copies", "blocks")
+    """The full set of each active node, from the text of one of its rows."""
+    wanted = active.select(F.col("first_key").alias("key"), "node", "part", "copies", "blocks")
+    met = texts.join(wanted, "key").select("text", "node", "part", "copies", "blocks")
     schema = "node binary, part binary, copies long, blocks int, shingles binary"
 
     def run(batches):
-        tool = shingler(words)
+        made, seen = shingler(words), set()
         for batch in batches:
             keep, sets = [], []
             for n, (text, node) in enumerate(zip(pc.fill_null(batch.column(0), ""), batch.column(1), strict=True)):
-                found = tool.shingles(text.as_py())
-                # An id may come with several texts.
-                if digest_of(found, text.as_py()) == node.as_py():
+                if (name := node.as_py()) in seen:  # a row that is repeated
+                    continue
+                found = made.shingles(text.as_py())
+                # Rows told apart by 64 bits alone: another text may have the same name.
+                if digest_of(found, text.as_py()) == name:
+                    seen.add(name)
                     keep.append(n)
                     sets.append(found.tobytes())
             take = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (1, 2, 3, 4)), pa.array(sets, pa.binary())], names=["node", "part", "copies", "blocks", "shingles"])
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(tidy(run), schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -251,7 +245,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by their id and text, so several texts under one id, or under none, are
     decided each by its own class; of rows equal in both one is kept.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    classes = _classified(keyed.select("doc_id", F.col("text").cast("string").alias("text"), "__key"))
-    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key"))
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.col("text").cast("string")))
+    classes = _classified(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("__key"))
     return keyed.join(kept.select("__key"), "__key", "left_semi").dropDuplicates(["__key", "doc_id", "text"]).select(docs.columns)

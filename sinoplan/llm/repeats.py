@@ -6,22 +6,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sinoplan.llm.common import in_bounded_batches, returning, tidy
+
 #: Length of the strings that count as repeats, and of the grams that lead to them.
 REPEAT, GRAM = 100, 48
 #: Starts of strings in one region at most: as many as one gram can be the least of.
 MOST_STARTS = REPEAT - GRAM + 1
-#: Bytes that a group may hold: of texts, of anchors, and of suffixes laid out for sorting.
-TEXT_BYTES, ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 14 << 20, 12 << 20
+#: Bytes that a group may hold: of texts, of anchors with their owners, and of suffixes laid out for sorting.
+TEXT_BYTES, ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 8 << 20, 12 << 20
 #: Bytes of text hashed together.
 CHUNK_BYTES = 1 << 19
 
 _ANCHOR = np.dtype([("gram", "<u8"), ("region", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
 _OWNER = np.dtype([("order", "<i8"), ("row", "<i8")])
-_SPAN = np.dtype([("row", "<i8"), ("start", "<u4"), ("size", "<u4")])
+_SPAN = np.dtype([("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("size", "<u4")])
 _ASK = np.dtype([("gram", "<u8"), ("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "u1"), ("parts", "<u2")])
 _SUFFIXES = np.dtype([("gram", "<u8"), ("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "u1"), ("before", "<i2")])
 
@@ -119,22 +122,52 @@ def _packed(shards: np.ndarray, n_shards: int, rows: np.ndarray):
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
-    kinds = {"shard": pa.int32(), "bucket": pa.int32(), "ask": pa.bool_(), "blob": pa.binary(), "more": pa.binary()}
+    kinds = {"shard": pa.int32(), "bucket": pa.int32(), "ask": pa.bool_(), "settled": pa.bool_(), "blob": pa.binary(), "more": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], names=list(columns))
 
 
-def _anchor_blobs(n_shards: int):
-    """Stage 1: the anchors of each run of texts, one blob for each shard of grams."""
+def _settle(out: dict, spans: np.ndarray, n_shards: int, n_buckets: int) -> None:
+    """Send spans that need no further look on by the bucket of their text, so that many copies do not meet."""
+    for shard, some in _packed(np.mod(spans["row"], n_buckets) % n_shards, n_shards, spans):
+        out["shard"].append(shard)
+        out["settled"].append(True)
+        out["blob"].append(some.tobytes())
+        out["more"].append(b"")
+
+
+def _settled(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), _SPAN) for x, told in zip(table["blob"], table["settled"], strict=True) if told.as_py()]
+
+
+def _anchor_blobs(n_shards: int, n_buckets: int):
+    """Stage 1: the anchors of each run of texts, one blob for each shard of grams.
+
+    Of regions that are equal within the run only the first travels; the others are covered already.
+    """
 
     def flush(parts, owners):
-        rows = np.concatenate(parts)
-        names = np.array(owners, _OWNER)
-        out = {"shard": [], "blob": [], "more": []}
+        rows, names = np.concatenate(parts), np.array(owners, _OWNER)
+        order, row = names["order"][rows["doc"]], names["row"][rows["doc"]]
+        by = np.lexsort((row, rows["start"], order, rows["region"], rows["gram"]))
+        rows, order, row = rows[by], order[by], row[by]
+        unlike = lambda *xs: np.append(True, np.any([x[1:] != x[:-1] for x in xs], axis=0))[: len(rows)]
+        region = unlike(rows["gram"], rows["region"])
+        once = region | unlike(order, rows["start"], row)
+        head = np.flatnonzero(region)[np.cumsum(region) - 1]
+        later = (order != order[head]) | (rows["start"] != rows["start"][head])
+        told = once & later
+        spans = np.empty(int(told.sum()), _SPAN)
+        spans["order"], spans["row"], spans["start"] = order[told], row[told], rows["start"][told]
+        spans["size"] = (rows["n"][told] & 127).astype(np.int64) + REPEAT - 1
+        rows = rows[once & ~later]
+        out = {"shard": [], "settled": [], "blob": [], "more": []}
         for shard, part in _packed((rows["gram"] % np.uint64(n_shards)).astype(np.int64), n_shards, rows):
             used, part["doc"] = np.unique(part["doc"], return_inverse=True)
             out["shard"].append(shard)
+            out["settled"].append(False)
             out["blob"].append(part.tobytes())
             out["more"].append(names[used].tobytes())
+        _settle(out, spans, n_shards, n_buckets)
         return _batch(out)
 
     def run(batches):
@@ -176,23 +209,28 @@ def _judge(n_buckets: int):
     """
 
     def run(key, table):
-        parts, order, row = [], [], []
-        for blob, more in zip(table["blob"], table["more"], strict=True):
-            part, names = np.frombuffer(blob.as_py(), _ANCHOR), np.frombuffer(more.as_py(), _OWNER)
-            parts.append(part)
-            order.append(names["order"][part["doc"]])
-            row.append(names["row"][part["doc"]])
+        parts, order, row = [np.empty(0, _ANCHOR)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for blob, more, told in zip(table["blob"], table["more"], table["settled"], strict=True):
+            if not told.as_py():
+                part, names = np.frombuffer(blob.as_py(), _ANCHOR), np.frombuffer(more.as_py(), _OWNER)
+                parts.append(part)
+                order.append(names["order"][part["doc"]])
+                row.append(names["row"][part["doc"]])
+        settled = _settled(table)
+        del table
         part, order, row = np.concatenate(parts), np.concatenate(order), np.concatenate(row)
         again, n = part["n"] >> 7, (part["n"] & 127).astype(np.int64)
         by = np.lexsort((part["start"], order, part["region"], part["gram"]))
         part, order, row, again, n = part[by], order[by], row[by], again[by], n[by]
-        new_gram = np.concatenate([[True], part["gram"][1:] != part["gram"][:-1]])
-        new_region = new_gram | np.concatenate([[True], part["region"][1:] != part["region"][:-1]])
+        new = lambda x: np.append(True, x[1:] != x[:-1])[: len(x)]
+        new_gram = new(part["gram"])
+        new_region = new_gram | new(part["region"])
         head = np.flatnonzero(new_region)
         of = np.cumsum(new_region) - 1
         later = (order != order[head][of]) | (part["start"] != part["start"][head][of])
         spans = np.empty(int(later.sum()), _SPAN)
-        spans["row"], spans["start"], spans["size"] = row[later], part["start"][later], n[later] + REPEAT - 1
+        spans["order"], spans["row"], spans["start"], spans["size"] = order[later], row[later], part["start"][later], n[later] + REPEAT - 1
+        spans = np.concatenate([spans, *settled])
         gram_of = np.cumsum(new_gram[head]) - 1
         regions = np.bincount(gram_of)[gram_of]
         # A region that repeats within itself does so in each of its copies; the first stands for all.
@@ -213,38 +251,58 @@ def _judge(n_buckets: int):
     return run
 
 
-def _cut(n_shards: int):
+def _orders(texts: pa.Table) -> np.ndarray:
+    """Ids as numbers that sort; a null id is smaller than all."""
+    return pc.fill_null(texts["doc_id"], -(1 << 63)).to_numpy()
+
+
+def _cut(n_shards: int, n_buckets: int):
     """Stage 3: the bytes of the regions asked for, from the texts of a bucket.
 
     The regions of one anchor go to one shard; if they are too many for a task, their strings go by
-    a hash of their own instead, which still brings equal ones together.
+    a hash of their own instead, which still brings equal ones together; of those
+    that are equal within the bucket only the first is sent, the others are covered already.
     """
 
     def run(key, texts, asked):
-        out = {"shard": [], "blob": [], "more": []}
+        out = {"shard": [], "settled": [], "blob": [], "more": []}
+        covered = []
         blobs = [x.as_py() for x, ask in zip(asked["blob"], asked["ask"], strict=True) if ask.as_py()]
         if blobs:
             asks = np.frombuffer(b"".join(blobs), _ASK)
-            asks = asks[np.argsort(asks["row"], kind="stable")]
-            place = {r: i for i, r in enumerate(texts["row"].to_pylist())}
-            bounds = np.flatnonzero(np.concatenate([[True], asks["row"][1:] != asks["row"][:-1], [True]]))
+            asks = asks[np.lexsort((asks["order"], asks["row"]))]
+            place = dict(zip(zip(_orders(texts).tolist(), texts["row"].to_pylist(), strict=True), range(texts.num_rows), strict=True))
+            bounds = np.flatnonzero(np.concatenate([[True], (asks["row"][1:] != asks["row"][:-1]) | (asks["order"][1:] != asks["order"][:-1]), [True]]))
             made: dict[int, tuple[list, list]] = {}
+            single: dict[bytes, tuple] = {}
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                text = texts["text"][place[int(asks["row"][a])]].as_py()
+                order, row = int(asks["order"][a]), int(asks["row"][a])
+                text = texts["text"][place[order, row]].as_py()
                 for ask in asks[a:b]:
                     start, n = int(ask["start"]), int(ask["n"])
                     if ask["parts"] == 1:
-                        pieces = [(int(ask["gram"]) % n_shards, start, n)]
-                    else:
-                        pieces = [(int.from_bytes(hashlib.blake2b(text[s : s + REPEAT], digest_size=8).digest(), "little") % n_shards, s, 1) for s in range(start, start + n)]
-                    for shard, s, m in pieces:
-                        rows, data = made.setdefault(shard, ([], []))
-                        rows.append((ask["gram"], ask["order"], ask["row"], s, m, text[s - 1] if s else -1))
-                        data.append(text[s : s + m + REPEAT - 1])
+                        rows, data = made.setdefault(int(ask["gram"]) % n_shards, ([], []))
+                        rows.append((ask["gram"], order, row, start, n, text[start - 1] if start else -1))
+                        data.append(text[start : start + n + REPEAT - 1])
+                        continue
+                    for s in range(start, start + n):
+                        string = text[s : s + REPEAT]
+                        now = (order, s, row, ask["gram"], text[s - 1] if s else -1)
+                        first = single.setdefault(string, now)
+                        if now[:2] < first[:2]:
+                            single[string], now = now, first
+                        if now[:2] != single[string][:2]:
+                            covered.append((now[0], now[2], now[1], REPEAT))
+            for string, (order, s, row, gram, before) in single.items():
+                rows, data = made.setdefault(int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") % n_shards, ([], []))
+                rows.append((gram, order, row, s, 1, before))
+                data.append(string)
             for shard, (rows, data) in made.items():
                 out["shard"].append(shard)
+                out["settled"].append(False)
                 out["blob"].append(np.array(rows, _SUFFIXES).tobytes())
                 out["more"].append(b"".join(data))
+        _settle(out, np.array(covered, _SPAN), n_shards, n_buckets)
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -330,16 +388,17 @@ def _scan(n_buckets: int):
     """Stage 4: the suffix array of a shard; in each maximal repeat all members but the first are covered."""
 
     def run(key, table):
-        rows = np.frombuffer(b"".join(x.as_py() for x in table["blob"]), _SUFFIXES)
+        rows = np.frombuffer(b"".join(x.as_py() for x, told in zip(table["blob"], table["settled"], strict=True) if not told.as_py()), _SUFFIXES)
         data = np.frombuffer(b"".join(x.as_py() for x in table["more"]), np.uint8)
         n = rows["n"].astype(np.int64)
         reach = n + REPEAT - 1
         offset = np.cumsum(reach) - reach
         by = np.argsort(rows["gram"], kind="stable")
-        spans = []
+        spans = _settled(table)
+        del table
         # Equal strings have equal anchors: anchors are scanned in runs that fit the memory.
         cost = np.cumsum(n[by])
-        new = np.flatnonzero(np.concatenate([[True], rows["gram"][by][1:] != rows["gram"][by][:-1]]))
+        new = np.flatnonzero(np.append(True, rows["gram"][by][1:] != rows["gram"][by][:-1])[: len(by)])
         limit, cuts, base = SUFFIX_BYTES // (REPEAT + MOST_STARTS), [0], 0
         for a, b in zip(new, [*new[1:], len(by)], strict=True):
             if cost[b - 1] - base > limit and a > cuts[-1]:
@@ -347,6 +406,8 @@ def _scan(n_buckets: int):
                 base = cost[a - 1]
         for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
             part = by[a:b]
+            if not len(part):
+                continue
             width = int(reach[part].max())
             # Each region with zeros after it; bytes of UTF-8 stay below 255, so that one can be added.
             step = reach[part] + width
@@ -366,10 +427,10 @@ def _scan(n_buckets: int):
             age[sorted_by] = np.concatenate([[0], np.cumsum(step)])
             covered = covered_lengths(*suffix_array(suffix, reach[part][each] - inner), before, inner > 0, age)
             hit = np.flatnonzero(covered)
-            hit = hit[np.lexsort((start[hit], row[hit]))]
+            hit = hit[np.lexsort((start[hit], row[hit], order[hit]))]
             if len(hit):  # spans of a text that touch become one
                 begin, end = start[hit], start[hit] + covered[hit]
-                head = np.concatenate([[True], row[hit][1:] != row[hit][:-1]])
+                head = np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (order[hit][1:] != order[hit][:-1])])
                 # Running ends within a text: texts are set far apart on one line.
                 far = (np.cumsum(head) - 1) * (1 << 34)
                 top = np.maximum.accumulate(end + far)
@@ -377,7 +438,7 @@ def _scan(n_buckets: int):
                 heads = np.flatnonzero(head)
                 last = np.append(heads[1:] - 1, len(hit) - 1)
                 out = np.empty(len(heads), _SPAN)
-                out["row"], out["start"], out["size"] = row[hit][heads], begin[heads], (top - far)[last] - begin[heads]
+                out["order"], out["row"], out["start"], out["size"] = order[hit][heads], row[hit][heads], begin[heads], (top - far)[last] - begin[heads]
                 spans.append(out)
         told = np.concatenate(spans) if spans else np.empty(0, _SPAN)
         out = {"bucket": [], "ask": [], "blob": []}
@@ -408,12 +469,13 @@ def _apply(carried: list[str], schema: T.StructType, digest: bool, decoded: bool
     def run(key, texts, told):
         spans = np.frombuffer(b"".join(x.as_py() for x, ask in zip(told["blob"], told["ask"], strict=True) if not ask.as_py()), _SPAN)
         spans = spans[np.argsort(spans["row"], kind="stable")]
-        rows = texts["row"].to_numpy()
+        rows, orders = texts["row"].to_numpy(), _orders(texts)
         begin, end = np.searchsorted(spans["row"], rows), np.searchsorted(spans["row"], rows, "right")
         out = [[], [], [], [], []]
         for n in range(texts.num_rows):
             text = texts["text"][n].as_py()
-            runs = merged(spans[begin[n] : end[n]])
+            mine = spans[begin[n] : end[n]]
+            runs = merged(mine[mine["order"] == orders[n]])
             kept, at = [], 0
             for a, b in runs:
                 kept.append(text[at:a])
@@ -437,7 +499,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     or at a smaller place of the same one. Strings are judged on the input.
 
     1. The anchor of a string is the least hash of its 48-byte grams, so only the anchors of a text
-       travel, one for about 28 bytes, dealt by their gram. 2. Where regions of one anchor are equal,
+       travel, one for about 28 bytes, dealt by their gram; of those equal within a run of texts
+       only the first. 2. Where regions of one anchor are equal,
        all but the first are covered. 3. For the others the bytes of one of each are cut from the
        texts. 4. They are laid out as an enhanced suffix array, shard by shard, and a stack scan of
        its common prefixes gives the tree of intervals; intervals that all members extend to the
@@ -455,23 +518,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [carry] if carry else []
     last = [T.StructField("kept_sha256", T.StringType())] if digest else [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if decoded else T.BinaryType())]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), *last, *(docs.schema[c] for c in carried)])
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *carried)
+    texts = in_bounded_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"), *carried)
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-total // TEXT_BYTES))
-    anchor_shards = max(1, -(-(total // 28 * _ANCHOR.itemsize) // ANCHOR_BYTES))
+    anchor_shards = max(1, -(-(total // 28 * (_ANCHOR.itemsize + _OWNER.itemsize)) // ANCHOR_BYTES))
     suffix_shards = max(1, -(-total // (24 * TEXT_BYTES // 4)))
     tasks = lambda n: max(1, min(n, 1 << 15))
 
     placed = texts.withColumn("bucket", F.pmod("row", F.lit(buckets)).cast("int")).repartition(tasks(buckets), "bucket")
-    blobs = texts.select("doc_id", "row", "text").mapInArrow(_anchor_blobs(anchor_shards), "shard int, blob binary, more binary")
-    judged = blobs.repartition(tasks(anchor_shards), "shard").groupBy("shard").applyInArrow(_judge(buckets), "bucket int, ask boolean, blob binary")
+    blobs = texts.select("doc_id", "row", "text").mapInArrow(tidy(_anchor_blobs(anchor_shards, buckets)), "shard int, settled boolean, blob binary, more binary")
+    judged = blobs.repartition(tasks(anchor_shards), "shard").groupBy("shard").applyInArrow(returning(_judge(buckets)), "bucket int, ask boolean, blob binary")
     told = judged.repartition(tasks(buckets), "bucket")
     # What is asked for and what is settled go the same way, so that the shuffle is made once and read twice.
-    cut = placed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_cut(suffix_shards), "shard int, blob binary, more binary")
-    scanned = cut.repartition(tasks(suffix_shards), "shard").groupBy("shard").applyInArrow(_scan(buckets), "bucket int, ask boolean, blob binary")
+    cut = placed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(returning(_cut(suffix_shards, buckets)), "shard int, settled boolean, blob binary, more binary")
+    scanned = cut.repartition(tasks(suffix_shards), "shard").groupBy("shard").applyInArrow(returning(_scan(buckets)), "bucket int, ask boolean, blob binary")
     spans = told.unionByName(scanned.repartition(tasks(buckets), "bucket"))
-    return placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_apply(carried, schema, digest, decoded), schema)
+    return placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(returning(_apply(carried, schema, digest, decoded)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

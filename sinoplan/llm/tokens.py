@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from itertools import chain
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sinoplan.llm.common import in_bounded_batches, tidy, tool
+
 #: A safe boundary lies before a run of white space that follows something else: the pre-tokenizer
 #: never joins what stands left of it to what stands right of it, so the pieces can be encoded
 #: apart. Python's class of white space holds all of Unicode's, so no cut falls inside a run.
@@ -66,7 +67,7 @@ class LibraryCounter:
         for piece in chain(asked, [None]):
             if piece is not None:
                 batch.append(piece)
-                weight += len(piece)
+                weight += len(piece.encode())
             if batch and (piece is None or weight >= BATCH_BYTES):
                 known.update(zip(batch, self.lengths(batch)))
                 batch, weight = [], 0
@@ -85,9 +86,8 @@ class LibraryCounter:
         return [sum(map(look, pieces)) for pieces in split]
 
 
-@functools.lru_cache(maxsize=2)
 def _counter(path: str) -> LibraryCounter:
-    return LibraryCounter(path)
+    return tool(("counter", path), lambda: LibraryCounter(path))
 
 
 def chunks(texts: list[str], most: int = CHUNK_BYTES):
@@ -128,4 +128,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             n_tokens = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), n_tokens, pc.greater(n_tokens, limit)], names=schema.names)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), schema)
