@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sinoplan.llm.common import in_bounded_batches, tidy
 from sinoplan.llm.tokens import chunks
 
 #: Labelled rows that are learned from, at most: those with the smallest hash of the id.
@@ -23,9 +24,13 @@ LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.015, 12.0
 LEXICON = 2000
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
-#: Terms that may be misspelled, by one edit: of this length, and in this share of toxic texts; a
-#: word next to a rare term is far more often another word.
-FUZZY_FROM, FUZZY_SHARE = 5, 0.05
+#: Edits that a term or stem of so many letters may have; shorter ones must be spelled right.
+EDITS = ((8, 2), (4, 1))
+#: A misspelled hit counts for this share of the term's log odds where nothing is known of it, and for
+#: nothing if what is learned of the term's neighbours is less than the second number.
+FUZZY_SHARE, FUZZY_LEAST = 0.6, 1.0
+#: What a toxic text counts for as one whose terms are misspelled, beside itself.
+WRONG_SHARE = 0.2
 #: Words to either side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Words that a worker remembers.
@@ -39,68 +44,100 @@ REPORTING = frozenset("said says quoted quote quotes called word words term wrot
 ADDRESS = frozenset("you your youre u ur du dich dein ihr euch tu te ton toi vous vos tú usted eres".split())
 
 
+def budget(name: str) -> int:
+    """Edits that a term, or a stem with its star, may have."""
+    return next((k for n, k in EDITS if len(name.rstrip("*")) >= n), 0)
+
+
 @dataclass
 class Lexicon:
-    """Terms and stems with their log odds, and the trie that automata run over."""
+    """Terms and stems (open-ended beginnings of words) with their log odds, and the trie that automata run over.
+
+    Hits name a stem with a star at its end. ``fuzzy``: log odds of a misspelled hit by such names;
+    those of no use are not in it, and not in the trie.
+    """
 
     terms: dict[str, float]
     stems: dict[str, float]
-    fuzzy: frozenset[str]
+    fuzzy: dict[str, float] | None = None
     trie: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self.trie = {}
-        for term in self.fuzzy:
+        if self.fuzzy is None:
+            self.fuzzy = {t: FUZZY_SHARE * o for t, o in self.named().items() if budget(t)}
+        self.trie, self.heads, self.tails, self.inner = {}, {}, {}, {}
+        for name in self.fuzzy:
+            term, stem = name.rstrip("*"), name.endswith("*")
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
-            node[""] = term
-        # One edit leaves the first or the second half of a term alone: a cheap way to rule words out.
-        long = self.fuzzy
-        self.heads = {n: {t[:n] for t in long if len(t) // 2 == n} for n in {len(t) // 2 for t in long}}
-        self.tails = {n: {t[-n:] for t in long if len(t) - len(t) // 2 == n} for n in {len(t) - len(t) // 2 for t in long}}
-        self.lengths = (min(map(len, long), default=1) - 1, max(map(len, long), default=0) + 1)
+            node["*" if stem else ""] = name
+            # With k edits one of k + 1 pieces is left alone: a cheap way to rule words out.
+            k, n = budget(term), len(term)
+            cuts = [n * i // (k + 1) for i in range(k + 2)]
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                where = self.heads if i == 0 else self.tails if i == k and not stem else self.inner
+                where.setdefault(y - x, set()).add(term[x:y])
+        plain = [t for t in self.fuzzy if not t.endswith("*")]
+        self.lengths = (min((len(t.rstrip("*")) - budget(t) for t in self.fuzzy), default=1), 99 if len(plain) < len(self.fuzzy) else max((len(t) + budget(t) for t in plain), default=0))
+
+    def named(self) -> dict[str, float]:
+        """Log odds of all terms and stems."""
+        return self.terms | {f"{t}*": o for t, o in self.stems.items()}
+
+    def odds(self, name: str, edits: int) -> float:
+        return self.fuzzy[name] if edits else self.stems[name[:-1]] if name.endswith("*") else self.terms[name]
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The term that a word is, or is one edit from; a stem counts as its own term."""
+        """The term that a word is or begins with, or is few edits from, and the edits."""
         if word in self.terms:
             return word, 0
         for n in STEMS:
             if word[:n] in self.stems:
-                return word[:n], 0
-        if self.lengths[0] <= len(word) <= self.lengths[1] and (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())):
+                return f"{word[:n]}*", 0
+        if self.lengths[0] <= len(word) <= self.lengths[1] and self.has_piece(word):
             return self.near(word)
         return None
 
+    def has_piece(self, word: str) -> bool:
+        if any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items()):
+            return True
+        return any(word[i : i + n] in s for n, s in self.inner.items() for i in range(len(word) - n + 1))
+
     def near(self, word: str) -> tuple[str, int] | None:
-        """Run the Levenshtein automaton of the word (one edit) along the trie.
+        """Run the Levenshtein automaton of the word along the trie.
 
-        A state is a set of (letters read, edits made), kept as two bit masks; a trie edge moves it,
-        and a branch ends where the set is empty. Ties go to the term with the highest odds, then
-        to the first in order.
+        A state is a set of (letters read, edits made), kept as a bit mask for each number of edits; a
+        trie edge moves it, and a branch ends where all are empty. At the end of a term the whole word
+        must be read, at the end of a stem any beginning of it. Ties go to fewer edits, then to the
+        higher odds, then to the first in order.
         """
         n = len(word)
         letters: dict[str, int] = {}
         for i, c in enumerate(word):
             letters[c] = letters.get(c, 0) | 1 << i
+        full, most = (2 << n) - 1, max(k for _, k in EDITS)
         best = None
-        stack = [(self.trie, 1, 2)]  # no edit: nothing read; one edit: the first letter left out
+        stack = [(self.trie, tuple((2 << e) - 1 & full for e in range(most + 1)))]  # up to e letters left out at once
         while stack:
-            node, exact, edited = stack.pop()
-            term = node.get("")
-            if term is not None and (exact | edited) >> n & 1:
-                key = (-self.terms[term], term)
-                best = min(best, key) if best else key
+            node, masks = stack.pop()
+            for name in (node.get(""), node.get("*")):
+                if name is not None:
+                    read = [m if name.endswith("*") else m >> n & 1 for m in masks[: budget(name) + 1]]
+                    edits = next((e for e, m in enumerate(read) if m), None)
+                    if edits:  # without an edit it is no misspelling
+                        key = (edits, -self.fuzzy[name], name)
+                        best = min(best, key) if best else key
             for c, below in node.items():
-                if c:
+                if c and c != "*":
                     same = letters.get(c, 0)
-                    moved = (exact & same) << 1
-                    # Kept: the edit is behind; new: c put in, c in place of a letter, or a letter left out.
-                    after = (edited & same) << 1 | exact | exact << 1 | moved << 1
-                    after &= (2 << n) - 1
-                    if moved or after:
-                        stack.append((below, moved, after))
-        return (best[1], 1) if best else None
+                    moved = [(masks[0] & same) << 1]
+                    for e in range(1, most + 1):
+                        # A letter read; one put in; one in place of another; one left out.
+                        moved.append(((masks[e] & same) << 1 | masks[e - 1] | masks[e - 1] << 1 | moved[e - 1] << 1) & full)
+                    if any(moved):
+                        stack.append((below, tuple(moved)))
+        return (best[2], best[0]) if best else None
 
 
 @dataclass
@@ -119,43 +156,54 @@ class ToxicityModel:
         self.lexicon, self.context, self.weights = state
         self.known = {}
 
-    def features(self, text: str) -> np.ndarray:
-        """What a text's hits come to; zeros if it has none."""
+    def forget(self) -> None:
+        """Let go of the words seen."""
+        self.known = {}
+
+    def hits(self, text: str) -> list[tuple[str, int, float, bool]]:
+        """Each hit's term, edits, score in its window, and whether it is quoted."""
         words = TOKENS.findall(text.lower())
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
         for word in set(words).difference(known):
             known[word] = self.lexicon.match(word)
-        hits = [(i, m) for i, m in enumerate(map(known.__getitem__, words)) if m is not None]
-        out = np.zeros(FEATURES)
-        if hits:
-            scores = [self.hit(words, i, *m) for i, m in hits]
-            exact = sum(m[1] == 0 for _, m in hits)
-            quoted = sum(q for _, q in scores)
-            out[:] = 1.0, np.log1p(exact), np.log1p(len(hits) - exact), max(s for s, _ in scores), quoted / len(hits), np.log1p(len(hits) - quoted)
-        return out
+        found = [(i, m) for i, m in enumerate(map(known.__getitem__, words)) if m is not None]
+        return [(*m, *self.hit(words, i, *m)) for i, m in found]
 
     def hit(self, words: list[str], at: int, term: str, edits: int) -> tuple[float, bool]:
         """The score of one hit in its window, and whether it is quoted.
 
-        It is quoted between two quotation marks, or after a word that reports, unless the reader is
-        addressed.
+        The words around add their mean log odds. It is quoted between two quotation marks, or after a
+        word that reports, unless the reader is addressed.
         """
         before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
         marks = any(w in QUOTES for w in before) and any(w in QUOTES for w in after)
         reported = any(w in REPORTING for w in before)
         addressed = any(w in ADDRESS for w in before + after)
-        odds = self.lexicon.terms.get(term) or self.lexicon.stems.get(term, 0.0)
         around = [self.context.get(w, 0.0) for w in before + after]
-        score = odds * (0.6 if edits else 1.0) + (sum(around) / len(around) if around else 0.0) + 0.5 * addressed
-        return score, (marks or reported) and not addressed
+        score = self.lexicon.odds(term, edits) + (sum(around) / len(around) if around else 0.0) + 0.5 * addressed
+        return max(score, 0.0), (marks or reported) and not addressed
+
+    def features(self, hits: list[tuple[str, int, float, bool]]) -> np.ndarray:
+        """What hits come to, those that are quoted apart from the others; zeros if there are none."""
+        out = np.zeros(FEATURES)
+        for at, quoted in ((0, False), (2, True)):
+            scores = [h[2] for h in hits if h[3] == quoted]
+            if scores:
+                out[at], out[at + 1] = max(scores), np.log1p(sum(scores))
+        return out
+
+    def misspelled(self, hits: list[tuple[str, int, float, bool]]) -> list[tuple[str, int, float, bool]]:
+        """The hits as they would be with an edit in each; what is not told with an edit is left out."""
+        lexicon = self.lexicon
+        return [(t, 1, max(s - lexicon.odds(t, e) + lexicon.fuzzy[t], 0.0), q) for t, e, s, q in hits if t in lexicon.fuzzy]
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-(self.weights[0] + self.features(text) @ self.weights[1:]))))
+        return float(1 / (1 + np.exp(-(self.weights[0] + self.features(self.hits(text)) @ self.weights[1:]))))
 
 
-FEATURES = 6
+FEATURES = 4
 
 
 def sampled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -170,15 +218,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learn lexicon, context and weights from at most ``rows`` labelled documents.
 
     Spark counts in how many toxic and other texts of the sample each word and stem is; those far
-    likelier in toxic texts make the lexicon. A second pass counts the words around its hits, a
-    third takes the features of each text; a logistic regression on them (at most ``rows`` lines of
-    six numbers) is fitted on the driver. Labels other than 0 and 1 are left out; a document labelled
+    likelier in toxic texts make the lexicon. A second pass counts in how many texts each term's
+    neighbours by edits are, which tells misspellings from other words; a third the words around hits;
+    a fourth takes the features of each text, and of toxic ones as if their terms were misspelled, on
+    which a logistic regression with weights of no less than zero (at most twice ``rows`` lines of four
+    numbers) is fitted on the driver. Labels other than 0 and 1 are left out; a document labelled
     twice counts as toxic if either says so. With no toxic text left the lexicon is empty and every
     text gets the same score, the share of toxic texts (0 if nothing is labelled).
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = sampled(texts, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")), rows).persist()
+    in_bounded_batches(sample)
     totals = dict(sample.groupBy("label").count().collect())
     toxic, other = totals.get(1, 0), totals.get(0, 0)
 
@@ -193,12 +244,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 out[2] += [1 - label] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["term", "t", "o"])
 
-    counted = sample.mapInArrow(terms, "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counted = sample.mapInArrow(tidy(terms), "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     odds = F.log((F.col("t") + 0.1) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (other + 1))
     least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
     picked = counted.filter(F.col("t") >= least).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(LEAST_ODDS)))
     picked = picked.orderBy(F.desc("t"), "term").limit(LEXICON).collect()
-    lexicon = _lexicon([(r["term"], r["t"], r["odds"]) for r in picked], FUZZY_SHARE * toxic)
+    lexicon = _lexicon([(r["term"], r["t"], r["odds"]) for r in picked])
+    lexicon = Lexicon(lexicon.terms, lexicon.stems, _fuzzy(sample, lexicon, toxic, other))
     model = ToxicityModel(lexicon, {}, np.zeros(FEATURES + 1))
     shared = spark.sparkContext.broadcast(model)
 
@@ -214,7 +266,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 out[2] += [1 - label] * len(seen)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["term", "t", "o"])
 
-    near = sample.mapInArrow(around, "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    near = sample.mapInArrow(tidy(around), "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     # Only words that other texts' hits have around them too can tell the two apart.
     near = near.filter((F.col("o") >= 5) & (F.col("t") + F.col("o") >= 20)).orderBy(F.desc(F.col("t") + F.col("o")), "term").limit(LEXICON).collect()
     all_t, all_o = sum(r["t"] for r in near) + 1, sum(r["o"] for r in near) + 1
@@ -223,16 +275,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def lines(batches):
         for batch in batches:
-            rows = [[float(label), *fitted.value.features(text)] for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = fitted.value.hits(text)
+                rows.append([float(label), 1.0, *fitted.value.features(hits)])
+                # A toxic text stays one if its terms are misspelled, which the sample may not show.
+                if label and (wrong := fitted.value.misspelled(hits)):
+                    rows.append([1.0, WRONG_SHARE, *fitted.value.features(wrong)])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
 
-    table = np.array([r["x"] for r in sample.mapInArrow(lines, "x array<double>").collect()] or np.zeros((0, FEATURES + 1)))
+    table = np.array([r["x"] for r in sample.mapInArrow(tidy(lines), "x array<double>").collect()] or np.zeros((0, FEATURES + 2)))
     sample.unpersist()
-    model.weights = _logistic(table[:, 1:], table[:, 0])
+    model.weights = _logistic(table[:, 2:], table[:, 0], table[:, 1])
     return model
 
 
-def _lexicon(found: list[tuple[str, int, float]], fuzzy: float) -> Lexicon:
+def _fuzzy(sample: DataFrame, lexicon: Lexicon, toxic: int, other: int) -> dict[str, float]:
+    """Log odds of a misspelled hit of each term, from the texts that have one.
+
+    Where none has, a share of the term's own; the more texts have one, the less that share has a say.
+    The words of a stem's family, of which there can be very many, are judged together as well: what
+    their neighbours come to in all is the most that one of them counts.
+    """
+    family = {t: f"{t[:n]}**" for t in lexicon.terms for n in reversed(STEMS) if t[:n] in lexicon.stems}
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def near(batches):
+        match = functools.lru_cache(KNOWN_WORDS)(shared.value.match)
+        for batch in batches:
+            out = [[], [], []]
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {m[0] for m in map(match, set(TOKENS.findall(text.lower()))) if m is not None and m[1]}
+                found |= {family[t] for t in found if t in family}
+                out[0] += found
+                out[1] += [label] * len(found)
+                out[2] += [1 - label] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["term", "t", "o"])
+
+    rows = sample.mapInArrow(tidy(near), "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).collect()
+    seen = {r["term"]: (r["t"], r["o"]) for r in rows}
+
+    def learned(name: str, odds: float) -> float:
+        t, o = seen.get(name, (0, 0))
+        prior = 0.5 * np.exp(FUZZY_SHARE * odds) * (toxic + 1) / (other + 1)
+        return float(np.log((t + prior) / (toxic + 1)) - np.log((o + 0.5) / (other + 1)))
+
+    out = {}
+    for term, odds in lexicon.named().items():
+        told = min(odds, learned(term, odds), learned(family[term], odds) if term in family else odds)
+        if budget(term) and told >= FUZZY_LEAST:
+            out[term] = told
+    return out
+
+
+def _lexicon(found: list[tuple[str, int, float]]) -> Lexicon:
     """Words and stems that tell something of their own.
 
     A stem stands for a family of words: it is taken if it is in clearly more toxic texts than any
@@ -252,26 +348,36 @@ def _lexicon(found: list[tuple[str, int, float]], fuzzy: float) -> Lexicon:
         n, o = stems[stem]
         if n >= 1.5 * most.get(stem, 0):
             families[stem] = o
-    terms = {w: o for w, (_, o) in words.items() if not any(w[:k] in families for k in STEMS)}
-    return Lexicon(terms, families, frozenset(w for w in terms if len(w) >= FUZZY_FROM and words[w][0] >= fuzzy))
+    # A family's words stay, since a misspelling is nearer to a word than to the beginning of one.
+    return Lexicon({w: o for w, (_, o) in words.items()}, families)
+
 
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights, the constant first, of a ridge logistic regression by Newton's steps.
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights, the constant first, of a ridge logistic regression by Newton's steps."""
+    More and stronger hits cannot make a text less toxic: features whose weight comes out negative are
+    left out, and the others fitted again.
+    """
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return np.concatenate([[np.log((share * len(y) + 1e-6) / ((1 - share) * len(y) + 1e-6)) if len(y) else -20.0], np.zeros(x.shape[1])])
-    full = np.hstack([np.ones((len(x), 1)), x])
-    penalty = ridge * np.eye(full.shape[1])
-    penalty[0, 0] = 1e-6
-    w = np.zeros(full.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + penalty, full.T @ (y - p) - penalty @ w)
-        w = w + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    use = np.ones(x.shape[1] + 1, bool)
+    while True:
+        full = np.hstack([np.ones((len(x), 1)), x])[:, use]
+        penalty = ridge * np.eye(full.shape[1])
+        penalty[0, 0] = 1e-6
+        w = np.zeros(full.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+            step = np.linalg.solve((full * (share * p * (1 - p))[:, None]).T @ full + penalty, full.T @ (share * (y - p)) - penalty @ w)
+            w = w + np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-8:
+                break
+        out = np.zeros(len(use))
+        out[use] = w
+        if (out[1:] >= 0).all():
+            return out
+        use[1:] &= out[1:] >= 0
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,10 +396,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for batch in batches:
             first, texts = 0, pc.fill_null(batch.column(1), "").to_pylist()
             for part in chunks(texts):
-                x = np.array([known.features(text) for text in part])
+                found = [known.hits(text) for text in part]
+                x = np.array([known.features(hits) for hits in found])
                 score = 1 / (1 + np.exp(-np.clip(known.weights[0] + x @ known.weights[1:], -40, 40)))
-                hits = np.rint(np.expm1(x[:, 1]) + np.expm1(x[:, 2])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(hits), pa.array(np.rint(x[:, 4] * hits).astype(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([len(h) for h in found], pa.int64()), pa.array([sum(q for *_, q in h) for h in found], pa.int64())], names=schema.names)
                 first += len(part)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run, lambda: shared.value.forget()), schema)
