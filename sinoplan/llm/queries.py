@@ -18,16 +18,16 @@ def op1_topk(spark, sf_dir):
 
 ORACLES["op1_topk"] = """
 WITH v AS (
-  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  SELECT vec_id AS id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON c.id <> q.id WHERE q.id % 50 = 0
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT q.r, q.id AS query_id, c.id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.id % 50 = 0
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s
 )
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
 """
 
 
@@ -49,7 +49,8 @@ def op4_toxicity(spark, sf_dir):
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = fit_toxicity(docs.filter(~held_out), labels.filter(~held_out))
-    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits", "n_quoted")
+    # A null id is not held out, and not learned from either.
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits", "n_quoted")
 
 
 def op5_language(spark, sf_dir):
@@ -59,7 +60,8 @@ def op5_language(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = fit_languages(docs.filter(~held_out), label_col="lang")
     found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    # A null id is not held out, and not learned from either.
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op6_main_text(spark, sf_dir):
