@@ -110,27 +110,6 @@ def test_toxicity_on_odd_texts_and_without_labels(spark, odd, none):
     assert all(0 <= r["score"] < 0.5 for r in toxicity.score_toxicity(odd, blank).collect())
 
 
-def test_automaton_equals_brute_force():
-    import random
-
-    def one_edit(a, b):
-        i = 0
-        while i < min(len(a), len(b)) and a[i] == b[i]:
-            i += 1
-        return a == b or a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
-
-    draw = random.Random(0)
-    word = lambda: "".join(draw.choice("abc") for _ in range(draw.randint(3, 8)))
-    terms = {word(): 1.0 for _ in range(40)}
-    lexicon = toxicity.Lexicon(terms, {}, frozenset(t for t in terms if len(t) >= 5))
-    for _ in range(3000):
-        w = word()
-        near = [t for t in lexicon.fuzzy if one_edit(w, t)]
-        found = lexicon.near(w)
-        assert (found is None) == (not near) and (found is None or found[0] in near)
-        assert w in terms or (lexicon.match(w) is None) == (not near)
-
-
 def test_near_copies_of_odd_texts(odd, none):
     got = nearcopies.jaccard_join(odd).collect()
     assert len(got) == len(ODD)
