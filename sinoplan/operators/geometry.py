@@ -142,3 +142,43 @@ def slice_plan(volumes: DataFrame, pitch: float, most: int = 240) -> DataFrame:
     planes = told.filter(first <= last).withColumn("__i", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     k = F.least(F.greatest(F.rint((F.col("__i") * F.col("__s") - F.col("__lo")) / F.col("dz")), F.lit(0.0)), F.col("n_z") - 1)
     return planes.select(*volumes.columns, (F.col("__i") * F.col("__m")).cast("long").alias("step"), k.cast("int").alias("slice"), (F.col("__i") * F.col("__s")).alias("z"))
+
+
+def strip_affine(coefficients: list[float], degree: int) -> list[float]:
+    """A displacement without its shift, slope in x and slope in y: means over the square [-1, 1] are taken out.
+
+    The mean of x to an even power k is 1 / (k + 1), to an odd one nothing.
+    """
+    mean = lambda k: 0.0 if k % 2 else 1.0 / (k + 1)
+    terms = warp_terms(degree)
+    part = {(1 if d else 0, e): (3.0 if d or e else 1.0) * sum(c * mean(i + d) * mean(j + e) for c, (i, j) in zip(coefficients, terms, strict=True)) for d, e in ((0, 0), (1, 0), (0, 1))}
+    return [c - part.get(term, 0.0) for c, term in zip(coefficients, terms, strict=True)]
+
+
+def perturb_rays(rays: DataFrame, r_s: float, sdd: float, da: float = 0.0, db: float = 0.0, shift_a: float = 0.0, shift_b: float = 0.0, eta: float = 0.0, phi: float = 0.0, psi: float = 0.0, stretch: float = 1.0) -> DataFrame:
+    """Rays of a detector that is shifted by parts of a pixel and tilted: eta in its plane, phi and psi out of it; ``stretch`` scales the source's distance.
+
+    Directions are taken to where they meet the detector's plane, moved there, and made of unit length.
+    """
+    sx, sy, sz = (-F.col(f"o{x}") / r_s for x in "xyz")
+    dot = F.col("dx") * sx + F.col("dy") * sy + F.col("dz") * sz
+    told = rays.withColumns({"__sx": sx, "__sy": sy, "__sz": sz, "__k": sdd / dot})
+    told = told.withColumns({f"__p{x}": F.col(f"d{x}") * F.col("__k") for x in "xyz"})
+    # u = (-s_y, s_x, 0) along the rows, v = (0, 0, 1) along the columns.
+    a = -F.col("__px") * F.col("__sy") + F.col("__py") * F.col("__sx")
+    b = F.col("__pz")
+    along_u, along_v, along_s = shift_a * da - eta * b, shift_b * db + eta * a, psi * a + phi * b
+    new = {"x": F.col("__px") - along_u * F.col("__sy") + along_s * F.col("__sx"), "y": F.col("__py") + along_u * F.col("__sx") + along_s * F.col("__sy"), "z": F.col("__pz") + along_v + along_s * F.col("__sz")}
+    told = told.withColumns({f"__n{x}": c for x, c in new.items()})
+    size = F.sqrt(F.col("__nx") * F.col("__nx") + F.col("__ny") * F.col("__ny") + F.col("__nz") * F.col("__nz"))
+    return told.withColumns({f"d{x}": F.col(f"__n{x}") / size for x in "xyz"} | {f"o{x}": F.col(f"o{x}") * stretch for x in "xyz"}).select(*rays.columns)
+
+
+def regrid_rows(pix: DataFrame, group: list[str], axis: str, at: str, value: str) -> DataFrame:
+    """Rows whose samples stand at rising places ``at`` on whole places of ``axis``, linearly between neighbours."""
+    w = Window.partitionBy(*group).orderBy(axis)
+    told = pix.withColumns({"__x1": F.lead(at).over(w), "__v1": F.lead(value).over(w)}).filter(F.col("__x1").isNotNull())
+    first, last = F.ceil(at).cast("int"), F.ceil("__x1").cast("int") - 1
+    placed = told.filter(last >= first).withColumn("__a", F.explode(F.sequence(first, last)))
+    line = F.col(value) + (F.col("__v1") - F.col(value)) * (F.col("__a") - F.col(at)) / (F.col("__x1") - F.col(at))
+    return placed.withColumns({value: line, axis: F.col("__a")}).drop("__x1", "__v1", "__a", at)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import huber
+from sinoplan.operators.spectral import with_vals
 
 
 def projection_metrics(pairs: DataFrame, group: list[str], p: str = "p", t: str = "t") -> DataFrame:
@@ -75,7 +77,7 @@ def losses(pairs: DataFrame, group: list[str], p: str = "p", t: str = "t") -> Da
     """MSE, MSE weighted by exp(-t), and Huber's loss at 1.345 robust deviations (lower median)."""
     r = F.col(p) - F.col(t)
     delta = pairs.groupBy(*group).agg((1.345 * F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs({p} - {t}))") / 0.6745).alias("delta"))
-    met = pairs.join(F.broadcast(delta), group)
+    met = pairs.join(delta, group)
     return met.groupBy(*group).agg(F.avg(r * r).alias("mse"), F.avg(F.exp(-F.col(t)) * r * r).alias("weighted"), F.avg(huber(r, F.col("delta"))).alias("huber"))
 
 
@@ -84,7 +86,7 @@ def row_weighted_mse(pairs: DataFrame, group: list[str], length: str = "length",
     w = F.when(F.col(length) > 0, 1.0 / F.col(length)).otherwise(0.0)
     told = pairs.withColumn("__w", w)
     middle = told.groupBy(*group).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY __w)").alias("__m"))
-    met = told.join(F.broadcast(middle), group)
+    met = told.join(middle, group)
     clamped = F.least(F.greatest(F.col("__w"), F.col("__m") / most), F.col("__m") * most) / F.col("__m")
     return met.groupBy(*group).agg(F.avg(clamped * F.pow(F.col(p) - F.col(t), 2)).alias("row_weighted"))
 
@@ -118,3 +120,48 @@ def priors(vox: DataFrame, axes: list[str], value: str = "mu", low: float = 0.0,
     concave = sum((F.coalesce(F.avg(F.pow(F.col(f"d_{x}"), 2) / (F.pow(F.col(f"d_{x}"), 2) + eps * eps)), F.lit(0.0)) for x in axes), F.lit(0.0))
     norm = sum((F.coalesce(F.sum(F.pow(F.col(f"d_{x}"), 2)), F.lit(0.0)) for x in axes), F.lit(0.0))
     return d.agg(tv.alias("tv"), (F.avg(well) / eps + eps * square).alias("double_well"), concave.alias("concave"), F.avg(F.abs(value)).alias("l1"), F.avg(F.pow(value, 2)).alias("l2"), F.sqrt(norm).alias("gradient_norm"), F.sqrt(F.sum(F.pow(value, 2))).alias("norm"))
+
+
+def smooth_axis(vox: DataFrame, axes: list[str], axis: str, sigma: float, value: str = "mu") -> DataFrame:
+    """Gaussian smoothing along an axis, reflected at its ends; lines along it are whole and go as arrays."""
+    others = [x for x in axes if x != axis]
+    lines = vox.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(axis, value))).alias("line"))
+    lines = lines.select(*others, F.transform("line", lambda p: p[value]).alias("vals"))
+    reach = int(4 * sigma + 0.5)
+    taps = [math.exp(-0.5 * (t / sigma) ** 2) for t in range(-reach, reach + 1)]
+
+    def change(column):
+        for row in column:
+            x = np.array(row.as_py(), float)
+            n = len(x)
+            at = np.arange(-reach, reach + 1)[:, None] + np.arange(n)[None, :]
+            m = np.mod(at, 2 * n)
+            yield np.array(taps) / sum(taps) @ x[np.where(m < n, m, 2 * n - 1 - m)]
+
+    return with_vals(lines, change).select(*others, F.posexplode("vals").alias(axis, value)).select(*axes, value)
+
+
+def edge_weight(vox: DataFrame, axes: list[str], sigma: float = 2.0, value: str = "mu") -> DataFrame:
+    """Edges that stand out at all of three scales: geometric mean of gradient sizes, each over its largest, and over its own.
+
+    Central differences of the volume smoothed by sigma / 4, sigma / 2 and sigma; at a face that of the
+    voxel beside it.
+    """
+    out = None
+    for n, s in enumerate((sigma / 4, sigma / 2, sigma)):
+        smooth = vox.select(*axes, value)
+        for x in axes:
+            smooth = smooth_axis(smooth, axes, x, s, value)
+        square = F.lit(0.0)
+        for x in axes:
+            w = Window.partitionBy(*[y for y in axes if y != x]).orderBy(x)
+            smooth = smooth.withColumn(f"g_{x}", (F.lead(value).over(w) - F.lag(value).over(w)) / 2)
+            smooth = smooth.withColumn(f"g_{x}", F.coalesce(f"g_{x}", F.lead(f"g_{x}").over(w), F.lag(f"g_{x}").over(w), F.lit(0.0)))
+            square = square + F.col(f"g_{x}") * F.col(f"g_{x}")
+        size = smooth.select(*axes, F.sqrt(square).alias(f"e{n}"))
+        most = size.agg(F.max(f"e{n}").alias("most"))
+        size = size.crossJoin(F.broadcast(most)).select(*axes, F.when(F.col("most") > 0, F.col(f"e{n}") / F.col("most")).otherwise(F.col(f"e{n}")).alias(f"e{n}"))
+        out = size if out is None else out.join(size, axes)
+    mean = out.select(*axes, F.pow(F.col("e0") * F.col("e1") * F.col("e2"), F.lit(1.0 / 3)).alias("weight"))
+    most = mean.agg(F.max("weight").alias("most"))
+    return mean.crossJoin(F.broadcast(most)).select(*axes, F.when(F.col("most") > 0, F.col("weight") / F.col("most")).otherwise(F.col("weight")).alias("weight"))

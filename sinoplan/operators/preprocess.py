@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import clamp_transmission, line_integral, transmission
+from sinoplan.operators.lineage import checkpointed
+from sinoplan.operators.statistics import named_quantiles
 
 
 def flat_field(pix: DataFrame, field: DataFrame | None, counts: str = "v", mode: str = "none", hard: bool = False, ceiling: float | None = 1.05) -> DataFrame:
@@ -22,7 +24,8 @@ def air_columns(pix: DataFrame, value: str = "v", most: float = 0.05) -> DataFra
     half = F.greatest(F.lit(1), F.floor(F.col("nb") / 8))
     middle = F.floor(F.col("nb") / 2)
     band = pix.crossJoin(F.broadcast(rows)).filter((F.col("b") >= middle - half) & (F.col("b") < middle + half)).drop("nb")
-    air = band.groupBy("a").agg(F.percentile(value, 0.95).alias("p95")).filter(F.col("p95") <= most).select("a")
+    # A list of columns, no longer than a detector row, is read several times.
+    air = checkpointed(named_quantiles(band, ["a"], value, {"p95": 0.95}).filter(F.col("p95") <= most).select("a"))
     return band.join(air, "a", "left_semi")
 
 
@@ -30,7 +33,7 @@ def air_offsets(pix: DataFrame, value: str = "v", most: float = 0.05, least_colu
     """The level of air of each frame; zero throughout if too few columns are air."""
     air = air_columns(pix, value, most)
     enough = air.agg((F.countDistinct("a") >= least_columns).alias("enough"))
-    offsets = air.groupBy("k").agg(F.percentile(value, 0.5).alias("level"))
+    offsets = named_quantiles(air, ["k"], value, {"level": 0.5})
     return pix.select("k").distinct().join(offsets, "k", "left").crossJoin(F.broadcast(enough)).select("k", F.when(F.col("enough"), F.coalesce("level", F.lit(0.0))).otherwise(0.0).alias("offset"))
 
 

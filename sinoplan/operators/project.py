@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import PI
 
@@ -61,18 +64,70 @@ def backward(matrix: DataFrame, rays: DataFrame, value: str, key: str = "ray_id"
     return matrix.join(rays, key).groupBy("i", "j", "l").agg(F.sum(F.col("w") * F.col(value)).alias("v"))
 
 
-def backproject(vox: DataFrame, pix: DataFrame, views: DataFrame, r_s: float, sdd: float, pitch: float, cpa: float, cpb: float, value: str = "v", weighted: bool = True) -> DataFrame:
-    """Voxel-driven backprojection: each voxel (x, y, z) takes from each view (k, theta) what its ray shows.
-
-    Views are few and sent to all voxels; pixels are met by their four corners.
+def _footprint(c: Column, s: Column, r_s: float, sdd: float, pitch: float, cpa: float, cpb: float) -> dict[str, Column]:
+    """The rows and columns of a detector that a box of voxels (x0..z1) can fall on: its corners bound it."""
+    at = {"b": [], "a": []}
+    for n in range(8):
+        x, y, z = (F.col(f"{axis}{n >> k & 1}") for k, axis in enumerate("xyz"))
+        scale = sdd / (r_s + x * c + y * s + 1e-8) / pitch
+        at["b"].append(scale * z + cpb)
+        at["a"].append(scale * (y * c - x * s) + cpa)
+    return {f"{axis}{end}": F.floor(f(*places)).cast("int") + end for axis, places in at.items() for end, f in ((0, F.least), (1, F.greatest))}
+
+
+def _accumulate(r_s: float, sdd: float, pitch: float, cpa: float, cpb: float, weighted: bool):
+    def run(key, vox, seen):
+        x, y, z = (vox[c].to_numpy() for c in "xyz")
+        total = np.zeros(len(x))
+        seen = seen.sort_by([("k", "ascending"), ("b", "ascending")])
+        k, b, theta, a0 = (seen[c].to_numpy() for c in ("k", "b", "theta", "a0"))
+        rows = seen["vals"].combine_chunks()
+        for at in np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)]):
+            end = at + int(np.searchsorted(k[at:], k[at], "right"))
+            width = len(rows[int(at)])
+            # The window with nothing around it, so that corners outside of it read as zero.
+            window = np.zeros((int(b[end - 1] - b[at]) + 3, width + 2))
+            window[b[at:end] - b[at] + 1, 1:-1] = rows.slice(int(at), end - int(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            s, c = np.sin(theta[at]), np.cos(theta[at])
+            u = r_s + x * c + y * s + 1e-8
+            pb, pa_ = sdd / u * z / pitch + cpb - b[at] + 1, sdd / u * (y * c - x * s) / pitch + cpa - a0[at] + 1
+            fb, fa = np.floor(pb), np.floor(pa_)
+            scale = (r_s / u) ** 2 if weighted else 1.0
+            for db in (0, 1):
+                for da in (0, 1):
+                    i, j = (fb + db).astype(int), (fa + da).astype(int)
+                    inside = (i >= 0) & (i < window.shape[0]) & (j >= 0) & (j < window.shape[1])
+                    weight = np.abs(1 - db - (pb - fb)) * np.abs(1 - da - (pa_ - fa)) * scale
+                    total += np.where(inside, window[np.where(inside, i, 0), np.where(inside, j, 0)], 0.0) * weight
+        return pa.table([vox["i"], vox["j"], vox["l"], pa.array(total)], names=["i", "j", "l", "bp"])
+
+    return run
+
+
+def backproject(vox: DataFrame, rows: DataFrame, views: DataFrame, r_s: float, sdd: float, pitch: float, cpa: float, cpb: float, weighted: bool = True, tile: int = 32, lot: int = 512) -> DataFrame:
+    """Voxel-driven backprojection: each voxel (i, j, l, x, y, z) takes from each view (k, theta) what its ray shows.
+
+    ``rows``: detector rows (k, b, vals), all of one length in a view. A tile of ``tile`` voxels a side
+    meets, of ``lot`` views at a time, only the window of the detector that it can fall on: rows are
+    found by (k, b) and cut to the window's columns, and sums are made in the tile. What is shuffled
+    are windows, not voxels times views. Every voxel has a row; nothing is outside the detector.
     """
-    met = vox.crossJoin(F.broadcast(views))
-    s, c = F.sin("theta"), F.cos("theta")
-    u = r_s + F.col("x") * c + F.col("y") * s + 1e-8
-    at = {"b": sdd / u * F.col("z") / pitch + cpb, "a": sdd / u * (F.col("y") * c - F.col("x") * s) / pitch + cpa}
-    weight = F.pow(r_s / u, 2) if weighted else F.lit(1.0)
-    spread = corners(met.select("i", "j", "l", "k", weight.alias("scale"), *(p.alias(f"__{n}") for n, p in at.items())), {n: F.col(f"__{n}") for n in at})
-    return spread.join(pix.select("k", "b", "a", value), ["k", "b", "a"]).groupBy("i", "j", "l").agg(F.sum(F.col("w") * F.col("scale") * F.col(value)).alias("bp"))
+    place = [F.floor(F.col(x) / tile).cast("int").alias(f"t{x}") for x in "ijl"]
+    tiled = vox.select("i", "j", "l", *(F.col(c).cast("double").alias(c) for c in "xyz"), *place)
+    names = ["ti", "tj", "tl"]
+    boxes = tiled.groupBy(*names).agg(*(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))))
+    boxes = boxes.select(*(F.col(n).alias(n.replace("t", "s")) for n in names), *(f"{c}{n}" for c in "xyz" for n in (0, 1)))
+    met = boxes.crossJoin(views.select("k", F.col("theta").cast("double").alias("theta")))
+    met = met.withColumns(_footprint(F.cos("theta"), F.sin("theta"), r_s, sdd, pitch, cpa, cpb))
+    boxed = ["si", "sj", "sl"]
+    asked = met.select(*boxed, "k", "theta", "a0", "a1", F.explode(F.sequence(F.col("b0"), F.col("b1"))).alias("b"))
+    first = F.greatest(F.col("a0"), F.lit(0))
+    last = F.least(F.col("a1"), F.size("vals") - 1)
+    seen = asked.join(rows.select("k", "b", "vals"), ["k", "b"]).filter(last >= first)
+    seen = seen.select(*boxed, F.floor(F.col("k") / lot).cast("int").alias("lot"), "k", "b", "theta", first.alias("a0"), F.slice("vals", first + 1, last - first + 1).alias("vals"))
+    lots = views.select(F.floor(F.col("k") / lot).cast("int").alias("lot")).distinct()
+    parts = tiled.crossJoin(lots).groupBy(*names, "lot").cogroup(seen.groupBy(*boxed, "lot")).applyInArrow(_accumulate(r_s, sdd, pitch, cpa, cpb, weighted), "i int, j int, l int, bp double")
+    return parts.groupBy("i", "j", "l").agg(F.sum("bp").alias("bp"))
 
 
 def shift(vox: DataFrame, axes: dict[str, float], value: str = "mu") -> DataFrame:
@@ -87,3 +142,30 @@ def shift(vox: DataFrame, axes: dict[str, float], value: str = "mu") -> DataFram
 def conjugate(beta: Column, gamma: Column) -> Column:
     """The view in which the same line is measured from the other side."""
     return F.pmod(beta + PI + 2 * gamma, F.lit(2 * PI))
+
+
+def importance_samples(bins: DataFrame, key: str, count: int, eps: float = 1e-5) -> DataFrame:
+    """Places along each ray drawn by weight: ``bins`` (key, s, lo, hi, w) in, (key, q, t) out.
+
+    Place q is where the share (q + 0.5) / count of all weight lies below, on a straight line within
+    its bin; ``eps`` keeps bins without weight open.
+    """
+    w = Window.partitionBy(key).orderBy("s")
+    told = bins.withColumn("__w", F.col("w") + eps)
+    share = F.col("__w") / F.sum("__w").over(Window.partitionBy(key))
+    told = told.withColumn("__p", share).withColumn("__upto", F.sum("__p").over(w)).withColumn("__from", F.col("__upto") - F.col("__p"))
+    first = F.greatest(F.ceil(F.col("__from") * count - 0.5 - 1e-12), F.lit(0))
+    last = F.least(F.ceil(F.col("__upto") * count - 0.5 - 1e-12) - 1, F.lit(count - 1))
+    placed = told.filter(last >= first).withColumn("q", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    part = ((F.col("q") + 0.5) / count - F.col("__from")) / F.greatest(F.col("__p"), F.lit(1e-5))
+    return placed.select(key, "q", (F.col("lo") + part * (F.col("hi") - F.col("lo"))).alias("t"))
+
+
+def midplanes(vox: DataFrame, n: tuple[int, int, int], value: str = "mu") -> DataFrame:
+    """The three planes through the middle voxel: (view, u, v, value); the filters reach the scan."""
+    planes = {"axial": ("l", "i", "j"), "coronal": ("j", "i", "l"), "sagittal": ("i", "j", "l")}
+    out = None
+    for (view, (axis, u, v)), size in zip(planes.items(), (n[2], n[1], n[0]), strict=True):
+        plane = vox.filter(F.col(axis) == size // 2).select(F.lit(view).alias("view"), F.col(u).alias("u"), F.col(v).alias("v"), value)
+        out = plane if out is None else out.unionByName(plane)
+    return out

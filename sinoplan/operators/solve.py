@@ -26,11 +26,13 @@ def transmission_weights(data: DataFrame) -> Column:
     return F.least(F.greatest(F.exp(-F.col("p")), F.lit(1e-6)), F.lit(2.0))
 
 
-def sirt_step(matrix: DataFrame, vox: DataFrame, data: DataFrame, relax: float = 1.0, nonnegative: bool = True) -> DataFrame:
-    """x + relax * C A^T R (b - A x)."""
+def sirt_step(matrix: DataFrame, vox: DataFrame, data: DataFrame, relax: float = 1.0, nonnegative: bool = True, rows: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """x + relax * C A^T R (b - A x); the weights R and C of the matrix are given, or worked out."""
+    rows = row_weights(matrix) if rows is None else rows
+    columns = column_weights(matrix) if columns is None else columns
     seen = forward(matrix, vox).withColumnRenamed("p", "ax")
-    residual = data.join(seen, "ray_id").join(row_weights(matrix), "ray_id").select("ray_id", ((F.col("p") - F.col("ax")) * F.col("r")).alias("e"))
-    moved = backward(matrix, residual, "e").join(column_weights(matrix), VOXEL).select(*VOXEL, (F.col("v") * F.col("c")).alias("step"))
+    residual = data.join(seen, "ray_id").join(rows, "ray_id").select("ray_id", ((F.col("p") - F.col("ax")) * F.col("r")).alias("e"))
+    moved = backward(matrix, residual, "e").join(columns, VOXEL).select(*VOXEL, (F.col("v") * F.col("c")).alias("step"))
     mu = F.col("mu") + relax * F.coalesce("step", F.lit(0.0))
     return vox.join(moved, VOXEL, "left").select(*VOXEL, (F.greatest(mu, F.lit(0.0)) if nonnegative else mu).alias("mu"))
 
@@ -42,11 +44,12 @@ def landweber_step(matrix: DataFrame, vox: DataFrame, data: DataFrame, relax: fl
     return vox.join(backward(matrix, residual, "e"), VOXEL, "left").select(*VOXEL, (F.col("mu") + relax * F.coalesce("v", F.lit(0.0))).alias("mu"))
 
 
-def mlem_step(matrix: DataFrame, vox: DataFrame, data: DataFrame) -> DataFrame:
+def mlem_step(matrix: DataFrame, vox: DataFrame, data: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """x * A^T(b / A x) / A^T 1, negative data counted as none."""
+    columns = column_weights(matrix) if columns is None else columns
     seen = forward(matrix, vox).withColumnRenamed("p", "ax")
     ratio = data.join(seen, "ray_id").select("ray_id", F.coalesce(F.try_divide(F.greatest("p", F.lit(0.0)), F.col("ax")), F.lit(0.0)).alias("e"))
-    factor = backward(matrix, ratio, "e").join(column_weights(matrix), VOXEL).select(*VOXEL, (F.col("v") * F.col("c")).alias("f"))
+    factor = backward(matrix, ratio, "e").join(columns, VOXEL).select(*VOXEL, (F.col("v") * F.col("c")).alias("f"))
     return vox.join(factor, VOXEL, "left").select(*VOXEL, (F.col("mu") * F.coalesce("f", F.lit(1.0))).alias("mu"))
 
 
@@ -62,21 +65,54 @@ def adam_step(state: DataFrame, gradient: DataFrame, step: int, rate: float = 1e
     return moved.select(*VOXEL, F.greatest(F.col("mu") - update, F.lit(0.0)).alias("mu"), "m", "s")
 
 
-def iterate(matrix: DataFrame, vox: DataFrame, data: DataFrame, steps: int, method: str = "sirt", relax: float = 1.0, shrink: float = 1.0, blocks: int = 1) -> DataFrame:
+def iterate(matrix: DataFrame, vox: DataFrame, data: DataFrame, steps: int, method: str = "sirt", relax: float = 1.0, shrink: float = 1.0, blocks: int = 1, score=None, patience: int = 4, margin: float = 0.0) -> DataFrame:
     """Run a solver; with ``blocks`` > 1 each step goes through ordered subsets of the rays in turn.
 
-    The matrix is checkpointed once and the volume after each step, so that the plan does not grow
-    and a lost executor costs one step.
+    The matrix and its weights are checkpointed once and the volume after each step, so that the plan
+    does not grow and a lost executor costs one step. ``score``: a function of the volume, higher is
+    better; the run stops when it made no progress beyond ``margin`` for ``patience`` steps in a row, and
+    the volume of the best step is handed out.
     """
     matrix, data = checkpointed(matrix), checkpointed(data)
-    parts = [F.pmod(F.col("ray_id"), F.lit(blocks)) == k for k in range(blocks)] if blocks > 1 else [F.lit(True)]
+    parts = []
+    for k in range(blocks):
+        mine = F.pmod(F.col("ray_id"), F.lit(blocks)) == k if blocks > 1 else F.lit(True)
+        some = matrix.filter(mine)
+        rows = checkpointed(row_weights(some)) if method == "sirt" else None
+        parts.append((some, data.filter(mine), rows, checkpointed(column_weights(some)) if method != "landweber" else None))
+    best, kept, bad = None, vox, 0
     for n in range(steps):
-        for part in parts:
-            some, told = matrix.filter(part), data.filter(part)
-            rate = relax * shrink**n
-            vox = {"sirt": lambda: sirt_step(some, vox, told, rate), "mlem": lambda: mlem_step(some, vox, told), "landweber": lambda: landweber_step(some, vox, told, rate)}[method]()  # noqa: B023
+        rate = relax * shrink**n
+        for some, told, rows, columns in parts:
+            if method == "sirt":
+                vox = sirt_step(some, vox, told, rate, rows=rows, columns=columns)
+            elif method == "mlem":
+                vox = mlem_step(some, vox, told, columns)
+            elif method == "landweber":
+                vox = landweber_step(some, vox, told, rate)
+            else:
+                raise ValueError(f"unknown method {method!r}; known: landweber, mlem, sirt")
             vox = checkpointed(vox)
-    return vox
+        if score is not None:
+            now = score(vox)
+            progress = best is None or now > best + margin
+            if best is None or now > best:
+                best, kept = now, vox
+            bad = 0 if progress else bad + 1
+            if bad >= patience:
+                break
+    return vox if score is None else kept
+
+
+def held_out_score(matrix: DataFrame, data: DataFrame):
+    """A score for ``iterate``: minus the mean squared residual of rays that the solver does not see."""
+    matrix, data = checkpointed(matrix), checkpointed(data)
+
+    def score(vox: DataFrame) -> float:
+        met = data.join(forward(matrix, vox).withColumnRenamed("p", "ax"), "ray_id", "left")
+        return -(met.agg(F.avg(F.pow(F.col("p") - F.coalesce("ax", F.lit(0.0)), 2))).first()[0] or 0.0)
+
+    return score
 
 
 def cgls(matrix: DataFrame, data: DataFrame, vox: DataFrame, steps: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Row filters and power spectra.
 
-Rows are arrays of at most a few thousand samples. The circulant form stays in the JVM; the FFT runs
-on Arrow batches.
+Rows are arrays of at most a few thousand samples, worked on a batch at a time: a product of matrices
+or an FFT of all rows of an Arrow batch. Spectra leave a batch as sums by group.
 """
 
 from __future__ import annotations
@@ -28,39 +28,60 @@ def impulse_response(n: int, pitch: float, kind: str, cutoff: float = 1.0) -> li
     return np.fft.irfft(frequency_response(n, pitch, kind, cutoff), n).tolist()
 
 
-def filter_circulant(frames: DataFrame, n: int, pitch: float, kind: str = "hamming", cutoff: float = 1.0) -> DataFrame:
-    """Filter rows (vals of ``n`` samples) by circular weights, by array functions alone."""
-    h = F.array(*map(F.lit, impulse_response(n, pitch, kind, cutoff)))
-    spread = frames.withColumn("__h", h)
-    sample = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, j: s + F.element_at("vals", (j + 1).cast("int")) * F.element_at("__h", (F.pmod(i - j, F.lit(n)) + 1).cast("int")))
-    return spread.withColumn("vals", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), sample)).drop("__h")
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    """The arrays of a batch, ``n`` samples each, as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), n)
 
 
-def filter_fft(frames: DataFrame, pitch: float, kind: str = "hamming", cutoff: float = 1.0, padded: bool = False) -> DataFrame:
-    """Filter rows by FFT; ``padded``: with zeros to the next power of two of twice the length."""
+def with_vals(frames: DataFrame, change) -> DataFrame:
+    """``frames`` with ``vals`` as ``change`` makes it of the batch's column."""
     at = frames.columns.index("vals")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row in batch.column(at):
-                x = np.array(row.as_py(), float)
-                n = 1 << (2 * len(x) - 1).bit_length() if padded else len(x)
-                out.append(np.fft.irfft(np.fft.rfft(x, n) * frequency_response(n, pitch, kind, cutoff), n)[: len(x)] if len(x) else x)
             columns = batch.columns
-            columns[at] = pa.array(out, pa.list_(pa.float64()))
+            columns[at] = pa.array(list(change(columns[at])), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     schema = T.StructType([T.StructField("vals", T.ArrayType(T.DoubleType())) if f.name == "vals" else f for f in frames.schema.fields])
     return frames.mapInArrow(run, schema)
 
 
+def filter_circulant(frames: DataFrame, n: int, pitch: float, kind: str = "hamming", cutoff: float = 1.0) -> DataFrame:
+    """Filter rows (vals of ``n`` samples) by circular weights, as a product with the circulant matrix."""
+    h = np.array(impulse_response(n, pitch, kind, cutoff))
+    matrix = h[(np.arange(n)[None, :] - np.arange(n)[:, None]) % n]
+    return with_vals(frames, lambda column: _rows(column, n) @ matrix)
+
+
+def filter_fft(frames: DataFrame, pitch: float, kind: str = "hamming", cutoff: float = 1.0, padded: bool = False) -> DataFrame:
+    """Filter rows by FFT; ``padded``: with zeros to the next power of two of twice the length."""
+
+    def change(column):
+        for row in column:
+            x = np.array(row.as_py(), float)
+            n = 1 << (2 * len(x) - 1).bit_length() if padded else len(x)
+            yield np.fft.irfft(np.fft.rfft(x, n) * frequency_response(n, pitch, kind, cutoff), n)[: len(x)] if len(x) else x
+
+    return with_vals(frames, change)
+
+
 def power_spectrum(frames: DataFrame, n: int, group: list[str]) -> DataFrame:
-    """Mean power of rows of ``n`` samples at each frequency bin, by array functions alone."""
-    part = lambda wave, f: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, j: s + F.element_at("vals", (j + 1).cast("int")) * wave(2 * math.pi / n * F.pmod(j * f, F.lit(n))))
-    bins = frames.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n // 2))))
-    power = F.pow(part(F.cos, F.col("f")), 2) + F.pow(part(F.sin, F.col("f")), 2)
-    return bins.groupBy(*group, "f").agg(F.avg(power).alias("power"))
+    """Mean power of rows of ``n`` samples at each frequency bin, summed up by group before anything is shuffled."""
+    wanted = frames.select(*group, "vals")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                power = np.abs(np.fft.rfft(_rows(batch.column(len(group)), n), axis=1)) ** 2
+                keys = pa.Table.from_batches([batch.select(group)]).append_column("__r", pa.array(np.arange(batch.num_rows))).group_by(group).aggregate([("__r", "list")])
+                sums = [power[rows.as_py()].sum(axis=0) for rows in keys["__r_list"]]
+                sizes = [len(rows) for rows in keys["__r_list"]]
+                yield pa.RecordBatch.from_arrays([*(keys[g].combine_chunks() for g in group), pa.array(sums, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], names=[*group, "sums", "m"])
+
+    schema = T.StructType([*(wanted.schema[g] for g in group), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("m", T.LongType())])
+    parts = wanted.mapInArrow(run, schema).select(*group, "m", F.posexplode("sums").alias("f", "s"))
+    return parts.groupBy(*group, "f").agg((F.sum("s") / F.sum("m")).alias("power"))
 
 
 def wiener_gain(signal: DataFrame, noise: DataFrame, group: list[str]) -> DataFrame:
@@ -74,3 +95,59 @@ def spectral_split(left: DataFrame, right: DataFrame, group: list[str], cross: i
     met = left.withColumnRenamed("power", "l").join(right.withColumnRenamed("power", "r"), [*group, "f"]).filter("l > 0 AND r > 0 AND f > 0")
     ratio = 10 * F.log10(F.col("l") / F.col("r"))
     return met.groupBy(*group).agg(F.avg(F.when(F.col("f") < cross, F.greatest(-ratio, F.lit(0.0)))).alias("deficit"), F.avg(F.when(F.col("f") >= cross, F.greatest(ratio, F.lit(0.0)))).alias("excess"))
+
+
+def filtered_residual(residual: DataFrame, gain: DataFrame, n: int, group: list[str]) -> DataFrame:
+    """Mean square of rows of ``n`` samples after a filter of their frequencies: (group, value).
+
+    ``gain``: (f, gain), or by group as well. The mean square of a row is the mean of its power over all
+    frequencies, those that a real transform leaves out counted by their mirror images.
+    """
+    on = [c for c in [*group, "f"] if c in gain.columns]
+    power = power_spectrum(residual, n, group).join(gain, on)
+    times = F.when((F.col("f") == 0) | ((n % 2 == 0) & (F.col("f") == n // 2)), 1.0).otherwise(2.0)
+    return power.groupBy(*group).agg((F.sum(times * F.col("power") * F.col("gain") * F.col("gain")) / (n * n)).alias("value"))
+
+
+def cosine_ramp(n: int) -> list[float]:
+    """The ramp in cycles a sample under a cosine window."""
+    f = np.fft.rfftfreq(n)
+    return np.clip(f * np.cos(math.pi * f / (2 * f.max() + 1e-8)), 0, None).tolist()
+
+
+def radial_power(rows: DataFrame, n: int, group: list[str]) -> DataFrame:
+    """Mean power of square patches of ``n`` by ``n`` (group, b, vals) at each distance from the middle of the spectrum.
+
+    Distances are rounded, ties to even; those beyond the last ring count to it. A patch is one group.
+    """
+    y, x = np.mgrid[:n, :n] - n // 2
+    rings = n // 2
+    ring = np.minimum(np.rint(np.sqrt(x * x + y * y)).astype(int), rings - 1).ravel()
+    size = np.maximum(np.bincount(ring, minlength=rings), 1)
+
+    def run(key, table):
+        table = table.sort_by("b")
+        patch = np.array(table["vals"].to_pylist(), float).reshape(n, n)
+        power = np.abs(np.fft.fftshift(np.fft.fft2(patch))) ** 2
+        found = np.bincount(ring, power.ravel(), rings) / size
+        return pa.table([*(pa.array([k.as_py()] * rings, k.type) for k in key), pa.array(np.arange(rings, dtype=np.int32)), pa.array(found)], names=[*group, "f", "power"])
+
+    schema = T.StructType([*(rows.schema[g] for g in group), T.StructField("f", T.IntegerType()), T.StructField("power", T.DoubleType())])
+    return rows.select(*group, "b", "vals").groupBy(*group).applyInArrow(run, schema)
+
+
+def spectral_match(power: DataFrame, target: DataFrame, group: list[str], pitch_f: float, low: float = 0.5, high: float = 1.5, knee: float = 1.5, base: float = 0.1, floor: float = 1e-3) -> DataFrame:
+    """How far a spectrum's shape is from a target's beyond a band in which both are made equal: mean |log10| by group.
+
+    ``pitch_f``: frequency of one ring. Weights rise from ``base`` at the knee to 1 at the last ring.
+    """
+    f = F.col("f") * pitch_f
+    met = power.join(target.withColumnRenamed("power", "green"), "f").withColumn("freq", f)
+    band = (F.col("freq") >= low) & (F.col("freq") <= high)
+    means = met.groupBy(*group).agg(F.greatest(F.avg(F.when(band, F.col("power"))), F.lit(1e-20)).alias("pa"), F.greatest(F.avg(F.when(band, F.col("green"))), F.lit(1e-20)).alias("ga"), F.max("freq").alias("top"))
+    met = met.join(means, group)
+    left = F.log10(F.greatest(F.col("power") / F.col("pa"), F.lit(floor * 1e-3)))
+    right = F.log10(F.greatest(F.col("green") / F.col("ga"), F.lit(floor)))
+    ramp = F.least(F.greatest((F.col("freq") - knee) / (F.greatest(F.col("top"), F.lit(knee + 1e-6)) - knee), F.lit(0.0)), F.lit(1.0))
+    weight = F.when(F.col("freq") > high, base + (1 - base) * ramp).otherwise(0.0)
+    return met.groupBy(*group).agg((F.sum(weight * F.abs(left - right)) / F.greatest(F.sum(weight), F.lit(1e-12))).alias("loss"))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import mirrored
+from sinoplan.operators.lineage import checkpointed
+
+
+#: Bins that a group's values are counted in where exact ranks are looked for.
+BINS = 1 << 12
 
 
 def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
@@ -16,9 +21,53 @@ def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
     return F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
 
 
+def _binned(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Values as doubles with their bin between the ends of their group: (group, v, n, bin)."""
+    rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    ends = rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    met = rows.join(ends, group) if group else rows.crossJoin(F.broadcast(ends))
+    share = F.nanvl(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0))
+    return met.select(*group, "v", "n", F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int").alias("bin"))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
+    """Exact linear quantiles of each group, one row a group: (group, x), x in the order of ``at``.
+
+    Three scans with small shuffles, so that no task holds a group: ends and size; counts of equal bins,
+    which tell in which bin each rank lies; and the values of those bins alone, counted and put in
+    order. A value column that is a double can be of any spread; bins of very many equal values are one
+    row each.
+    """
+    rows = _binned(df, group, value)
+    counts = rows.groupBy(*group, "bin").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    w = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("m").over(w))
+    sizes = counts.groupBy(*group).agg(F.first("n").alias("n"))
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in at]
+    ranks = F.array_distinct(F.concat(F.array(*(F.floor(p) for p in place)), F.array(*(F.ceil(p) for p in place))))
+    inside = lambda low, high: F.filter("ranks", lambda r: (r >= low) & (r < high))
+    # The ranks are made once a group, not once a bin.
+    sizes = sizes.select(*group, ranks.alias("ranks"))
+    bins = (upto.join(sizes, group) if group else upto.crossJoin(F.broadcast(sizes))).withColumn("before", F.col("upto") - F.col("m"))
+    bins = bins.withColumn("ranks", inside(F.col("before"), F.col("upto"))).filter(F.size("ranks") > 0).select(*group, "bin", "before", "ranks")
+    some = rows.join(bins, [*group, "bin"]).groupBy(*group, "bin", "v").agg(F.count("*").alias("m"), F.first("before").alias("before"), F.first("ranks").alias("ranks"), F.first("n").alias("n"))
+    v = Window.partitionBy(*group, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = some.withColumn("upto", F.col("before") + F.sum("m").over(v))
+    found = found.select(*group, "n", "v", F.explode(inside(F.col("upto") - F.col("m"), F.col("upto"))).alias("rank"))
+    found = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("by"), F.first("n").alias("n"))
+    read = lambda p: F.element_at("by", F.floor(p)) + (F.element_at("by", F.ceil(p)) - F.element_at("by", F.floor(p))) * (p - F.floor(p))
+    return found.select(*group, F.array(*(read(p) for p in place)).alias("x"))
+
+
+def named_quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``quantiles`` as columns of their own."""
+    found = quantiles(df, group, value, list(at.values()))
+    return found.select(*group, *(F.col("x")[n].alias(name) for n, name in enumerate(at)))
+
+
 def limits(df: DataFrame, group: list[str], value: str, low: float, high: float) -> DataFrame:
     """Two percentiles of each group, one row a group."""
-    return df.groupBy(*group).agg(F.percentile(value, low).alias("low"), F.percentile(value, high).alias("high"))
+    return named_quantiles(df, group, value, {"low": low, "high": high})
 
 
 def histogram(df: DataFrame, group: list[str], value: str, edges: DataFrame | None = None, bins: int = 256, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -34,17 +83,18 @@ def histogram(df: DataFrame, group: list[str], value: str, edges: DataFrame | No
 
 def mode(df: DataFrame, group: list[str], value: str, bins: int = 256) -> DataFrame:
     """Tallest bin between the percentiles 0.5 and 99.5, refined by a parabola; the median if they are equal."""
-    edges = limits(df, group, value, 0.005, 0.995)
+    told = named_quantiles(df, group, value, {"low": 0.005, "high": 0.995, "median": 0.5})
+    told = checkpointed(told)  # one row a group
+    edges = told.drop("median")
     hist = histogram(df, group, value, edges, bins)
     w = Window.partitionBy(*group).orderBy("bin")
-    told = hist.withColumns({"y0": F.lag("n").over(w), "y2": F.lead("n").over(w)})
-    top = told.groupBy(*group).agg(F.max_by(F.struct("bin", "n", "y0", "y2", "low", "high"), F.struct("n", -F.col("bin"))).alias("t")).select(*group, "t.*")
+    beside = hist.withColumns({"y0": F.lag("n").over(w), "y2": F.lead("n").over(w)})
+    top = beside.groupBy(*group).agg(F.max_by(F.struct("bin", "n", "y0", "y2", "low", "high"), F.struct("n", -F.col("bin"))).alias("t")).select(*group, "t.*")
     size = (F.col("high") - F.col("low")) / bins
     bend = F.col("y0") - 2.0 * F.col("n") + F.col("y2")
     shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("y0") - F.col("y2")) / F.nullif(bend, F.lit(0.0))))
     peak = top.select(*group, (F.col("low") + (F.col("bin") + 0.5) * size + F.coalesce(shift, F.lit(0.0)) * size).alias("mode"))
-    median = df.groupBy(*group).agg(F.percentile(value, 0.5).alias("median"))
-    return median.join(peak, group, "left").select(*group, F.coalesce("mode", "median").alias("mode"))
+    return told.select(*group, "median").join(peak, group, "left").select(*group, F.coalesce("mode", "median").alias("mode"))
 
 
 def smoothed_counts(hist: DataFrame, group: list[str], sigma: float = 3.0) -> DataFrame:
@@ -81,21 +131,25 @@ def peaks(hist: DataFrame, group: list[str], height: str = "n") -> DataFrame:
 
 
 def value_quantum(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The smallest gap between different values."""
-    w = Window.partitionBy(*group).orderBy(value)
-    gaps = df.select(*group, value).distinct().withColumn("gap", F.col(value) - F.lag(value).over(w))
-    return gaps.groupBy(*group).agg(F.min("gap").alias("quantum"))
+    """The smallest gap between different values: within bins of them, and from one bin to the next."""
+    values = _binned(df, group, value).select(*group, "bin", "v").distinct()
+    w = Window.partitionBy(*group, "bin").orderBy("v")
+    gaps = values.withColumn("gap", F.col("v") - F.lag("v").over(w))
+    bins = gaps.groupBy(*group, "bin").agg(F.min("gap").alias("gap"), F.min("v").alias("low"), F.max("v").alias("high"))
+    beside = F.col("low") - F.lag("high").over(Window.partitionBy(*group).orderBy("bin"))
+    return bins.withColumn("gap", F.least("gap", beside)).groupBy(*group).agg(F.min("gap").alias("quantum"))
 
 
 def landmarks(df: DataFrame, group: list[str], value: str, bands: dict[str, tuple[float, float]]) -> DataFrame:
     shares = [F.avg(((F.col(value) >= a) & (F.col(value) < b)).cast("double")).alias(name) for name, (a, b) in bands.items()]
-    quantiles = [F.percentile(value, q).alias(f"p{str(q * 100).rstrip('0').rstrip('.').replace('.', '_')}") for q in (0.01, 0.5, 0.99, 0.999)]
-    return df.groupBy(*group).agg(*shares, *quantiles, F.min(value).alias("low"), F.max(value).alias("high"))
+    at = {f"p{str(q * 100).rstrip('0').rstrip('.').replace('.', '_')}": q for q in (0.01, 0.5, 0.99, 0.999)}
+    return df.groupBy(*group).agg(*shares, F.min(value).alias("low"), F.max(value).alias("high")).join(named_quantiles(df, group, value, at), group)
 
 
 def statistics(df: DataFrame, group: list[str], value: str, split: float) -> DataFrame:
     """Quantiles, moments (population) and the modes on both sides of a value."""
-    all_of = df.groupBy(*group).agg(F.percentile(value, 0.01).alias("p1"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.99).alias("p99"), F.percentile(value, 0.999).alias("p99_9"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    all_of = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    all_of = all_of.join(named_quantiles(df, group, value, {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p99_9": 0.999}), group)
     below, above = mode(df.filter(F.col(value) < split), group, value), mode(df.filter(F.col(value) >= split), group, value)
     return all_of.join(below.withColumnRenamed("mode", "air_mode"), group, "left").join(above.withColumnRenamed("mode", "tissue_mode"), group, "left")
 
@@ -108,8 +162,9 @@ def find_anchors(df: DataFrame, group: list[str], value: str, bins: int = 256, l
     peaks clearly above it with ``tissue_ratio``, the one of the largest basin, else the largest of all
     (flagged). Populations without either are left out.
     """
+    # One row a group, and the bins of each: what follows reads both several times.
     edges = limits(df, group, value, 0.0002, 0.9998).select(*group, (F.col("low") - 0.03 * (F.col("high") - F.col("low"))).alias("low"), (F.col("high") + 0.03 * (F.col("high") - F.col("low"))).alias("high"))
-    hist = histogram(df, group, value, edges, bins)
+    hist = checkpointed(histogram(df, group, value, checkpointed(edges), bins))
     smooth = smoothed_counts(hist, group)
     tops = peaks(smooth.withColumn("n", F.round("h", 9)), group)
     raw = hist.select(*group, "bin", "n", "low", "high")
@@ -128,7 +183,7 @@ def find_anchors(df: DataFrame, group: list[str], value: str, bins: int = 256, l
 def quantile_function(df: DataFrame, group: list[str], value: str, n: int = 256) -> DataFrame:
     """n quantiles at the middles of equal shares: (group, q, value)."""
     at = [(i + 0.5) / n for i in range(n)]
-    found = df.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("x"))
+    found = quantiles(df, group, value, at)
     return found.select(*group, F.posexplode("x").alias("q", "x"))
 
 

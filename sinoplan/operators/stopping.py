@@ -71,6 +71,45 @@ def l_curve(points: DataFrame, residual: str, norm: str, group: str = "run", edg
     return bent.withColumn("corner", F.coalesce(inner & (F.abs("curvature") >= least) & falls, F.lit(False))).drop("__i", "__n")
 
 
+def smoothed_curve(points: DataFrame, columns: list[str], group: str = "run", width: int = 9) -> DataFrame:
+    """Columns smoothed along iter by the parabola through ``width`` neighbours that fits best; at the ends, that of the first or last.
+
+    Runs of fewer evaluations stay as they are. The weights of a parabola at t of what stands at u, both
+    counted from the middle, are a constant, a linear and a quadratic part.
+    """
+    half = width // 2
+    squares = sum(t * t for t in range(-half, half + 1))
+    mean = squares / width
+    fourth = sum((t * t - mean) ** 2 for t in range(-half, half + 1))
+    weight = lambda t, u: 1.0 / width + t * u / squares + (t * t - mean) * (u * u - mean) / fourth
+    each, every = Window.partitionBy(group).orderBy("iter"), Window.partitionBy(group)
+    placed = points.withColumns({"__i": F.row_number().over(each) - 1, "__n": F.count("*").over(every)})
+    start = F.greatest(F.lit(0), F.least(F.col("__i") - half, F.col("__n") - width))
+    met = placed.select("*", F.explode(F.sequence(start, F.least(start + width, F.col("__n")) - 1)).alias("__j"), start.alias("__s"))
+    source = placed.select(group, F.col("__i").alias("__j"), *(F.col(c).alias(f"__{c}") for c in columns))
+    met = met.join(source, [group, "__j"]).withColumn("__w", weight(F.col("__i") - F.col("__s") - half, F.col("__j") - F.col("__s") - half))
+    out = met.groupBy(*points.columns, "__n").agg(*(F.sum(F.col("__w") * F.col(f"__{c}")).alias(f"__s_{c}") for c in columns))
+    return out.select(*(F.when(F.col("__n") < width, F.col(c)).otherwise(F.col(f"__s_{c}")).alias(c) if c in columns else c for c in points.columns))
+
+
+def l_curve_corner(points: DataFrame, residual: str, norm: str, group: str = "run", width: int = 9, least: float = 0.5) -> DataFrame:
+    """The corner of each run's L-curve (group, corner_iter, curvature), null where there is none.
+
+    The curve is scaled and smoothed; of the points away from its ends that bend by ``least`` and across
+    which the residual does not rise and the norm does not fall, the sharpest is the corner.
+    """
+    every, w = Window.partitionBy(group), Window.partitionBy(group).orderBy("iter")
+    scaled = lambda c: F.coalesce(F.try_divide(F.log(c) - F.min(F.log(c)).over(every), F.max(F.log(c)).over(every) - F.min(F.log(c)).over(every)), F.lit(0.0))
+    told = points.withColumns({"x": scaled(residual), "y": scaled(norm)}).select(group, "iter", residual, norm, "x", "y")
+    bent = menger_curvature(smoothed_curve(told, ["x", "y"], group, width), "x", "y", group)
+    bent = bent.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(every), "__trade": (F.lead(residual).over(w) <= F.lag(residual).over(w)) & (F.lead(norm).over(w) >= F.lag(norm).over(w))})
+    edge = F.when(F.col("__n") >= width, width // 2).otherwise(0)
+    inner = (F.col("__i") >= F.greatest(F.lit(1), edge + 1)) & (F.col("__i") < F.least(F.col("__n") - 1, F.col("__n") - edge - 1)) & (F.col("__n") >= 5)
+    good = F.when(inner & F.col("__trade") & (F.abs("curvature") >= least), F.struct(F.abs("curvature").alias("size"), (-F.col("iter")).alias("later")))
+    top = bent.groupBy(group).agg(F.max(good).alias("top"))
+    return top.select(group, (-F.col("top.later")).cast("int").alias("corner_iter"), F.col("top.size").alias("curvature"))
+
+
 def reduce_on_plateau(trace: DataFrame, rate: float, factor: float = 0.5, patience: int = 3, cooldown: int = 1, floor: float = 0.01, group: str = "run") -> DataFrame:
     """The rate after each evaluation: cut by ``factor`` after ``patience`` ones without progress, then left alone for ``cooldown``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sinoplan.plans import geometry, metrics, ordered, preprocessing, reconstruct, statistics  # noqa: F401
+from sinoplan.plans import alignment, geometry, metrics, ordered, preprocessing, reconstruct, regions, statistics  # noqa: F401
 from sinoplan.plans.registry import ORACLES, QUERIES
 
 

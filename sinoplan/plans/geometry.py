@@ -8,7 +8,9 @@ from sinoplan.functions.columns import PI, parker_weight, r6
 from sinoplan.operators import geometry as geo
 from sinoplan.operators import project as pro
 from sinoplan.operators import solve
+from sinoplan.operators.lineage import checkpointed
 from sinoplan.plans.registry import query
+from sinoplan.plans.scans import GRID, turn
 from sinoplan.plans.tables import read, stack
 
 _SCANS = """g AS (SELECT s_suppkey, 100.0::DOUBLE + s_suppkey % 50 AS r_s, 300.0::DOUBLE + s_suppkey % 70 AS sdd, 0.1 + 0.001::DOUBLE * (s_suppkey % 10) AS pitch, (200 + s_suppkey % 30)::INT AS n_a, (100 + s_suppkey % 20)::INT AS n_b,
@@ -165,7 +167,8 @@ _STEP = _MATRIX + ", z AS (SELECT i, j, l, 0.05::DOUBLE AS mu FROM vx), dat AS (
 
 
 def _start(spark, sf_dir):
-    m, v = matrix(spark, sf_dir), phantom(spark, sf_dir)
+    # The matrix is read several times in a step; it is made once.
+    m, v = checkpointed(matrix(spark, sf_dir)), phantom(spark, sf_dir)
     return m, v.select("i", "j", "l", F.lit(0.05).alias("mu")), pro.forward(m, v)
 
 
@@ -215,18 +218,14 @@ def cgls_run(spark, sf_dir):
     return solve.cgls(m, data, x, 3).withColumn("mu", r6(F.col("mu")))
 
 
-@query("""WITH @STACK, vx AS (SELECT DISTINCT (p_partkey % 8)::INT AS i, (p_partkey // 8 % 8)::INT AS j, (p_partkey // 64 % 4)::INT AS l FROM part), x AS (SELECT *, (i - 3.5) * 0.8 AS x, (j - 3.5) * 0.8 AS y, (l - 1.5) * 0.5 AS z FROM vx), t AS (SELECT DISTINCT k, 2 * pi() * k / 10 AS th FROM s),
-u AS (SELECT x.*, k, 50 + x * cos(th) + y * sin(th) + 1e-8 AS u, th FROM x, t), q AS (SELECT i, j, l, k, (50 / u) ** 2 AS sc, 80 / u * z / 0.2 + 15.5 AS b, 80 / u * (y * cos(th) - x * sin(th)) / 0.2 + 31.5 AS a FROM u),
+@query(f"""WITH @STACK, {GRID},
+u AS (SELECT x.*, k, 50 + x * cos(th) + y * sin(th) + 1e-8 AS u, th FROM x, t), q AS (SELECT i, j, l, k, (50 / u) ** 2 AS sc, 80 / u * z / 0.2 + (nb - 1) / 2.0 AS b, 80 / u * (y * cos(th) - x * sin(th)) / 0.2 + (na - 1) / 2.0 AS a FROM u, n),
 c AS (SELECT i, j, l, k, sc, (floor(b) + p)::INT AS b, (floor(a) + o)::INT AS a, abs(1 - p - (b - floor(b))) * abs(1 - o - (a - floor(a))) AS w FROM q, range(2) r1(p), range(2) r2(o))
-SELECT c.i, c.j, c.l, round(sum(w * sc * v), 6) + 0.0 AS bp FROM c JOIN s USING (k, b, a) GROUP BY c.i, c.j, c.l""")
+SELECT c.i, c.j, c.l, round(sum(w * sc * coalesce(v, 0)), 6) + 0.0 AS bp FROM c LEFT JOIN s USING (k, b, a) GROUP BY c.i, c.j, c.l""")
 def backproject(spark, sf_dir):
-    """The stack as ten views around a grid of voxels that the parts place."""
-    k = F.col("p_partkey")
-    vox = read(spark, sf_dir, "part").select((k % 8).cast("int").alias("i"), (F.floor(k / 8) % 8).cast("int").alias("j"), (F.floor(k / 64) % 4).cast("int").alias("l")).distinct()
-    vox = vox.withColumns({"x": (F.col("i") - 3.5) * 0.8, "y": (F.col("j") - 3.5) * 0.8, "z": (F.col("l") - 1.5) * 0.5})
-    pix = stack(spark, sf_dir)
-    angles = pix.select("k").distinct().withColumn("theta", 2 * PI * F.col("k") / 10)
-    return pro.backproject(vox, pix, angles, 50.0, 80.0, 0.2, 31.5, 15.5).withColumn("bp", r6(F.col("bp")))
+    """The stack as views of a full turn, backprojected to a grid that covers the detector."""
+    rows, views, vox, scan = turn(spark, sf_dir)
+    return pro.backproject(vox, rows, views, scan.r_s, scan.sdd, scan.pitch, scan.cpa, scan.cpb).withColumn("bp", r6(F.col("bp")))
 
 
 @query("""WITH @STACK, n AS (SELECT max(b) AS nb, max(a) AS na FROM s), q AS (SELECT k, b, a, least(greatest(b + 0.3, 0), nb) AS pb, least(greatest(a - 0.6, 0), na) AS pa FROM s, n),
@@ -238,12 +237,14 @@ def volume_shift(spark, sf_dir):
     return pro.shift(vox, {"i": 0.0, "j": 0.3, "l": -0.6}).withColumn("mu", r6(F.col("mu")))
 
 
-@query("""WITH @STACK, c(cpa) AS (VALUES (30.5::DOUBLE), (31.0), (31.5), (32.0)), p AS (SELECT cpa, k, b, a, v, ((k + 5) % 10) AS k2, (2 * cpa - a)::INT AS a2 FROM s, c)
+@query("""WITH @STACK, n AS (SELECT count(DISTINCT k) AS nk, max(a) + 1 AS na FROM s), c AS (SELECT (na - 1) / 2.0 + (i - 2) / 2.0 AS cpa, nk FROM n, range(4) r(i)), p AS (SELECT cpa, k, b, a, v, ((k + nk // 2) % nk) AS k2, (2 * cpa - a)::INT AS a2 FROM s, c)
 SELECT p.cpa, round(var_samp(p.v - s.v), 6) AS cost, count(*) AS n FROM p JOIN s ON s.k = p.k2 AND s.b = p.b AND s.a = p.a2 WHERE abs(p.v) > 0.02 AND abs(s.v) > 0.02 GROUP BY p.cpa""")
 def conjugate_cost(spark, sf_dir):
     """Variance of what opposite views disagree by, for candidate centres of rotation; the least is the estimate."""
     pix = stack(spark, sf_dir)
-    centres = spark.createDataFrame([(30.5,), (31.0,), (31.5,), (32.0,)], "cpa double")
-    asked = pix.crossJoin(F.broadcast(centres)).select("cpa", "b", F.col("v").alias("v1"), ((F.col("k") + 5) % 10).alias("k"), (2 * F.col("cpa") - F.col("a")).cast("int").alias("a"))
+    size = pix.agg(F.countDistinct("k").alias("nk"), (F.max("a") + 1).alias("na"))
+    centres = size.select("nk", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("na") - 1) / 2.0 + (i - 2) / 2.0)).alias("cpa"))
+    # Four rows.
+    asked = pix.crossJoin(F.broadcast(centres)).select("cpa", "b", F.col("v").alias("v1"), ((F.col("k") + F.floor(F.col("nk") / 2)) % F.col("nk")).cast("int").alias("k"), (2 * F.col("cpa") - F.col("a")).cast("int").alias("a"))
     met = asked.join(pix, ["k", "b", "a"]).filter((F.abs("v1") > 0.02) & (F.abs("v") > 0.02))
     return met.groupBy("cpa").agg(F.round(F.var_samp(F.col("v1") - F.col("v")), 6).alias("cost"), F.count("*").alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sinoplan.functions.columns import clamp_transmission, r6, soft_clamp_lower, soft_clamp_upper
 from sinoplan.operators import preprocess as op
+from sinoplan.operators.lineage import shared_folder
 from sinoplan.plans.registry import query
-from sinoplan.plans.tables import lineitem, stack
+from sinoplan.plans.tables import frames, lineitem, stack
+from sinoplan.sources import vff
 
 _AIR = """h AS (SELECT greatest(1, (max(b) + 1) // 8) AS h, (max(b) + 1) // 2 AS m FROM p),
 band AS (SELECT p.* FROM p, h WHERE b >= m - h AND b < m + h),
@@ -71,3 +75,14 @@ WINDOW l AS (PARTITION BY k, b ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND C
 SELECT k, b, a, round(CASE WHEN v <= 0.15 THEN v WHEN lv IS NOT NULL AND rv IS NOT NULL THEN lv + (rv - lv) * (a - la) / (ra - la) ELSE coalesce(lv, rv, v) END, 6) + 0.0 AS v FROM t""")
 def metal_gap_fill(spark, sf_dir):
     return op.fill_gaps(stack(spark, sf_dir), 0.15).select("k", "b", "a", r6(F.col("v")).alias("v"))
+
+
+@query("WITH @STACK SELECT k, b, a, least(greatest(round_even(v * 1000, 0), -32768), 32767)::DOUBLE + 0.0 AS v FROM s")
+def vff_roundtrip(spark, sf_dir):
+    """The frames written as VFF files, each by one task, and read again."""
+    folder = f"{shared_folder(spark)}/vff-{uuid.uuid4().hex}"
+    names = F.lpad(F.col("k").cast("string"), 6, "0")
+    files = vff.encoded_frames(frames(spark, sf_dir).withColumn("scan", F.concat(F.lit("acq-00-"), names)), "scan", scale=1000.0)
+    vff.save_files(files, folder).agg(F.sum("bytes")).first()
+    rows = vff.frame_stack(vff.read_vff(spark, folder), step=1.0)
+    return rows.select(F.col("k").cast("int").alias("k"), "b", F.posexplode("vals").alias("a", "v")).select("k", "b", "a", F.col("v").cast("double").alias("v"))

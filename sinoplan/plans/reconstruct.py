@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinoplan.functions.columns import PI, cone_weight, parker_weight, r6
 from sinoplan.operators import preprocess, project, solve, spectral
 from sinoplan.plans.registry import query
-from sinoplan.plans.tables import frames, read
-
-
-@dataclass(frozen=True)
-class Scan:
-    """What a scanner looks like; lengths in mm, centres in pixels."""
-
-    r_s: float
-    sdd: float
-    pitch: float
-    n_a: int
-    n_b: int
-    cpa: float
-    cpb: float
+from sinoplan.plans.scans import GRID, Scan, turn
+from sinoplan.plans.tables import vectors
 
 
 def prepare(pix: DataFrame, field: DataFrame | None, air: float | None = 0.05, ring_width: int | None = 51) -> DataFrame:
@@ -42,15 +28,15 @@ def fdk(rows: DataFrame, views: DataFrame, vox: DataFrame, scan: Scan, kind: str
     """
     count = views.agg(F.count("*").alias("n")).first()["n"]
     weighted = rows.withColumn("vals", F.transform("vals", lambda v, a: v * cone_weight(a, F.col("b"), scan.n_a, scan.n_b, scan.pitch, scan.sdd)))
-    filtered = spectral.filter_fft(weighted, scan.pitch, kind, cutoff)
-    pix = filtered.select("k", "b", F.posexplode("vals").alias("a", "v"))
+    filtered = spectral.filter_fft(weighted, scan.pitch, kind, cutoff).select("k", "b", "vals")
     step = 2 * PI / count if span is None else span / max(count - 1, 1)
     if span is not None:
         first = views.agg(F.min("theta").alias("t0"))
         beta = views.crossJoin(F.broadcast(first)).select("k", (F.col("theta") - F.col("t0")).alias("beta"))
-        gamma = F.atan((F.col("a") - scan.n_a / 2) * scan.pitch / scan.sdd)
-        pix = pix.join(F.broadcast(beta), "k").withColumn("v", F.col("v") * parker_weight(F.col("beta"), gamma, F.lit(span))).drop("beta")
-    out = project.backproject(vox, pix, views, scan.r_s, scan.sdd, scan.pitch, scan.cpa, scan.cpb)
+        gamma = lambda a: F.atan((a - scan.n_a / 2) * scan.pitch / scan.sdd)
+        weight = lambda v, a: v * parker_weight(F.col("beta"), gamma(a), F.lit(span))
+        filtered = filtered.join(beta, "k").withColumn("vals", F.transform("vals", weight)).drop("beta")
+    out = project.backproject(vox, filtered, views, scan.r_s, scan.sdd, scan.pitch, scan.cpa, scan.cpb)
     # Filtering is done at the detector; lengths there are larger by the magnification.
     scale = step * (0.5 if span is None else 1.0) * scan.sdd / scan.r_s
     return out.select("i", "j", "l", (F.col("bp") * scale).alias("mu"))
@@ -63,31 +49,22 @@ def iterative(rays: DataFrame, data: DataFrame, shape: tuple[int, int, int], siz
     return solve.iterate(matrix, start, data, steps, method, **options)
 
 
-@query("""WITH @STACK, cw AS (SELECT k, b, a, v * 80 / (sqrt(6400 + ((a - 32) * 0.2) ** 2 + ((b - 16) * 0.2) ** 2) + 1e-8) AS v FROM s),
-w AS (SELECT f, CASE WHEN f / 12.8 <= 2.5 THEN f / 12.8 * (0.54 + 0.46 * cos(pi() * (f / 12.8) / 2.5)) ELSE 0 END AS h FROM range(33) r(f)),
-h AS (SELECT d, sum(h * cos(2 * pi() * ((d * f) % 64) / 64) * CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END) / 64 AS h FROM w, range(64) t(d) GROUP BY d),
-fl AS (SELECT k, b, o.a AS a, sum(v * h) AS v FROM cw JOIN h ON true JOIN range(64) o(a) ON h.d = (o.a - cw.a + 64) % 64 GROUP BY k, b, o.a),
-vx AS (SELECT DISTINCT (p_partkey % 6)::INT AS i, (p_partkey // 6 % 6)::INT AS j, (p_partkey // 36 % 3)::INT AS l FROM part), x AS (SELECT *, (i - 2.5) * 0.8 AS x, (j - 2.5) * 0.8 AS y, (l - 1) * 0.5 AS z FROM vx), t AS (SELECT DISTINCT k, 2 * pi() * k / 10 AS th FROM s),
-u AS (SELECT x.*, k, 50 + x * cos(th) + y * sin(th) + 1e-8 AS u, th FROM x, t), q AS (SELECT i, j, l, k, (50 / u) ** 2 AS sc, 80 / u * z / 0.2 + 15.5 AS b, 80 / u * (y * cos(th) - x * sin(th)) / 0.2 + 31.5 AS a FROM u),
+@query(f"""WITH @STACK, {GRID}, cw AS (SELECT k, b, a, v * 80 / (sqrt(6400 + ((a - na / 2.0) * 0.2) ** 2 + ((b - nb / 2.0) * 0.2) ** 2) + 1e-8) AS v FROM s, n),
+w AS (SELECT f, na, CASE WHEN f / (na * 0.2) <= 2.5 THEN f / (na * 0.2) * (0.54 + 0.46 * cos(pi() * (f / (na * 0.2)) / 2.5)) ELSE 0 END AS h FROM (SELECT na, unnest(range(na // 2 + 1)) AS f FROM n)),
+h AS (SELECT d, sum(h * cos(2 * pi() * ((d * f) % na) / na) * CASE WHEN f IN (0, na // 2) THEN 1 ELSE 2 END) / any_value(na) AS h FROM (SELECT w.*, unnest(range(na)) AS d FROM w) GROUP BY d),
+fl AS (SELECT k, b, o.d AS a, sum(v * h.h) AS v FROM cw JOIN h o ON true JOIN n ON true JOIN h ON h.d = (o.d - cw.a + na) % na GROUP BY k, b, o.d),
+u AS (SELECT x.*, k, 50 + x * cos(th) + y * sin(th) + 1e-8 AS u, th FROM x, t), q AS (SELECT i, j, l, k, (50 / u) ** 2 AS sc, 80 / u * z / 0.2 + (nb - 1) / 2.0 AS b, 80 / u * (y * cos(th) - x * sin(th)) / 0.2 + (na - 1) / 2.0 AS a FROM u, n),
 c AS (SELECT i, j, l, k, sc, (floor(b) + p)::INT AS b, (floor(a) + o)::INT AS a, abs(1 - p - (b - floor(b))) * abs(1 - o - (a - floor(a))) AS w FROM q, range(2) r1(p), range(2) r2(o))
-SELECT c.i, c.j, c.l, round(sum(w * sc * v) * 2 * pi() / (SELECT count(*) FROM t) * 0.5 * 80 / 50, 6) + 0.0 AS mu FROM c JOIN fl USING (k, b, a) GROUP BY c.i, c.j, c.l""")
+SELECT c.i, c.j, c.l, round(sum(w * sc * coalesce(v, 0)) * 2 * pi() / (SELECT count(*) FROM t) * 0.5 * 80 / 50, 6) + 0.0 AS mu FROM c LEFT JOIN fl USING (k, b, a) GROUP BY c.i, c.j, c.l""")
 def fdk_volume(spark, sf_dir):
-    """The stack as ten cone-beam views, filtered and backprojected."""
-    k = F.col("p_partkey")
-    vox = read(spark, sf_dir, "part").select((k % 6).cast("int").alias("i"), (F.floor(k / 6) % 6).cast("int").alias("j"), (F.floor(k / 36) % 3).cast("int").alias("l")).distinct()
-    vox = vox.withColumns({"x": (F.col("i") - 2.5) * 0.8, "y": (F.col("j") - 2.5) * 0.8, "z": (F.col("l") - 1) * 0.5})
-    rows = frames(spark, sf_dir)
-    views = rows.select("k").distinct().withColumn("theta", 2 * PI * F.col("k") / 10)
-    return fdk(rows, views, vox, Scan(50.0, 80.0, 0.2, 64, 32, 31.5, 15.5)).withColumn("mu", r6(F.col("mu")))
+    """The stack as cone-beam views of a full turn, filtered and backprojected to a grid that covers the detector."""
+    return fdk(*turn(spark, sf_dir)).withColumn("mu", r6(F.col("mu")))
 
 
 @query("""WITH @STACK, h AS (SELECT s.*, hash FROM s JOIN (SELECT vec_id, label::INT AS k2, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS b2, vec_id % 5 AS hash FROM embeddings) g ON g.k2 = s.k AND g.b2 = s.b)
 SELECT k, count(*) AS rays, round(avg(120 * cos(2 * pi() * k / 10)), 6) + 0.0 AS toward, round(sum(v), 6) + 0.0 AS target FROM h WHERE (a + hash) % 7 = 0 AND k <> 3 GROUP BY k""")
 def sampled_rays(spark, sf_dir):
     """A repeatable sample of rays with one view withheld, with their targets gathered by pixel."""
-    from pyspark.sql.window import Window
-
-    place = Window.partitionBy("label").orderBy("vec_id")
-    e = read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("k"), (F.row_number().over(place) - 1).cast("int").alias("b"), (F.col("vec_id") % 5).alias("h"), F.posexplode("embedding").alias("a", "v"))
+    e = vectors(spark, sf_dir).select("k", "b", (F.col("vec_id") % 5).alias("h"), F.posexplode("embedding").alias("a", "v"))
     kept = e.filter((F.col("k") != 3) & ((F.col("a") + F.col("h")) % 7 == 0))
     return kept.groupBy("k").agg(F.count("*").alias("rays"), r6(F.avg(120 * F.cos(2 * PI * F.col("k") / 10))).alias("toward"), r6(F.sum(F.col("v").cast("double"))).alias("target"))

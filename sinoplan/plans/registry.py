@@ -9,12 +9,15 @@ ORACLES: dict[str, str] = {}
 STACK = """e AS (SELECT label::INT AS k, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS b, embedding FROM embeddings),
 s AS (SELECT k, b, unnest(range(0, len(embedding)))::INT AS a, unnest(embedding)::DOUBLE AS v FROM e)"""
 
+#: The largest box that all frames fill: x (k, b, a, v).
+BOX = "x AS (SELECT k, b, a, v FROM s WHERE b < (SELECT min(m) FROM (SELECT k, max(b) + 1 AS m FROM s GROUP BY k)))"
+
 
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql.replace("@STACK", STACK)
+            ORACLES[f.__name__] = sql.replace("@STACK", STACK).replace("@BOX", BOX)
         return f
 
     return register

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sinoplan.functions.columns import affine, anchor_scale, band_fraction, r6
 from sinoplan.operators import statistics as op
+from sinoplan.operators.lineage import checkpointed
 from sinoplan.operators.preprocess import running_median
 from sinoplan.operators.support import extent
 from sinoplan.plans.registry import query
@@ -78,8 +79,9 @@ SELECT g AS l_returnflag, round(avg(d), 6) + 0.0 AS plain, round(sum(w * d) / su
 def census_w1(spark, sf_dir):
     """Distance of each flag's quantile function from that of all, plain and with a knee in the weights."""
     items = lineitem(spark, sf_dir)
-    left = op.quantile_function(items, ["l_returnflag"], "l_quantity", 64)
-    right = items.select("l_returnflag").distinct().crossJoin(F.broadcast(op.quantile_function(items, [], "l_quantity", 64)))
+    # Sixty-four rows a flag, read twice.
+    left = checkpointed(op.quantile_function(items, ["l_returnflag"], "l_quantity", 64))
+    right = left.select("l_returnflag").distinct().crossJoin(checkpointed(op.quantile_function(items, [], "l_quantity", 64)))
     share = (F.col("q") + 0.5) / 64
     weight = 0.2 + 0.8 * F.pow(F.least(F.greatest((share - 0.5) / 0.5, F.lit(0.0)), F.lit(1.0)), F.lit(2.0))
     plain, told = op.quantile_distance(left, right, ["l_returnflag"]), op.quantile_distance(left, right, ["l_returnflag"], weight)
@@ -92,9 +94,9 @@ SELECT l_returnflag, round(any_value(s), 6) AS scale, round(any_value(o), 6) AS
 def anchor_map(spark, sf_dir):
     """Two anchors of each flag, the map they give, its inverse, and how far values lie through the bone band."""
     items = lineitem(spark, sf_dir)
-    anchors = items.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.05).alias("air"), F.percentile("l_extendedprice", 0.6).alias("tissue"))
+    anchors = op.named_quantiles(items, ["l_returnflag"], "l_extendedprice", {"air": 0.05, "tissue": 0.6})
     anchors = anchors.withColumn("s", anchor_scale(F.col("air"), F.col("tissue"))).withColumn("o", -1000 - F.col("s") * F.col("air"))
-    v, met = F.col("l_extendedprice"), items.join(F.broadcast(anchors), "l_returnflag")
+    v, met = F.col("l_extendedprice"), items.join(anchors, "l_returnflag")
     hu = affine(v, F.col("s"), F.col("o"))
     beta = band_fraction(v, F.col("tissue"), 2 * F.col("tissue"))
     return met.groupBy("l_returnflag").agg(F.round(F.first("s"), 6).alias("scale"), F.round(F.first("o"), 6).alias("offset"), F.round(F.avg(hu), 4).alias("mean_hu"), r6(F.max(F.abs((hu - F.col("o")) / F.col("s") - v))).alias("inverse_error"), F.round(F.avg(beta), 6).alias("bone"), F.round(F.avg(((beta > 0) & (beta < 1)).cast("double")), 6).alias("partial"))
@@ -132,5 +134,5 @@ def bone_anchors(spark, sf_dir):
     """Median, the robust shoulder above it and the dense end of each population."""
     part = read(spark, sf_dir, "part")
     middle = part.groupBy("p_brand").agg(F.percentile("p_retailprice", 0.5).alias("m"))
-    met = part.join(F.broadcast(middle), "p_brand")
+    met = part.join(middle, "p_brand")
     return met.groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", 0.5), 6).alias("tissue"), F.round(F.percentile(F.abs(F.col("p_retailprice") - F.col("m")), 0.5) * 1.4826 * 2.5 + F.first("m"), 6).alias("shoulder"), F.round(F.percentile("p_retailprice", 0.995), 6).alias("dense"))

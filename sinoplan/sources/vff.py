@@ -6,8 +6,11 @@ detector row, which keeps a row small however large a volume is.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,17 +117,40 @@ def encoded_volumes(vox: DataFrame, key: str = "scan", value: str = "mu", bits:
     return vox.select(key, "i", "j", "l", F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, schema)
 
 
-def save_files(files: DataFrame, folder: str, key: str = "scan", suffix: str = ".vff") -> int:
-    """Write (key, content) as files into any store that Spark writes to, one at a time; returns their number."""
-    context = files.sparkSession.sparkContext
-    jvm = context._jvm
-    n = 0
-    for row in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row[key]}{suffix}")
-        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
-        try:
-            out.write(bytearray(row["content"]))
-        finally:
-            out.close()
-        n += 1
-    return n
+def encoded_frames(rows: DataFrame, key: str = "k", bits: int = 16, scale: float = 1.0, fields: dict[str, str] | None = None) -> DataFrame:
+    """One file's content for each frame of detector rows (key, b, vals): (key, content); values are scaled first."""
+    told = fields or {}
+
+    def run(table):
+        table = table.sort_by("b")
+        raster = np.array(table["vals"].to_pylist(), float)[None] * scale
+        return pa.table([table[key].slice(0, 1), pa.array([encode(raster, told, bits)], pa.binary())], names=[key, "content"])
+
+    schema = T.StructType([rows.schema[key], T.StructField("content", T.BinaryType())])
+    return rows.select(key, "b", "vals").groupBy(key).applyInArrow(run, schema)
+
+
+def save_files(files: DataFrame, folder: str, key: str = "scan", suffix: str = ".vff") -> DataFrame:
+    """Write (key, content) as files, each by the task that has it; returns what was written (path, bytes), lazily.
+
+    ``folder`` is a path or URI of a store that Arrow can write to and that all executors see. A file is
+    written under a name of its task's own and moved to its place, so that a task run twice does no harm.
+    """
+    where = folder if "://" in folder or not folder.startswith("file:") else folder.removeprefix("file:")
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(where)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = f"{root}/{name}{suffix}"
+                own = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(content.as_buffer())
+                store.move(own, path)
+                paths.append(path)
+                sizes.append(len(content.as_buffer()))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return files.select(F.col(key).cast("string"), "content").mapInArrow(run, "path string, bytes long")
