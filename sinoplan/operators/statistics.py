@@ -43,8 +43,8 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> D
     w = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     upto = counts.withColumn("upto", F.sum("m").over(w))
     sizes = counts.groupBy(*group).agg(F.first("n").alias("n"))
-    place = [F.lit(float(p)) * (F.col("n") - 1) for p in at]
-    ranks = F.array_distinct(F.concat(F.array(*(F.floor(p) for p in place)), F.array(*(F.ceil(p) for p in place))))
+    place = F.transform(F.lit([float(p) for p in at]), lambda p: p * (F.col("n") - 1))
+    ranks = F.array_distinct(F.concat(F.transform(place, lambda p: F.floor(p)), F.transform(place, lambda p: F.ceil(p))))
     inside = lambda low, high: F.filter("ranks", lambda r: (r >= low) & (r < high))
     # The ranks are made once a group, not once a bin.
     sizes = sizes.select(*group, ranks.alias("ranks"))
@@ -56,7 +56,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> D
     found = found.select(*group, "n", "v", F.explode(inside(F.col("upto") - F.col("m"), F.col("upto"))).alias("rank"))
     found = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("by"), F.first("n").alias("n"))
     read = lambda p: F.element_at("by", F.floor(p)) + (F.element_at("by", F.ceil(p)) - F.element_at("by", F.floor(p))) * (p - F.floor(p))
-    return found.select(*group, F.array(*(read(p) for p in place)).alias("x"))
+    return found.select(*group, F.transform(place, read).alias("x"))
 
 
 def named_quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
