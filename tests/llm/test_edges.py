@@ -280,11 +280,14 @@ def test_top_k_equals_brute_force(spark):
     got = {}
     for r in topk.top_k_inner_product(df, k=5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    v = np.floor(raw * 256).astype(int)
-    for q in range(0, 700, 50):
+    # Row 700 repeats row 50: it is a candidate like any other, also for its equal, and a query of its own.
+    v, ids = np.floor(np.vstack([raw, raw[50:51]]) * 256).astype(int), [*range(700), 50]
+    want = {}
+    for q in [*range(0, 700, 50), 700]:
         score = v @ v[q]
-        best = sorted((-score[i], i) for i in range(700) if i != q)[:5]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+        best = sorted((-score[i], ids[i]) for i in range(701) if i != q)[:5]
+        want[ids[q]] = want.get(ids[q], []) + [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert all(sorted(got[q]) == sorted(want[q]) for q in want)
     assert len(got) == 14 and topk.top_k_inner_product(df.limit(0)).count() == 0
 
 
@@ -292,7 +295,7 @@ def test_max_score_prunes_and_stays_exact():
     rng = np.random.default_rng(2)
     values = (rng.normal(0, 1, (9000, 32)) * np.geomspace(100, 1, 32)).astype(int)
     ids = rng.permutation(9000)
-    for row, query_id, found, score in topk.search_shard((np.arange(3), ids[:3], values[:3]), ids, values, 7):
+    for row, query_id, found, score in topk.search_shard((np.arange(3), ids[:3], values[:3]), ids, values, np.ones(9000, int), np.arange(9000), 7):
         every = values @ values[row]
         best = sorted((-every[i], ids[i]) for i in range(9000) if ids[i] != query_id)[:7]
         assert [(-s, i) for i, s in zip(found.tolist(), score.tolist(), strict=True)] == [(s, i) for s, i in best]
