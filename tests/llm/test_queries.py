@@ -57,3 +57,12 @@ def test_held_out_accuracy(spark, duck):
 def test_planted_benchmark_passages(spark, duck):
     want = set(duck.sql("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)").fetchall())
     assert want <= {(r["doc_id"], r["item_id"]) for r in queries.op2_decontaminate(spark, DIR).collect()}
+
+
+def test_toxicity_recall_and_precision(spark):
+    """On the held-out tenth of the larger tables, each asked for on its own."""
+    large = "/root/testdata/sf0.1"
+    toxic = dict(duckdb.sql(f"select doc_id, toxic from '{large}/labels.parquet'").fetchall())
+    held = [(r["predicted"], toxic[r["doc_id"]]) for r in queries.op4_toxicity(spark, large).collect() if r["held_out"] and r["doc_id"] in toxic]
+    caught = sum(p and t for p, t in held)
+    assert caught / sum(t for _, t in held) >= 0.9 and caught / sum(p for p, _ in held) >= 0.9
