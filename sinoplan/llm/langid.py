@@ -311,7 +311,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, arrow_span), pa.array(letters, pa.int64())], names=schema.names)
                 first += n
 
-    return in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run, lambda: shared.value.forget()), schema)
+    return in_bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def rows_with_language(docs: DataFrame, model: LanguageModel, lang: str, letters: str, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -336,8 +336,15 @@ def rows_with_language(docs: DataFrame, model: LanguageModel, lang: str, letters
 
 def _spans(text: str, path: np.ndarray, turns: np.ndarray, names: list[str]) -> list[dict]:
     """Where each run of words of one language begins and ends in the text."""
-    at = [m.span() for m in WORDS.finditer(text)] if len(text) == len(text.lower()) else None
+    lower = text.lower()
+    if len(turns) == 1:  # one span, from the first letter to the last
+        where = text if len(text) == len(lower) else lower
+        end = len(where)
+        while WORDS.match(where, end - 1) is None:
+            end -= 1
+        return [{"begin": WORDS.search(where).start(), "end": end, "lang": names[path[0]]}]
+    at = [m.span() for m in WORDS.finditer(text)] if len(text) == len(lower) else None
     if at is None or len(at) != len(path):  # lower case has another length: place the words in it
-        at = [m.span() for m in WORDS.finditer(text.lower())]
+        at = [m.span() for m in WORDS.finditer(lower)]
     ends = [*turns[1:], len(path)]
     return [{"begin": at[a][0], "end": at[b - 1][1], "lang": names[path[a]]} for a, b in zip(turns, ends, strict=True)]
