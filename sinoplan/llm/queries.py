@@ -111,6 +111,45 @@ def op10_shards(spark, sf_dir):
     return shard_documents(common.table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op13_manifest(spark, sf_dir):
+    from sinoplan.llm.manifest import digests, manifest
+
+    return manifest(digests(common.table(spark, sf_dir, "documents")))
+
+
+ORACLES["op13_manifest"] = """
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS key, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)) AS crc FROM documents
+), l AS (
+  SELECT r, doc_id, key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS changed FROM f
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM l
+), up AS (
+  SELECT key, 0 AS lev, pos, leaf AS h, n FROM p
+  UNION ALL SELECT key, lev + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY key, lev, pos // 8, n
+), s AS (SELECT key, lev, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1), over_them AS (
+  SELECT 0 AS lev, pos, h, n FROM s
+  UNION ALL SELECT lev + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM over_them WHERE n > 1 GROUP BY lev, pos // 8, n
+), nodes AS (SELECT key, lev, pos, h FROM up WHERE n > 1 UNION ALL SELECT NULL, lev, pos, h FROM over_them WHERE n > 1), sides AS (
+  SELECT key, lev, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM nodes WINDOW w AS (PARTITION BY key, lev, pos // 8 ORDER BY pos)
+), fold AS (
+  SELECT r, p.key, 0 AS lev, p.pos, s.pos AS top, s.lev AS depth, changed AS v, '' AS proof FROM p JOIN s USING (key)
+  UNION ALL SELECT r, f.key, f.lev + 1, CASE WHEN f.lev + 1 = depth THEN top ELSE f.pos // 8 END, top, depth, CASE WHEN d.pos IS NULL THEN v ELSE sha256(d.a || v || d.b) END, proof || coalesce(d.a || d.b, '')
+  FROM fold f LEFT JOIN sides d ON d.key = f.key AND d.lev = f.lev AND d.pos = f.pos WHERE f.lev < depth
+), upper_fold AS (
+  SELECT r, 0 AS lev, top AS pos, v, proof FROM fold WHERE lev = depth
+  UNION ALL SELECT r, f.lev + 1, f.pos // 8, sha256(d.a || v || d.b), proof || d.a || d.b FROM upper_fold f JOIN sides d ON d.key IS NULL AND d.lev = f.lev AND d.pos = f.pos
+), root AS (SELECT lev, h FROM over_them WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, root.h AS root, sha256(u.proof) AS proof_sha256, u.v AS folded_root, u.v = root.h AS verified
+FROM p JOIN s USING (key) JOIN upper_fold u USING (r) JOIN root ON root.lev = u.lev
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
