@@ -111,6 +111,35 @@ def op10_shards(spark, sf_dir):
     return shard_documents(common.table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op12_divergence(spark, sf_dir):
+    from sinoplan.llm.divergence import source_divergence
+
+    return source_divergence(common.table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), e AS (SELECT r, lang, source, unnest(ts) AS term FROM d), k AS (
+  SELECT lang, term, count(*)::HUGEINT AS c FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang), c AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c FROM e SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), g AS (SELECT DISTINCT lang, source FROM d), s AS (
+  SELECT g.lang, g.source, v.v, coalesce(sum(c.c), 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source, v.v
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (s.n + 2 * s.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (k.c + 2) // (v.n + 2 * v.v)::HUGEINT AS q
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q
+), t AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+SELECT * FROM t WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op13_manifest(spark, sf_dir):
     from sinoplan.llm.manifest import digests, manifest
 
