@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -111,6 +113,28 @@ def op10_shards(spark, sf_dir):
     return shard_documents(common.table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op11_warc(spark, sf_dir):
+    from sinoplan.llm.archive import described, read_archive, write_archive
+
+    folder = f"{common.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archive(common.table(spark, sf_dir, "pages"), folder)
+    found = common.checkpointed(described(read_archive(spark, folder)))
+    common.remove_folder(spark, folder)
+    return found.drop("record_sha256")
+
+
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (
+  SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS s, b FROM p
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS first FROM d)
+SELECT page_id, n AS payload_bytes,
+  translate(to_base(('0x' || s[1:10])::BIGINT, 32, 8) || to_base(('0x' || s[11:20])::BIGINT, 32, 8) || to_base(('0x' || s[21:30])::BIGINT, 32, 8) || to_base(('0x' || s[31:40])::BIGINT, 32, 8),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+"""
+
+
 def op12_divergence(spark, sf_dir):
     from sinoplan.llm.divergence import source_divergence
 
