@@ -100,11 +100,11 @@ def forward_differences(vox: DataFrame, axes: list[str], value: str = "mu") -> D
     return vox.withColumns(out)
 
 
-def gradient(vox: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
-    """Central differences, one-sided at the ends: g_<axis>."""
+def gradient(vox: DataFrame, axes: list[str], value: str = "v", group: list[str] | None = None) -> DataFrame:
+    """Central differences, one-sided at the ends: g_<axis>; ``group``: columns that tell one grid from another."""
     out = {}
     for x in axes:
-        w = Window.partitionBy(*[y for y in axes if y != x]).orderBy(x)
+        w = Window.partitionBy(*(group or []), *[y for y in axes if y != x]).orderBy(x)
         before, after = F.lag(value).over(w), F.lead(value).over(w)
         out[f"g_{x}"] = F.when(before.isNull(), after - F.col(value)).when(after.isNull(), F.col(value) - before).otherwise((after - before) / 2)
     return vox.withColumns(out)
