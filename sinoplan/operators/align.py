@@ -8,13 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sinoplan.operators.blocks import AXES, SIZE, dense, plane, resampled
 from sinoplan.operators.lineage import checkpointed
-from sinoplan.operators.project import corners
-
-AXES = "ijl"
 
 
 @dataclass(frozen=True)
@@ -27,32 +27,59 @@ class Grid:
         """Where a voxel's centre is."""
         return (index - (self.n[axis] - 1) / 2.0) * self.d[axis] + self.o[axis]
 
-    def index(self, axis: int, position: Column) -> Column:
-        """Which voxel is there, in parts of one; what misses an end by rounding alone is on it."""
-        at = (position - self.o[axis]) / self.d[axis] + (self.n[axis] - 1) / 2.0
-        last = F.lit(float(self.n[axis] - 1))
-        return F.when((at < 0) & (at > -1e-6), F.lit(0.0)).when((at > last) & (at < last + 1e-6), last).otherwise(at)
-
 
-def _samples(points: DataFrame, keys: list[str], at: dict[str, Column], vox: DataFrame, grid: Grid, fill: float | None) -> DataFrame:
-    """Trilinear values ``got`` of a volume at places of its index space; outside of it ``fill``, or no row if that is None."""
-    placed = points.select(*keys, *(c.alias(f"p_{x}") for x, c in at.items()))
-    inside = reduce(lambda a, b: a & b, ((F.col(f"p_{x}") >= 0) & (F.col(f"p_{x}") <= grid.n[k] - 1) for k, x in enumerate(AXES)))
-    met = corners(placed.filter(inside), {f"c_{x}": F.col(f"p_{x}") for x in AXES})
-    source = vox.select(*(F.col(x).alias(f"c_{x}") for x in AXES), F.col("mu").alias("got"))
-    found = met.join(source, [f"c_{x}" for x in AXES]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("got")).alias("got"))
-    if fill is None:
-        return found
-    return points.select(*keys).join(found, keys, "left").withColumn("got", F.coalesce("got", F.lit(fill)))
+def places(grid: Grid, target: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each axis, where the voxels of ``target`` are in the index space of ``grid``; what misses an end by rounding alone is on it."""
+    out = []
+    for k in range(3):
+        at = ((np.arange(target.n[k]) - (target.n[k] - 1) / 2.0) * target.d[k] + target.o[k] - grid.o[k]) / grid.d[k] + (grid.n[k] - 1) / 2.0
+        last = grid.n[k] - 1
+        out.append(np.where((at < 0) & (at > -1e-6), 0.0, np.where((at > last) & (at < last + 1e-6), last, at)))
+    return tuple(out)
 
 
 def resample(vox: DataFrame, grid: Grid, target: Grid, fill: float = 0.0) -> DataFrame:
     """A volume on another grid, trilinearly; voxels that it does not reach are ``fill``, not its edge."""
-    n = target.n
-    cells = vox.sparkSession.range(n[0] * n[1] * n[2])
-    cells = cells.select((F.col("id") % n[0]).cast("int").alias("i"), (F.floor(F.col("id") / n[0]) % n[1]).cast("int").alias("j"), F.floor(F.col("id") / (n[0] * n[1])).cast("int").alias("l"))
-    at = {x: grid.index(k, target.position(k, F.col(x))) for k, x in enumerate(AXES)}
-    return _samples(cells, list(AXES), at, vox, grid, fill).withColumnRenamed("got", "mu")
+    return resampled(vox, grid.n, places(grid, target), fill)
+
+
+def render_volume(model: DataFrame, grid: Grid, target: Grid, radius: float | None = None) -> DataFrame:
+    """A model of one grid at every voxel of any other; nothing outside of the model's grid, nor beyond ``radius`` mm of its axis if that is given."""
+    return _masked(resampled(model, grid.n, places(grid, target)), grid, target, radius)
+
+
+def render_slice(model: DataFrame, grid: Grid, target: Grid, direction: str = "axial", index: int | None = None, radius: float | None = None) -> DataFrame:
+    """One plane of ``render_volume``, read from the voxels beside it alone: axial across l, coronal across j, sagittal across i; the middle one by default."""
+    across = {"axial": "l", "coronal": "j", "sagittal": "i"}
+    if direction not in across:
+        raise ValueError(f"unknown direction {direction!r}; known: {', '.join(sorted(across))}")
+    return _masked(plane(model, grid.n, places(grid, target), across[direction], index), grid, target, radius)
+
+
+def _masked(vox: DataFrame, grid: Grid, target: Grid, radius: float | None) -> DataFrame:
+    if radius is None:
+        return vox
+    away = sum(((target.position(k, F.col(x)) - grid.o[k]) * (target.position(k, F.col(x)) - grid.o[k]) for k, x in ((0, "i"), (1, "j"))), F.lit(0.0))
+    return vox.withColumn("mu", F.when(away <= radius * radius, F.col("mu")).otherwise(0.0))
+
+
+def _tiles(grid: Grid, other: Grid, tries: list, stride: int) -> list[list[tuple[int, int]]]:
+    """For each axis and tile of the reference, the voxels of the volume that any of the tries may read."""
+    out = []
+    for k, x in enumerate(AXES):
+        windows = []
+        for first in range(0, other.n[k], SIZE * stride):
+            ends = np.array([first, min(first + SIZE * stride, other.n[k]) - 1])
+            at = [_moved(grid, other, k, ends, t[f"o_{x}"], t[f"s_{x}"]) for t in tries]
+            low, high = int(np.floor(np.min(at))), int(np.floor(np.max(at))) + 1
+            windows.append((max(low, 0), min(high, grid.n[k] - 1)))
+        out.append(windows)
+    return out
+
+
+def _moved(grid: Grid, other: Grid, k: int, index: np.ndarray, offset: float, scale: float) -> np.ndarray:
+    """Where a try looks for voxels of the reference along an axis."""
+    return scale * ((index - (other.n[k] - 1) / 2.0) * other.d[k] + other.o[k] + offset - grid.o[k]) / grid.d[k] + (grid.n[k] - 1) / 2.0
 
 
 def alignment_scores(vox: DataFrame, grid: Grid, reference: DataFrame, other: Grid, tries: DataFrame, stride: int = 1, least: int = 1000) -> DataFrame:
@@ -60,14 +87,46 @@ def alignment_scores(vox: DataFrame, grid: Grid, reference: DataFrame, other: Gr
 
     A voxel of the reference at p is looked for at o + s * (p + offset - o), o the volume's centre. Tries
     are few, a line of candidates of one axis; the reference is thinned by ``stride`` along each axis.
-    An overlap of less than ``least`` voxels scores -1.
+    An overlap of less than ``least`` voxels scores -1. A tile of the reference meets the window of the volume that any of the
+    tries may read, once for all of them; what leaves a tile are six sums a try. Voxels that are not there count as 0.
     """
+    told = [r.asDict() for r in tries.collect()]
+    spark, windows = vox.sparkSession, _tiles(grid, other, told, stride)
+    edge = SIZE * stride
     thin = reference.filter(reduce(lambda a, b: a & b, (F.col(x) % stride == 0 for x in AXES)))
-    points = thin.select(*(other.position(k, F.col(x)).alias(f"p_{x}") for k, x in enumerate(AXES)), F.concat_ws(",", *AXES).alias("place"), F.col("mu").alias("ref"))
-    met = points.crossJoin(F.broadcast(tries))  # candidates of a line search
-    at = {x: F.col(f"s_{x}") * (F.col(f"p_{x}") + F.col(f"o_{x}") - grid.o[k]) / grid.d[k] + (grid.n[k] - 1) / 2.0 for k, x in enumerate(AXES)}
-    got = _samples(met, ["t", "place", "ref"], at, vox, grid, None)
-    found = got.groupBy("t").agg(F.count("*").alias("n"), F.corr("ref", "got").alias("r"))
+    points = thin.select(*(F.floor(F.col(x) / edge).cast("int").alias(f"t{x}") for x in AXES), *(F.col(x).cast("int").alias(x) for x in AXES), F.col("mu").cast("double").alias("ref"))
+    source = vox.select(*(F.col(x).cast("int").alias(x) for x in AXES), F.col("mu").cast("double").alias("mu"))
+    for x, along in zip(AXES, windows, strict=True):
+        # As many rows as the grid's side, times the tiles whose windows overlap.
+        needs = [(n, tile) for tile, (low, high) in enumerate(along) for n in range(low, high + 1)]
+        source = source.join(F.broadcast(spark.createDataFrame(needs, f"{x} int, w{x} int")), x)
+
+    def run(key, table, voxels):
+        tile = [k.as_py() for k in key]
+        box = [along[n] for along, n in zip(windows, tile, strict=True)]
+        first, shape = [low for low, _ in box], [max(high - low, 0) + 2 for low, high in box]
+        window, ref = dense(voxels, first, shape, "mu"), table["ref"].to_numpy()
+        index, out = [table[x].to_numpy() for x in AXES], []
+        for t in told:
+            at = [_moved(grid, other, k, index[k], t[f"o_{x}"], t[f"s_{x}"]) for k, x in enumerate(AXES)]
+            inside = reduce(np.logical_and, ((p >= 0) & (p <= grid.n[k] - 1) for k, p in enumerate(at)))
+            at = [p[inside] for p in at]
+            low = [np.floor(p).astype(int) for p in at]
+            got = np.zeros(int(inside.sum()))
+            for n in range(8):
+                corner = [n >> k & 1 for k in range(3)]
+                weight = reduce(np.multiply, (p - i if c else 1 - (p - i) for p, i, c in zip(at, low, corner, strict=True)))
+                got += weight * window[tuple(i + c - start for i, c, start in zip(low, corner, first, strict=True))]
+            r = ref[inside]
+            out.append((t["t"], len(r), r.sum(), got.sum(), r @ r, got @ got, r @ got))
+        names = ["t", "n", "x", "y", "xx", "yy", "xy"]
+        return pa.table([pa.array(c, pa.int32() if name == "t" else pa.int64() if name == "n" else pa.float64()) for name, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+
+    sums = points.groupBy("ti", "tj", "tl").cogroup(source.groupBy("wi", "wj", "wl")).applyInArrow(run, "t int, n long, x double, y double, xx double, yy double, xy double")
+    found = sums.groupBy("t").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    spread = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
+    size = F.sqrt(F.greatest(spread("x", "x", "xx"), F.lit(0.0)) * F.greatest(spread("y", "y", "yy"), F.lit(0.0)))
+    found = found.filter(F.col("n") > 0).select("t", "n", F.try_divide(spread("x", "y", "xy"), size).alias("r"))
     return tries.join(found, "t", "left").select(*tries.columns, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= least, F.coalesce("r", F.lit(0.0))).otherwise(-1.0).alias("ncc"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import PI
+from sinoplan.operators.blocks import sampled
+from sinoplan.operators.lineage import checkpointed
 
 
 def corners(df: DataFrame, at: dict[str, Column]) -> DataFrame:
@@ -131,12 +133,11 @@ def backproject(vox: DataFrame, rows: DataFrame, views: DataFrame, r_s: float, s
 
 
 def shift(vox: DataFrame, axes: dict[str, float], value: str = "mu") -> DataFrame:
-    """Linear sub-voxel shift of a whole grid; beyond its edge the nearest voxel counts."""
-    size = vox.agg(*((F.max(x)).alias(f"__n{x}") for x in axes))
-    place = {x: F.least(F.greatest(F.col(x) + d, F.lit(0.0)), F.col(f"__n{x}").cast("double")) for x, d in axes.items()}
-    points = vox.crossJoin(F.broadcast(size)).select(*(F.col(x).alias(f"t_{x}") for x in axes), *(p.alias(f"p_{x}") for x, p in place.items()))
-    out = sample(points, [f"t_{x}" for x in axes], {x: F.col(f"p_{x}") for x in axes}, vox, value)
-    return out.select(*(F.col(f"t_{x}").alias(x) for x in axes), value)
+    """Linear sub-voxel shift of a whole grid (i, j, l); beyond its edge the nearest voxel counts, and voxels that are not there count as nothing."""
+    size = vox.agg(*(F.max(x) for x in "ijl")).first()
+    last = [float(n or 0) for n in size]
+    at = {x: F.least(F.greatest(F.col(x) + axes.get(x, 0.0), F.lit(0.0)), F.lit(n)) for x, n in zip("ijl", last, strict=True)}
+    return sampled(vox.select(*"ijl"), at, vox, value)
 
 
 def conjugate(beta: Column, gamma: Column) -> Column:
@@ -161,6 +162,34 @@ def importance_samples(bins: DataFrame, key: str, count: int, eps: float = 1e-5)
     return placed.select(key, "q", (F.col("lo") + part * (F.col("hi") - F.col("lo"))).alias("t"))
 
 
+def hierarchical_rays(rays: DataFrame, vox: DataFrame, shape: tuple[int, int, int], size: float, coarse: int, fine: int, key: str = "ray_id", better: DataFrame | None = None) -> DataFrame:
+    """Line integrals in two passes (key, p_coarse, p): equal pieces first, then more places where these found much.
+
+    ``rays`` carry their segment (t_near, t_far, hit); ``vox`` is centred on the origin, its voxels ``size`` apart. Coarse pieces weigh by what
+    they add to the integral; ``fine`` places are drawn from that by its quantiles. Both together, in order along the ray, each stand for what is nearer
+    to them than to the next, out to the ends of the segment, so widths add up to it. ``better``: another volume to read in the second
+    pass. Rays that miss count as 0; each ray's samples meet in one window of ``coarse`` + ``fine`` rows.
+    """
+    along = {c: F.col(f"o{c}") + F.col("t") * F.col(f"d{c}") for c in "xyz"}
+    at = {x: F.col(c) / size + (n - 1) / 2 for x, c, n in zip("ijl", "xyz", shape, strict=True)}
+    line = [key, "t_near", "t_far", *(f"{s}{c}" for s in "od" for c in "xyz")]
+    dt = (F.col("t_far") - F.col("t_near")) / coarse
+    pieces = rays.filter("hit").select(*line, F.explode(F.sequence(F.lit(0), F.lit(coarse - 1))).alias("s")).withColumns({"dt": dt, "lo": F.col("t_near") + F.col("s") * dt})
+    pieces = pieces.withColumn("t", F.col("lo") + F.col("dt") / 2).withColumns(along)
+    seen = checkpointed(sampled(pieces, at, vox))
+    bins = seen.select(key, "s", "lo", (F.col("lo") + F.col("dt")).alias("hi"), F.greatest(F.col("mu") * F.col("dt"), F.lit(0.0)).alias("w"))
+    more = importance_samples(bins, key, fine).join(rays.select(*line), key).withColumns(along)
+    found = sampled(more, at, vox if better is None else better).withColumn("part", F.lit(0.0))
+    first = seen.withColumn("part", F.col("mu") * F.col("dt"))
+    if better is not None:
+        first = sampled(first.drop("mu"), at, better)
+    every = first.select(key, "t", "t_near", "t_far", "mu", "part").unionByName(found.select(key, "t", "t_near", "t_far", "mu", "part"))
+    w = Window.partitionBy(key).orderBy("t")
+    ends = F.coalesce((F.lead("t").over(w) + F.col("t")) / 2, F.col("t_far")), F.coalesce((F.lag("t").over(w) + F.col("t")) / 2, F.col("t_near"))
+    total = every.withColumn("width", ends[0] - ends[1]).groupBy(key).agg(F.sum("part").alias("p_coarse"), F.sum(F.col("mu") * F.col("width")).alias("p"))
+    return rays.select(key).join(total, key, "left").select(key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p_coarse", "p")))
+
+
 def midplanes(vox: DataFrame, n: tuple[int, int, int], value: str = "mu") -> DataFrame:
     """The three planes through the middle voxel: (view, u, v, value); the filters reach the scan."""
     planes = {"axial": ("l", "i", "j"), "coronal": ("j", "i", "l"), "sagittal": ("i", "j", "l")}

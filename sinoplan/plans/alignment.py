@@ -47,6 +47,31 @@ def resample_trilinear(spark, sf_dir):
     return align.resample(vox, _grid(n), target, -1.0).select("i", "j", "l", r6(F.col("mu")).alias("mu"))
 
 
+#: The stack as a model seen from a finer, smaller grid off its centre, inside a cylinder of 4 mm.
+_VIEW = """WITH @STACK, @BOX, n AS (SELECT max(k) + 1 AS ni, max(b) + 1 AS nj, max(a) + 1 AS nl FROM x), o AS (SELECT ni, nj, nl, ni AS mi, nj // 2 AS mj, nl // 2 AS ml FROM n),
+p AS (SELECT i::INT AS i, j::INT AS j, l::INT AS l, (i - (mi - 1) / 2.0) * 0.8 + 0.4 AS x, (j - (mj - 1) / 2.0) * 0.4 - 0.3 AS y, (l - (ml - 1) / 2.0) * 0.3 AS z, ni, nj, nl, mj FROM o, range(mi) a(i), range(mj) b(j), range(ml) c(l)),
+q AS (SELECT i, j, l, mj, x * x + y * y <= 16 AS near, x + (ni - 1) / 2.0 AS px, y / 0.5 + (nj - 1) / 2.0 AS py, z / 0.25 + (nl - 1) / 2.0 AS pz, ni, nj, nl FROM p),
+c AS (SELECT i, j, l, mj, near AND px BETWEEN 0 AND ni - 1 AND py BETWEEN 0 AND nj - 1 AND pz BETWEEN 0 AND nl - 1 AS inside, (floor(px) + d)::INT AS ci, (floor(py) + e)::INT AS cj, (floor(pz) + f)::INT AS cl, abs(1 - d - (px - floor(px))) * abs(1 - e - (py - floor(py))) * abs(1 - f - (pz - floor(pz))) AS w FROM q, range(2) r1(d), range(2) r2(e), range(2) r3(f)),
+g AS (SELECT i, j, l, mj, round(CASE WHEN bool_and(inside) THEN sum(w * coalesce(x.v, 0)) ELSE 0 END, 6) + 0.0 AS mu FROM c LEFT JOIN x ON x.k = ci AND x.b = cj AND x.a = cl GROUP BY i, j, l, mj)"""
+
+
+def _view(spark, sf_dir):
+    vox, n = box(spark, sf_dir)
+    return vox, _grid(n), align.Grid((n[0], n[1] // 2, n[2] // 2), (0.8, 0.4, 0.3), (0.4, -0.3, 0.0))
+
+
+@query(_VIEW + " SELECT i, j, l, mu FROM g")
+def render_volume(spark, sf_dir):
+    """The stack as a model at the voxels of another grid; nothing beyond 4 mm of its axis."""
+    return align.render_volume(*_view(spark, sf_dir), radius=4.0).select("i", "j", "l", r6(F.col("mu")).alias("mu"))
+
+
+@query(_VIEW + " SELECT i, j, l, mu FROM g WHERE j = mj // 2")
+def render_slice(spark, sf_dir):
+    """The coronal plane through the middle of that grid, read from the voxels beside it."""
+    return align.render_slice(*_view(spark, sf_dir), direction="coronal", radius=4.0).select("i", "j", "l", r6(F.col("mu")).alias("mu"))
+
+
 def _mirror(i: str, n: str) -> str:
     m = f"((({i}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
     return f"(CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END)"

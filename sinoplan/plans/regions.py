@@ -90,6 +90,25 @@ def importance_samples(spark, sf_dir):
     return pro.importance_samples(bins, "vec_id", 6).withColumn("t", r6(F.col("t")))
 
 
+def _mu(name: str, points: str) -> str:
+    """Values of the phantom at points (vec_id, s, t) of rays h."""
+    return f"""{name}_p AS (SELECT c.*, (ox + t * dx) / 0.25 + 3.5 AS x, (oy + t * dy) / 0.25 + 3.5 AS y, (oz + t * dz) / 0.25 + 3.5 AS z FROM {points} c JOIN h USING (vec_id)),
+{name}_c AS (SELECT vec_id, s, t, (floor(x) + p)::INT AS i, (floor(y) + q)::INT AS j, (floor(z) + o)::INT AS l, abs(1 - p - (x - floor(x))) * abs(1 - q - (y - floor(y))) * abs(1 - o - (z - floor(z))) AS w FROM {name}_p, range(2) a1(p), range(2) a2(q), range(2) a3(o)),
+{name} AS (SELECT vec_id, s, t, sum(w * coalesce(mu, 0)) AS mu FROM {name}_c LEFT JOIN vx USING (i, j, l) GROUP BY vec_id, s, t)"""
+
+
+@query(f"""{_MATRIX}, cp AS (SELECT vec_id, i AS s, t0 + i * (t1 - t0) / 8 + (t1 - t0) / 16 AS t FROM h, range(8) u(i)), {_mu('m1', 'cp')}, w0 AS (SELECT m1.*, (t1 - t0) / 8 AS dt, t0 + s * (t1 - t0) / 8 AS lo, greatest(mu * (t1 - t0) / 8, 0) + 1e-5 AS w FROM m1 JOIN h USING (vec_id)),
+w1 AS (SELECT *, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM w0), w2 AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY s) AS upto FROM w1), qq AS (SELECT vec_id, q, lo, dt, p, upto - p AS lower, row_number() OVER (PARTITION BY vec_id, q ORDER BY s) AS r FROM w2, range(12) t(q) WHERE (q + 0.5) / 12 <= upto + 1e-12),
+fp AS (SELECT vec_id, 100 + q AS s, lo + ((q + 0.5) / 12 - lower) / greatest(p, 1e-5) * dt AS t FROM qq WHERE r = 1), {_mu('m2', 'fp')}, al AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+wd AS (SELECT vec_id, s, mu, coalesce((lead(t) OVER w + t) / 2, t1) - coalesce((lag(t) OVER w + t) / 2, t0) AS width, (t1 - t0) / 8 AS dt FROM al JOIN h USING (vec_id) WINDOW w AS (PARTITION BY vec_id ORDER BY t)),
+pp AS (SELECT vec_id, sum(CASE WHEN s < 100 THEN mu * dt END) AS p_coarse, sum(mu * width) AS p FROM wd GROUP BY vec_id) SELECT r.vec_id, round(coalesce(p_coarse, 0), 6) + 0.0 AS p_coarse, round(coalesce(p, 0), 6) + 0.0 AS p FROM r LEFT JOIN pp USING (vec_id)""")
+def hierarchical_rays(spark, sf_dir):
+    """Line integrals of the phantom by eight pieces, and by twelve more places where these found much."""
+    met = geo.ray_box(rays(spark, sf_dir), (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0))
+    found = pro.hierarchical_rays(met, phantom(spark, sf_dir), (8, 8, 8), 0.25, 8, 12, "vec_id")
+    return found.select("vec_id", r6(F.col("p_coarse")).alias("p_coarse"), r6(F.col("p")).alias("p"))
+
+
 @query("""WITH @STACK, @BOX, n AS (SELECT max(k) + 1 AS nk, max(b) + 1 AS nb, max(a) + 1 AS na FROM x)
 SELECT 'axial' AS view, k AS u, b AS v, round(x.v, 6) + 0.0 AS mu FROM x, n WHERE a = na // 2 UNION ALL SELECT 'coronal', k, a, round(x.v, 6) + 0.0 FROM x, n WHERE b = nb // 2 UNION ALL SELECT 'sagittal', b, a, round(x.v, 6) + 0.0 FROM x, n WHERE k = nk // 2""")
 def midplane_views(spark, sf_dir):

@@ -9,8 +9,8 @@ ORACLES: dict[str, str] = {}
 STACK = """e AS (SELECT label::INT AS k, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS b, embedding FROM embeddings),
 s AS (SELECT k, b, unnest(range(0, len(embedding)))::INT AS a, unnest(embedding)::DOUBLE AS v FROM e)"""
 
-#: The largest box that all frames fill: x (k, b, a, v).
-BOX = "x AS (SELECT k, b, a, v FROM s WHERE b < (SELECT min(m) FROM (SELECT k, max(b) + 1 AS m FROM s GROUP BY k)))"
+#: The box that the longest frame fills, zero where a frame has no row: x (k, b, a, v).
+BOX = """x AS (SELECT k, b, a, v FROM s UNION ALL SELECT k, b::INT, unnest(range((SELECT max(a) + 1 FROM s)))::INT, 0.0::DOUBLE FROM (SELECT k, unnest(range(nb, (SELECT max(b) + 1 FROM s))) AS b FROM (SELECT k, max(b) + 1 AS nb FROM s GROUP BY k)))"""
 
 
 def query(sql: str | None = None):

@@ -44,10 +44,12 @@ def stack(spark, sf_dir: str) -> DataFrame:
 
 
 def box(spark, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
-    """The stack as a volume (i, j, l, mu) without the rows that not all frames have, and its shape."""
+    """The stack as a volume (i, j, l, mu), and its shape; rows that a frame lacks and the longest has are zero."""
     rows = frames(spark, sf_dir)
-    n = rows.groupBy("k").agg((F.max("b") + 1).alias("nb"), F.max(F.size("vals")).alias("na")).agg(F.max("k") + 1, F.min("nb"), F.max("na")).first()
-    vox = rows.filter(F.col("b") < n[1]).select(F.col("k").alias("i"), F.col("b").alias("j"), F.posexplode("vals").alias("l", "mu"))
+    ends = rows.groupBy("k").agg((F.max("b") + 1).alias("nb"), F.max(F.size("vals")).alias("na"))
+    n = ends.agg(F.max("k") + 1, F.max("nb"), F.max("na")).first()
+    short = ends.filter(F.col("nb") < n[1]).select("k", F.explode(F.sequence(F.col("nb").cast("int"), F.lit(n[1] - 1))).alias("b"), F.array_repeat(F.lit(0.0), n[2]).alias("vals"))
+    vox = rows.unionByName(short).select(F.col("k").alias("i"), F.col("b").alias("j"), F.posexplode("vals").alias("l", "mu"))
     return vox, tuple(n)
 
 
