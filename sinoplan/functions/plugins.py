@@ -38,6 +38,8 @@ class Registry:
 
 #: name -> the aggregate over residual p - t and target t that a fit makes small.
 data_terms = Registry("data term")
+#: name -> the slope of a data term at one ray, before the mean over rays.
+data_gradients = Registry("slope of a data term")
 #: name -> a representation.
 representations = Registry("representation")
 
@@ -61,6 +63,25 @@ for _f in (mse, weighted_mse, mean_absolute):
     data_terms.register(_f.__name__, _f)
 
 
+def mse_slope(p: Column, t: Column) -> Column:
+    """Twice the residual."""
+    return 2 * (p - t)
+
+
+def weighted_slope(p: Column, t: Column) -> Column:
+    """Twice the residual, weighted by transmission."""
+    return 2 * F.exp(-t) * (p - t)
+
+
+def absolute_slope(p: Column, t: Column) -> Column:
+    """The residual's sign."""
+    return F.signum(p - t)
+
+
+for _name, _f in (("mse", mse_slope), ("weighted_mse", weighted_slope), ("mean_absolute", absolute_slope)):
+    data_gradients.register(_name, _f)
+
+
 @dataclass(frozen=True)
 class Representation:
     """How a field is begun, seen along rays, and handed out as a volume."""

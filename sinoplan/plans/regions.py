@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sinoplan.functions.columns import r6
 from sinoplan.operators import geometry as geo
-from sinoplan.operators import metrics, regions
+from sinoplan.operators import metrics, regions, stochastic
 from sinoplan.operators import project as pro
 from sinoplan.plans.geometry import _BOX, _MATRIX, _RAYS, matrix, phantom, rays, scans
 from sinoplan.plans.geometry import _SCANS as SCANS
@@ -165,3 +165,25 @@ def ideal_rows(spark, sf_dir):
     told = pix.crossJoin(F.broadcast(size))  # one row
     x = 2 * F.col("a") / (F.col("na") - 1.0) - 1
     return geo.regrid_rows(told.withColumn("at", F.col("a") - (0.6 + 0.8 * x + 0.5 * x * x)), ["k", "b"], "a", "at", "v").filter((F.col("a") >= 0) & (F.col("a") < F.col("na"))).select("k", "b", "a", r6(F.col("v")).alias("v"))
+
+
+def _adam(n: int, before: str) -> str:
+    """One step of ``adam_run`` in SQL: a quarter of the rays, mean squared residual and 0.001 times the total variation, rate 0.01."""
+    first = f"(((vec_id % 2147483648) * 2654435761 + {n * 40503}) % 4294967296)"
+    second = f"(xor({first}, {first} >> 16) * 1597334677 % 4294967296)"
+    drawn = f"(xor({second}, {second} >> 15) >> 8) % 4 = 0"
+    sign = lambda d, of: f"coalesce(sign({d}), 0) / {of}::DOUBLE"
+    tv = " + ".join(f"{sign(f'mu - lag(mu) OVER w{x}', 448)} - {sign(f'lead(mu) OVER w{x} - mu', 448)}" for x in "ijl")
+    return f"""a{n} AS (SELECT * FROM mx WHERE {drawn}), p{n} AS (SELECT vec_id, sum(w * mu) AS p FROM a{n} JOIN {before} USING (i, j, l) GROUP BY vec_id), r{n} AS (SELECT vec_id, 2 * (p - abs(embedding[7]::DOUBLE)) / count(*) OVER () AS e FROM p{n} JOIN embeddings USING (vec_id)),
+b{n} AS (SELECT i, j, l, sum(w * e) AS g FROM a{n} JOIN r{n} USING (vec_id) GROUP BY i, j, l), t{n} AS (SELECT i, j, l, mu, m, s, {tv} AS tv FROM {before} WINDOW wi AS (PARTITION BY j, l ORDER BY i), wj AS (PARTITION BY i, l ORDER BY j), wl AS (PARTITION BY i, j ORDER BY l)),
+g{n} AS (SELECT i, j, l, mu, 0.9 * m + 0.1 * g AS m, 0.999::DOUBLE * s + 0.001::DOUBLE * g * g AS s FROM (SELECT t.i, t.j, t.l, mu, m, s, coalesce(g, 0) + 0.001::DOUBLE * tv AS g FROM t{n} t LEFT JOIN b{n} USING (i, j, l))),
+s{n} AS (SELECT i, j, l, greatest(mu - 0.01::DOUBLE * (m / (1 - 0.9::DOUBLE ** {n})) / (sqrt(s / (1 - 0.999::DOUBLE ** {n})) + 1e-8), 0) AS mu, m, s FROM g{n})"""
+
+
+@query(f"{_MATRIX}, s0 AS (SELECT *, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM vx), {_adam(1, 's0')}, {_adam(2, 's1')} SELECT i, j, l, round(mu, 6) + 0.0 AS mu FROM s2")
+def adam_run(spark, sf_dir):
+    """Two steps of the stochastic solver from the phantom, a quarter of the rays each."""
+    met = geo.ray_box(rays(spark, sf_dir).withColumnRenamed("vec_id", "ray_id"), (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0))
+    data = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ray_id"), F.abs(F.element_at("embedding", 7).cast("double")).alias("p"))
+    found = stochastic.adam_run(met, data, phantom(spark, sf_dir), (8, 8, 8), 0.25, 2, 4, 8, variation=0.001, rate=0.01)
+    return found.select("i", "j", "l", r6(F.col("mu")).alias("mu"))
