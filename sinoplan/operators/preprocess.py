@@ -23,7 +23,8 @@ def air_columns(pix: DataFrame, value: str = "v", most: float = 0.05) -> DataFra
     rows = pix.agg((F.max("b") + 1).alias("nb"))
     half = F.greatest(F.lit(1), F.floor(F.col("nb") / 8))
     middle = F.floor(F.col("nb") / 2)
-    band = pix.crossJoin(F.broadcast(rows)).filter((F.col("b") >= middle - half) & (F.col("b") < middle + half)).drop("nb")
+    # A quarter of the rows, read several times: they are made once.
+    band = checkpointed(pix.crossJoin(F.broadcast(rows)).filter((F.col("b") >= middle - half) & (F.col("b") < middle + half)).drop("nb"))
     # A list of columns, no longer than a detector row, is read several times.
     air = checkpointed(named_quantiles(band, ["a"], value, {"p95": 0.95}).filter(F.col("p95") <= most).select("a"))
     return band.join(air, "a", "left_semi")

@@ -12,8 +12,8 @@ from sinoplan.functions.columns import mirrored
 from sinoplan.operators.lineage import checkpointed
 
 
-#: Bins that a group's values are counted in where exact ranks are looked for.
-BINS = 1 << 12
+#: Bins of a factor e, and parts that each bin is split into.
+PER_FOLD, BINS = 512, 1 << 12
 
 
 def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
@@ -21,38 +21,38 @@ def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
     return F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
 
 
-def _binned(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Values as doubles with their bin between the ends of their group: (group, v, n, bin)."""
-    rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    ends = rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    met = rows.join(ends, group) if group else rows.crossJoin(F.broadcast(ends))
-    share = F.nanvl(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0))
-    return met.select(*group, "v", "n", F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int").alias("bin"))
+def magnitude_bin(v: Column) -> Column:
+    """A bin by sign and logarithm, in the order of values: it needs no ends to be known, and a value far off makes no other bin fuller. NaN is the last."""
+    size = F.least(F.floor((F.ln(F.abs(v)) + 746.0) * PER_FOLD), F.lit(1 << 21)) + 1
+    return F.when(F.isnan(v), F.lit(1 << 22)).when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("int")
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
     """Exact linear quantiles of each group, one row a group: (group, x), x in the order of ``at``.
 
-    Three scans with small shuffles, so that no task holds a group: ends and size; counts of equal bins,
-    which tell in which bin each rank lies; and the values of those bins alone, counted and put in
-    order. A value column that is a double can be of any spread; bins of very many equal values are one
-    row each.
+    Two scans with small shuffles, and no task holds a group. The first counts values in bins by magnitude, which tells in which bin
+    each rank lies; the second takes the values of those bins alone, counts equal ones, and puts them in order within 4096 parts of
+    the bin's own range, of which only those with a rank go on. So neither a value far off nor very many values close together fill
+    one task, unless they differ by less than 2^-20 of their size, or are equal: then they are one row. Nulls are left out.
     """
-    rows = _binned(df, group, value)
-    counts = rows.groupBy(*group, "bin").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-    w = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("upto", F.sum("m").over(w))
-    sizes = counts.groupBy(*group).agg(F.first("n").alias("n"))
+    rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()).withColumn("b0", magnitude_bin(F.col("v")))
     place = F.transform(F.lit([float(p) for p in at]), lambda p: p * (F.col("n") - 1))
     ranks = F.array_distinct(F.concat(F.transform(place, lambda p: F.floor(p)), F.transform(place, lambda p: F.ceil(p))))
     inside = lambda low, high: F.filter("ranks", lambda r: (r >= low) & (r < high))
-    # The ranks are made once a group, not once a bin.
-    sizes = sizes.select(*group, ranks.alias("ranks"))
-    bins = (upto.join(sizes, group) if group else upto.crossJoin(F.broadcast(sizes))).withColumn("before", F.col("upto") - F.col("m"))
-    bins = bins.withColumn("ranks", inside(F.col("before"), F.col("upto"))).filter(F.size("ranks") > 0).select(*group, "bin", "before", "ranks")
-    some = rows.join(bins, [*group, "bin"]).groupBy(*group, "bin", "v").agg(F.count("*").alias("m"), F.first("before").alias("before"), F.first("ranks").alias("ranks"), F.first("n").alias("n"))
-    v = Window.partitionBy(*group, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    found = some.withColumn("upto", F.col("before") + F.sum("m").over(v))
+    whole = Window.partitionBy(*group)
+    upto = Window.unboundedPreceding, 0
+
+    bins = rows.groupBy(*group, "b0").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m"))
+    bins = bins.withColumns({"upto": F.sum("m").over(whole.orderBy("b0").rowsBetween(*upto)), "n": F.sum("m").over(whole)}).withColumn("before", F.col("upto") - F.col("m"))
+    first = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
+    bins = bins.withColumn("ranks", first).filter(F.size("ranks") > 0).select(*group, "b0", "lo", "hi", "before", "n", "ranks")
+
+    part = F.coalesce(F.least(F.floor(F.nanvl(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0)) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    some = rows.join(bins, [*group, "b0"]).groupBy(*group, "b0", part.alias("b1"), "v").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("before", "n", "ranks")))
+    parts = some.groupBy(*group, "b0", "b1").agg(F.sum("m").alias("size"), *(F.first(c).alias(c) for c in ("before", "ranks")))
+    parts = parts.withColumn("end", F.col("before") + F.sum("size").over(Window.partitionBy(*group, "b0").orderBy("b1").rowsBetween(*upto)))
+    parts = parts.withColumn("start", F.col("end") - F.col("size")).filter(F.size(inside(F.col("start"), F.col("end"))) > 0).select(*group, "b0", "b1", "start")
+    found = some.join(parts, [*group, "b0", "b1"]).withColumn("upto", F.col("start") + F.sum("m").over(Window.partitionBy(*group, "b0", "b1").orderBy("v").rowsBetween(*upto)))
     found = found.select(*group, "n", "v", F.explode(inside(F.col("upto") - F.col("m"), F.col("upto"))).alias("rank"))
     found = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("by"), F.first("n").alias("n"))
     read = lambda p: F.element_at("by", F.floor(p)) + (F.element_at("by", F.ceil(p)) - F.element_at("by", F.floor(p))) * (p - F.floor(p))
@@ -131,12 +131,16 @@ def peaks(hist: DataFrame, group: list[str], height: str = "n") -> DataFrame:
 
 
 def value_quantum(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The smallest gap between different values: within bins of them, and from one bin to the next."""
-    values = _binned(df, group, value).select(*group, "bin", "v").distinct()
-    w = Window.partitionBy(*group, "bin").orderBy("v")
-    gaps = values.withColumn("gap", F.col("v") - F.lag("v").over(w))
-    bins = gaps.groupBy(*group, "bin").agg(F.min("gap").alias("gap"), F.min("v").alias("low"), F.max("v").alias("high"))
-    beside = F.col("low") - F.lag("high").over(Window.partitionBy(*group).orderBy("bin"))
+    """The smallest gap between different values of each group (null where there is but one).
+
+    A range shuffle deals the order of values out, however they lie; gaps are looked for in each part, and from
+    one part's last value to the next one's first.
+    """
+    values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()).distinct()
+    parts = checkpointed(values.repartitionByRange(*group, "v").withColumn("part", F.spark_partition_id()))  # its ends are drawn by sampling
+    gaps = parts.withColumn("gap", F.col("v") - F.lag("v").over(Window.partitionBy(*group, "part").orderBy("v")))
+    bins = gaps.groupBy(*group, "part").agg(F.min("gap").alias("gap"), F.min("v").alias("low"), F.max("v").alias("high"))
+    beside = F.col("low") - F.lag("high").over(Window.partitionBy(*group).orderBy("part"))
     return bins.withColumn("gap", F.least("gap", beside)).groupBy(*group).agg(F.min("gap").alias("quantum"))
 
 

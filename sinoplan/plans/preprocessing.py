@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sinoplan.functions.columns import clamp_transmission, r6, soft_clamp_lower, soft_clamp_upper
 from sinoplan.operators import preprocess as op
-from sinoplan.operators.lineage import shared_folder
+from sinoplan.operators.lineage import checkpointed, shared_folder
 from sinoplan.plans.registry import query
 from sinoplan.plans.tables import frames, lineitem, stack
 from sinoplan.sources import vff
@@ -27,7 +27,7 @@ FROM p JOIN off USING (k) GROUP BY k""")
 def flat_field_log(spark, sf_dir):
     """Counts to levelled line integrals, summed up by frame."""
     counts = stack(spark, sf_dir).withColumns({"bright": F.lit(1000.0), "dark": F.lit(100.0)}).withColumn("v", F.col("dark") + 900.0 * F.exp(-F.col("v")))
-    p = op.flat_field(counts, None, hard=True, ceiling=5.0)
+    p = checkpointed(op.flat_field(counts, None, hard=True, ceiling=5.0))  # the stack is read for its levels and for what they are taken from
     levels = op.air_offsets(p, most=0.207)
     return p.join(levels, "k").groupBy("k").agg(F.count("*").alias("n"), r6(F.min("offset")).alias("level"), r6(F.avg(F.col("v") - F.col("offset"))).alias("mean"), r6(F.min(F.col("v") - F.col("offset"))).alias("low"), r6(F.max(F.col("v") - F.col("offset"))).alias("high"))
 

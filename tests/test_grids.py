@@ -72,3 +72,16 @@ def test_a_run_stops_on_held_out_rays_and_hands_out_its_best(spark):
     assert len(seen) == 4 and got == seen[1]
     held = solve.held_out_score(m, data)
     assert held(x0) < 0
+
+
+def test_quantiles_of_values_far_off_and_close_together(spark):
+    rng = np.random.default_rng(4)
+    sets = {"far": np.append(rng.random(3000), [1e12, -1e300]), "close": 1e6 + rng.normal(size=3000) * 1e-3, "equal": np.full(2000, 3.5), "zero": np.array([0.0, -0.0, 0.0, 5e-324]), "signs": rng.normal(size=999) ** 3, "one": np.array([7.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in sets.items() for x in xs] + [("nan", 1.0), ("nan", float("nan")), ("far", None)], "g string, v double").repartition(5)
+    at = [0.0, 0.013, 0.5, 0.77, 1.0]
+    got = {r["g"]: r["x"] for r in statistics.quantiles(df, ["g"], "v", at).collect()}
+    for g, xs in sets.items():
+        assert np.allclose(got[g], np.quantile(xs, at), rtol=1e-12, atol=0), g
+    assert got["nan"][0] == 1.0 and np.isnan(got["nan"][-1])
+    quantum = {r["g"]: r["quantum"] for r in statistics.value_quantum(df.filter("g in ('far', 'equal', 'signs')"), ["g"], "v").collect()}
+    assert quantum["equal"] is None and all(quantum[g] == np.diff(np.unique(sets[g])).min() for g in ("far", "signs"))
