@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import huber
+from sinoplan.operators.lineage import checkpointed
 from sinoplan.operators.spectral import with_vals
 
 
@@ -165,3 +166,82 @@ def edge_weight(vox: DataFrame, axes: list[str], sigma: float = 2.0, value: str
     mean = out.select(*axes, F.pow(F.col("e0") * F.col("e1") * F.col("e2"), F.lit(1.0 / 3)).alias("weight"))
     most = mean.agg(F.max("weight").alias("most"))
     return mean.crossJoin(F.broadcast(most)).select(*axes, F.when(F.col("most") > 0, F.col("weight") / F.col("most")).otherwise(F.col("weight")).alias("weight"))
+
+
+def _all_sums(df: DataFrame, along: str, across: list[str], columns: list[str], taps: list[float], back: bool = False) -> DataFrame:
+    """Weighted sums over the next samples along an axis, null where one is missing; ``back``: the adjoint, over those before, which are nothing where missing."""
+    w = Window.partitionBy(*across).orderBy(along)
+    at = (lambda c, i: F.coalesce(F.lag(c, i).over(w), F.lit(0.0))) if back else (lambda c, i: F.lead(c, i).over(w))
+    return df.withColumns({c: sum((at(c, i) * x for i, x in enumerate(taps[1:], 1)), F.col(c) * taps[0]) for c in columns})
+
+
+def structure_slopes(pairs: DataFrame, group: list[str], span: Column, contrast: bool = False, width: int = 11, sigma: float = 1.5) -> DataFrame:
+    """The mean SSIM of each group (or of its contrast part) and its slope at each pixel of ``p``: (group, b, a, mean, slope).
+
+    SSIM at a place is a function of five windowed sums; its slopes in the three that hold p go back to the pixels
+    by the adjoint of the sums: the same taps, turned round. A group without a valid place has no row.
+    """
+    taps, names = gaussian_taps(width, sigma), ["x", "y", "xx", "yy", "xy"]
+    p, t = F.col("p"), F.col("t")
+    m = pairs.select(*group, "b", "a", p.alias("__p"), t.alias("__t"), span.alias("__span"), p.alias("x"), t.alias("y"), (p * p).alias("xx"), (t * t).alias("yy"), (p * t).alias("xy"))
+    m = _all_sums(_all_sums(m, "a", [*group, "b"], names, taps), "b", [*group, "a"], names, taps)
+    x, y, c1, c2 = F.col("x"), F.col("y"), F.pow(0.01 * F.col("__span"), 2), F.pow(0.03 * F.col("__span"), 2)
+    raw = F.col("xx") - x * x
+    moves = F.when(raw > 0, 1.0).otherwise(0.0)
+    m = m.withColumns({"__a": 2 * x * y + c1, "__b": x * x + y * y + c1, "__d": 2 * (F.col("xy") - x * y) + c2, "__e": F.greatest(raw, F.lit(0.0)) + F.greatest(F.col("yy") - y * y, F.lit(0.0)) + c2, "__moves": moves})
+    a, b, d, e, moves = (F.col(f"__{n}") for n in ("a", "b", "d", "e", "moves"))
+    light = F.when(a.isNotNull(), 1.0) if contrast else a / b  # null where a window is not whole
+    by_x = light * (-2 * y / e + 2 * x * moves * d / (e * e))
+    if not contrast:
+        by_x = by_x + d / e * (2 * y * b - 2 * x * a) / (b * b)
+    m = m.withColumns({"s": light * d / e, "g1": by_x, "g2": -light * moves * d / (e * e), "g3": 2 * light / e})
+    means = m.groupBy(*group).agg(F.avg("s").alias("mean"), F.count("s").alias("__n")).filter("__n > 0")
+    m = m.select(*group, "b", "a", "__p", "__t", *(F.coalesce(g, F.lit(0.0)).alias(g) for g in ("g1", "g2", "g3")))
+    m = _all_sums(_all_sums(m, "a", [*group, "b"], ["g1", "g2", "g3"], taps, True), "b", [*group, "a"], ["g1", "g2", "g3"], taps, True)
+    return m.join(means, group).select(*group, "b", "a", "mean", ((F.col("g1") + 2 * F.col("__p") * F.col("g2") + F.col("__t") * F.col("g3")) / F.col("__n")).alias("slope"))
+
+
+def structural_gradient(pairs: DataFrame, group: list[str], span: Column, scales: bool = False, weight: float = 1.0, with_mse: bool = True, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)) -> DataFrame:
+    """Loss and exact gradient in ``p`` of weight * (1 - SSIM), or with ``scales`` (1 - multi-scale SSIM), plus the mean square: (group, b, a, loss, g).
+
+    SSIM alone hardly tells a scale of the whole, so the mean square is part of it unless ``with_mse`` is false. At each coarser scale
+    a slope goes back to the pixels whose mean was taken, in equal parts; pixels that a mean leaves out have none. A mean under 1e-3 counts as that and has no slope.
+    """
+    now = pairs.select(*group, "b", "a", "p", "t", span.alias("span"))
+    size = now.groupBy(*group).agg(F.count("*").alias("__size"), F.avg(F.pow(F.col("p") - F.col("t"), 2)).alias("__mse"), (F.max("b") + 1).alias("__h"), (F.max("a") + 1).alias("__w"))
+    if not scales:
+        found = structure_slopes(now, group, F.col("span")).withColumnsRenamed({"mean": "value", "slope": "s"})
+    else:
+        levels = sum((F.when(F.least("__h", "__w") >= 11 * 2**s, 1).otherwise(0) for s in range(1, len(weights))), F.lit(1))
+        level = checkpointed(now.join(size.select(*group, "__h", "__w", levels.alias("__levels")), group))
+        now = level.select(*now.columns)
+        present = {r[0] for r in level.select("__levels").distinct().collect()}  # at most as many as there are weights
+        most = max(present, default=1)
+        totals = F.array(*(F.lit(sum(weights[: s + 1])) for s in range(len(weights))))
+        parts = None
+        for s, share in enumerate(weights[:most]):
+            if s:
+                inner = level.filter(F.col("__levels") > s).withColumns({"__h": F.floor(F.col("__h") / 2), "__w": F.floor(F.col("__w") / 2)}).filter((F.col("b") < 2 * F.col("__h")) & (F.col("a") < 2 * F.col("__w")))
+                level = inner.groupBy(*group, "__h", "__w", "__levels", F.floor(F.col("b") / 2).cast("int").alias("b"), F.floor(F.col("a") / 2).cast("int").alias("a")).agg(F.avg("p").alias("p"), F.avg("t").alias("t"), F.first("span").alias("span"))
+                level = checkpointed(level)
+            last, whole = level.filter(F.col("__levels") == s + 1), [*group, "__levels"]
+            told = structure_slopes(last, whole, F.col("span")) if s + 1 in present or s + 1 == most else None
+            if s + 1 < most:
+                more = structure_slopes(level.filter(F.col("__levels") > s + 1), whole, F.col("span"), contrast=True)
+                told = more if told is None else told.unionByName(more)
+            told = told.withColumn("__share", share / F.element_at(totals, F.col("__levels")))
+            log = F.col("__share") * F.ln(F.greatest(F.col("mean"), F.lit(1e-3)))
+            slope = F.when(F.col("mean") > 1e-3, F.col("__share") / F.col("mean") * F.col("slope")).otherwise(0.0) / 4.0**s
+            told = told.select(*group, F.lit(s).alias("__s"), "b", "a", log.alias("__log"), slope.alias("s"))
+            told = checkpointed(told)  # read for its means and for its slopes
+            parts = told if parts is None else parts.unionByName(told)
+        logs = parts.groupBy(*group, "__s").agg(F.first("__log").alias("__log")).groupBy(*group).agg(F.exp(F.sum("__log")).alias("value"))
+        # A pixel's slope is the sum over scales of that of the mean it is part of.
+        pixels = now.select(*group, "b", "a", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("__s")).withColumns({"__b": F.floor(F.col("b") / F.pow(F.lit(2.0), F.col("__s"))).cast("int"), "__a": F.floor(F.col("a") / F.pow(F.lit(2.0), F.col("__s"))).cast("int")})
+        met = pixels.join(parts.select(*group, "__s", F.col("b").alias("__b"), F.col("a").alias("__a"), "s"), [*group, "__s", "__b", "__a"])
+        found = met.groupBy(*group, "b", "a").agg(F.sum("s").alias("s")).join(logs, group).withColumn("s", F.col("s") * F.col("value"))
+    met = now.join(size.select(*group, "__size", "__mse"), group).join(found.select(*group, "b", "a", "value", "s"), [*group, "b", "a"])
+    loss, g = weight * (1 - F.col("value")), -weight * F.col("s")
+    if with_mse:
+        loss, g = loss + F.col("__mse"), g + 2 * (F.col("p") - F.col("t")) / F.col("__size")
+    return met.select(*group, "b", "a", loss.alias("loss"), g.alias("g"))

@@ -46,6 +46,24 @@ def ssim_mean(spark, sf_dir):
     return op.ssim_map(pairs(spark, sf_dir), ["k"], F.lit(1.0)).groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("ssim")).alias("ssim"), r6(F.avg("contrast")).alias("contrast"))
 
 
+@query(_SSIM + """, o AS (SELECT *, 2 * x * y + 0.0001 AS fa, x * x + y * y + 0.0001 AS fb, 2 * (xy - x * y) + 0.0009 AS fd, greatest(xx - x * x, 0) + greatest(yy - y * y, 0) + 0.0009 AS fe, CASE WHEN xx - x * x > 0 THEN 1 ELSE 0 END AS mv FROM m),
+z AS (SELECT k, b, a, fa / fb * fd / fe AS s, fa / fb * (-2 * y / fe + 2 * x * mv * fd / (fe * fe)) + fd / fe * (2 * y * fb - 2 * x * fa) / (fb * fb) AS g1, -fa / fb * mv * fd / (fe * fe) AS g2, 2 * fa / fb / fe AS g3 FROM o),
+w AS (SELECT k, avg(s) AS mean, count(*) AS n FROM z GROUP BY k), e1 AS (SELECT k, b + i AS b, a, sum(w * g1) AS g1, sum(w * g2) AS g2, sum(w * g3) AS g3 FROM z, g GROUP BY ALL), e2 AS (SELECT k, b, a + i AS a, sum(w * g1) AS g1, sum(w * g2) AS g2, sum(w * g3) AS g3 FROM e1, g GROUP BY ALL),
+q AS (SELECT k, avg((p - t) ** 2) AS mse, count(*) AS n FROM p GROUP BY k)
+SELECT p.k, p.b, p.a, round(1 - mean + mse, 6) + 0.0 AS loss, round(1e4 * (2 * (p.p - p.t) / q.n - (coalesce(g1, 0) + 2 * p.p * coalesce(g2, 0) + p.t * coalesce(g3, 0)) / w.n), 6) + 0.0 AS g FROM p JOIN w USING (k) JOIN q USING (k) LEFT JOIN e2 ON e2.k = p.k AND e2.b = p.b AND e2.a = p.a""")
+def ssim_gradient(spark, sf_dir):
+    """The structural loss of neighbouring frames and ten thousand times its gradient at each pixel."""
+    found = op.structural_gradient(pairs(spark, sf_dir), ["k"], F.lit(1.0))
+    return found.select("k", "b", "a", r6(F.col("loss")).alias("loss"), r6(1e4 * F.col("g")).alias("g"))
+
+
+@query()
+def msssim_gradient(spark, sf_dir):
+    """The same of the multi-scale loss."""
+    found = op.structural_gradient(pairs(spark, sf_dir), ["k"], F.lit(1.0), scales=True)
+    return found.select("k", "b", "a", r6(F.col("loss")).alias("loss"), r6(1e4 * F.col("g")).alias("g"))
+
+
 @query()
 def msssim(spark, sf_dir):
     return op.msssim(pairs(spark, sf_dir), ["k"], F.lit(1.0)).select("k", r6(F.col("msssim")).alias("msssim"))
