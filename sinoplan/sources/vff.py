@@ -117,17 +117,21 @@ def encoded_volumes(vox: DataFrame, key: str = "scan", value: str = "mu", bits:
     return vox.select(key, "i", "j", "l", F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, schema)
 
 
-def encoded_frames(rows: DataFrame, key: str = "k", bits: int = 16, scale: float = 1.0, fields: dict[str, str] | None = None) -> DataFrame:
-    """One file's content for each frame of detector rows (key, b, vals): (key, content); values are scaled first."""
-    told = fields or {}
+def encoded_frames(rows: DataFrame, key: str = "k", bits: int = 16, scale: float = 1.0, fields: dict[str, str] | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+    """One file's content for each frame of detector rows (key, b, vals): (key, content); values are scaled first.
+
+    ``columns``: for fields of the header that differ between frames, the column that has a frame's value; a null writes none.
+    """
+    told, varying = fields or {}, columns or {}
 
     def run(table):
         table = table.sort_by("b")
         raster = np.array(table["vals"].to_pylist(), float)[None] * scale
-        return pa.table([table[key].slice(0, 1), pa.array([encode(raster, told, bits)], pa.binary())], names=[key, "content"])
+        own = {name: str(table[c][0].as_py()) for name, c in varying.items() if table[c][0].is_valid}
+        return pa.table([table[key].slice(0, 1), pa.array([encode(raster, told | own, bits)], pa.binary())], names=[key, "content"])
 
     schema = T.StructType([rows.schema[key], T.StructField("content", T.BinaryType())])
-    return rows.select(key, "b", "vals").groupBy(key).applyInArrow(run, schema)
+    return rows.select(*dict.fromkeys([key, "b", "vals", *varying.values()])).groupBy(key).applyInArrow(run, schema)
 
 
 def save_files(files: DataFrame, folder: str, key: str = "scan", suffix: str = ".vff") -> DataFrame:
