@@ -116,9 +116,10 @@ def cosine_ramp(n: int) -> list[float]:
 
 
 def radial_power(rows: DataFrame, n: int, group: list[str]) -> DataFrame:
-    """Mean power of square patches of ``n`` by ``n`` (group, b, vals) at each distance from the middle of the spectrum.
+    """Mean power of all square patches of ``n`` by ``n`` that tile a frame (group, b, vals) at each distance from the middle of the spectrum.
 
-    Distances are rounded, ties to even; those beyond the last ring count to it. A patch is one group.
+    Distances are rounded, ties to even; those beyond the last ring count to it. Patches at the end of rows and columns are filled up with
+    zeros, so every pixel counts. A band of ``n`` rows is one group's work and leaves it as one sum a ring.
     """
     y, x = np.mgrid[:n, :n] - n // 2
     rings = n // 2
@@ -126,14 +127,19 @@ def radial_power(rows: DataFrame, n: int, group: list[str]) -> DataFrame:
     size = np.maximum(np.bincount(ring, minlength=rings), 1)
 
     def run(key, table):
-        table = table.sort_by("b")
-        patch = np.array(table["vals"].to_pylist(), float).reshape(n, n)
-        power = np.abs(np.fft.fftshift(np.fft.fft2(patch))) ** 2
+        places, vals = table["b"].to_numpy() % n, table["vals"].to_pylist()
+        wide = -(-max(map(len, vals)) // n) * n
+        band = np.zeros((n, wide))
+        for b, row in zip(places, vals, strict=True):
+            band[b, : len(row)] = row
+        tiles = band.reshape(n, wide // n, n).transpose(1, 0, 2)
+        power = (np.abs(np.fft.fftshift(np.fft.fft2(tiles), axes=(1, 2))) ** 2).sum(axis=0)
         found = np.bincount(ring, power.ravel(), rings) / size
-        return pa.table([*(pa.array([k.as_py()] * rings, k.type) for k in key), pa.array(np.arange(rings, dtype=np.int32)), pa.array(found)], names=[*group, "f", "power"])
+        return pa.table([*(pa.array([k.as_py()] * rings, k.type) for k in key[:-1]), pa.array(np.arange(rings, dtype=np.int32)), pa.array(found), pa.array([len(tiles)] * rings, pa.int64())], names=[*group, "f", "s", "m"])
 
-    schema = T.StructType([*(rows.schema[g] for g in group), T.StructField("f", T.IntegerType()), T.StructField("power", T.DoubleType())])
-    return rows.select(*group, "b", "vals").groupBy(*group).applyInArrow(run, schema)
+    schema = T.StructType([*(rows.schema[g] for g in group), T.StructField("f", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("m", T.LongType())])
+    bands = rows.filter(F.size("vals") > 0).select(*group, "b", "vals").groupBy(*group, F.floor(F.col("b") / n).alias("__band")).applyInArrow(run, schema)
+    return bands.groupBy(*group, "f").agg((F.sum("s") / F.sum("m")).alias("power"))
 
 
 def spectral_match(power: DataFrame, target: DataFrame, group: list[str], pitch_f: float, low: float = 0.5, high: float = 1.5, knee: float = 1.5, base: float = 0.1, floor: float = 1e-3) -> DataFrame:

@@ -113,21 +113,16 @@ def filtered_losses(spark, sf_dir):
     return met.select("k", r6(F.col("mse") + 0.5 * F.col("filtered")).alias("filtered"), r6(F.col("mse") + F.col("gated")).alias("gated"))
 
 
-_RADIAL = """WITH @STACK, w AS (SELECT k, b, a - 24 AS a, v FROM s WHERE b < 16 AND a >= 24 AND a < 40),
-r1 AS (SELECT k, b, fx, sum(v * cos(2 * pi() * ((a * fx) % 16) / 16)) AS re, -sum(v * sin(2 * pi() * ((a * fx) % 16) / 16)) AS im FROM w, range(16) r(fx) GROUP BY ALL),
-r2 AS (SELECT k, fx, fy, sum(re * cos(2 * pi() * ((b * fy) % 16) / 16) + im * sin(2 * pi() * ((b * fy) % 16) / 16)) AS re, sum(im * cos(2 * pi() * ((b * fy) % 16) / 16) - re * sin(2 * pi() * ((b * fy) % 16) / 16)) AS im FROM r1, range(16) r(fy) GROUP BY ALL),
+_RADIAL = """WITH @STACK, w AS (SELECT k, b // 16 AS pb, a // 16 AS pa, b % 16 AS b, a % 16 AS a, v FROM s),
+r1 AS (SELECT k, pb, pa, b, fx, sum(v * cos(2 * pi() * ((a * fx) % 16) / 16)) AS re, -sum(v * sin(2 * pi() * ((a * fx) % 16) / 16)) AS im FROM w, range(16) r(fx) GROUP BY ALL),
+r2 AS (SELECT k, pb, pa, fx, fy, sum(re * cos(2 * pi() * ((b * fy) % 16) / 16) + im * sin(2 * pi() * ((b * fy) % 16) / 16)) AS re, sum(im * cos(2 * pi() * ((b * fy) % 16) / 16) - re * sin(2 * pi() * ((b * fy) % 16) / 16)) AS im FROM r1, range(16) r(fy) GROUP BY ALL),
 h AS (SELECT k, least(round_even(sqrt(((fx + 8) % 16 - 8) ** 2 + ((fy + 8) % 16 - 8) ** 2), 0), 7)::INT AS f, re * re + im * im AS power FROM r2), p AS (SELECT k, f, avg(power) AS power FROM h GROUP BY k, f)"""
 
 
-def patches(spark, sf_dir):
-    """A patch of sixteen by sixteen pixels of each frame."""
-    return frames(spark, sf_dir).filter(F.col("b") < 16).select("k", "b", F.slice("vals", 25, 16).alias("vals"))
-
-
 @query(_RADIAL + " SELECT k, f, round(power, 6) + 0.0 AS power FROM p")
 def radial_power(spark, sf_dir):
-    """Power of a patch of each frame by distance from zero frequency."""
-    return spectral.radial_power(patches(spark, sf_dir), 16, ["k"]).withColumn("power", r6(F.col("power")))
+    """Power of all patches of sixteen by sixteen pixels of each frame by distance from zero frequency."""
+    return spectral.radial_power(frames(spark, sf_dir), 16, ["k"]).withColumn("power", r6(F.col("power")))
 
 
 @query(_RADIAL + """, t AS (SELECT f, avg(power) AS green FROM p GROUP BY f), g AS (SELECT k, p.f, f * 0.625 AS freq, power, green FROM p JOIN t USING (f)),
@@ -136,7 +131,7 @@ d AS (SELECT k, abs(log10(greatest(power / pa, 1e-6)) - log10(greatest(green / g
 SELECT k, round(sum(w * d) / sum(w), 6) + 0.0 AS loss FROM d GROUP BY k""")
 def spectral_match(spark, sf_dir):
     """How far the shape of each frame's spectrum is from that of all."""
-    power = spectral.radial_power(patches(spark, sf_dir), 16, ["k"])
+    power = spectral.radial_power(frames(spark, sf_dir), 16, ["k"])
     target = power.groupBy("f").agg(F.avg("power").alias("power"))
     return spectral.spectral_match(power, target, ["k"], 0.625).withColumn("loss", r6(F.col("loss")))
 

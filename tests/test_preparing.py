@@ -122,3 +122,16 @@ def test_bins_and_modes(spark):
     assert units.resolved_anchors(row, ["a"], "b", "fixed", 0.02).first()["tissue"] == 0.02
     with pytest.raises(ValueError, match="unknown mode"):
         units.resolved_anchors(row, ["a"], "b", "other")
+
+
+def test_radial_power_counts_every_pixel(spark):
+    """All patches of an uneven frame, the last ones filled up with zeros, against plain transforms."""
+    from sinoplan.operators import spectral
+
+    x = np.random.default_rng(6).normal(size=(10, 9))
+    rows = spark.createDataFrame([(0, b, x[b].tolist()) for b in range(10)], "k int, b int, vals array<double>")
+    got = [r["power"] for r in spectral.radial_power(rows, 4, ["k"]).orderBy("f").collect()]
+    padded = np.pad(x, ((0, 2), (0, 3)))
+    tiles = [np.abs(np.fft.fftshift(np.fft.fft2(padded[r : r + 4, c : c + 4]))) ** 2 for r in range(0, 12, 4) for c in range(0, 12, 4)]
+    far = np.hypot(*(np.mgrid[:4, :4] - 2)).round() >= 1
+    assert np.allclose(got, [np.mean(tiles, axis=0)[~far].mean(), np.mean(tiles, axis=0)[far].mean()])
