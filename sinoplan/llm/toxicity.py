@@ -20,8 +20,6 @@ from sinoplan.llm.tokens import chunks
 SAMPLE_ROWS = 20_000
 #: A term must be in this many toxic texts, in this share of them, and this many times likelier there.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.015, 12.0
-#: Terms in the lexicon at most, whole words and stems (open-ended beginnings) together.
-LEXICON = 2000
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
 #: Edits that a term or stem of so many letters may have; shorter ones must be spelled right.
@@ -218,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learn lexicon, context and weights from at most ``rows`` labelled documents.
 
     Spark counts in how many toxic and other texts of the sample each word and stem is; those far
-    likelier in toxic texts make the lexicon. A second pass counts in how many texts each term's
+    likelier in toxic texts make the lexicon, however many they are. A second pass counts in how many texts each term's
     neighbours by edits are, which tells misspellings from other words; a third the words around hits;
     a fourth takes the features of each text, and of toxic ones as if their terms were misspelled, on
     which a logistic regression with weights of no less than zero (at most twice ``rows`` lines of four
@@ -248,7 +246,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     odds = F.log((F.col("t") + 0.1) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (other + 1))
     least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
     picked = counted.filter(F.col("t") >= least).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(LEAST_ODDS)))
-    picked = picked.orderBy(F.desc("t"), "term").limit(LEXICON).collect()
+    picked = picked.orderBy(F.desc("t"), "term").collect()  # of a bounded sample
     lexicon = _lexicon([(r["term"], r["t"], r["odds"]) for r in picked])
     lexicon = Lexicon(lexicon.terms, lexicon.stems, _fuzzy(sample, lexicon, toxic, other))
     model = ToxicityModel(lexicon, {}, np.zeros(FEATURES + 1))
@@ -268,7 +266,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     near = sample.mapInArrow(tidy(around), "term string, t long, o long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     # Only words that other texts' hits have around them too can tell the two apart.
-    near = near.filter((F.col("o") >= 5) & (F.col("t") + F.col("o") >= 20)).orderBy(F.desc(F.col("t") + F.col("o")), "term").limit(LEXICON).collect()
+    near = near.filter((F.col("o") >= 5) & (F.col("t") + F.col("o") >= 20)).orderBy(F.desc(F.col("t") + F.col("o")), "term").collect()
     all_t, all_o = sum(r["t"] for r in near) + 1, sum(r["o"] for r in near) + 1
     model.context = {r["term"]: float(np.log((r["t"] + 1) / all_t) - np.log((r["o"] + 1) / all_o)) for r in near}
     fitted = spark.sparkContext.broadcast(model)
