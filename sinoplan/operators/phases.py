@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sinoplan.operators.lineage import checkpointed
 from sinoplan.operators.spectral import power_spectrum
 from sinoplan.operators.statistics import smoothed_counts
 
@@ -44,4 +45,5 @@ def phase_gate(rows: DataFrame, n: int, sigma: float = 3.0) -> DataFrame:
     power = power_spectrum(both, n, ["scan", "of"]).groupBy("scan", "f").agg(F.sum(F.when(F.col("of") == "all", F.col("power"))).alias("whole"), (0.5 * F.sum(F.when(F.col("of") == "noise", F.col("power")))).alias("noise"))
     signal = F.greatest(F.col("whole") - F.col("noise"), F.lit(0.0))
     raw = power.select("scan", F.col("f").alias("bin"), F.when(F.col("f") == 0, 0.0).otherwise(signal / F.greatest(signal + F.col("noise"), F.lit(1e-30))).alias("n"))
+    raw = checkpointed(raw)  # one row a scan and frequency, which smoothing reads three times
     return smoothed_counts(raw, ["scan"], sigma).select("scan", F.col("bin").alias("f"), F.least(F.greatest("h", F.lit(0.0)), F.lit(1.0)).alias("gate"))
