@@ -19,7 +19,7 @@ REPEAT, GRAM = 100, 48
 MOST_STARTS = REPEAT - GRAM + 1
 #: Bytes that a group may hold: of texts, of anchors with their owners, and of suffixes laid out for sorting.
 TEXT_BYTES, ANCHOR_BYTES, SUFFIX_BYTES = 8 << 20, 8 << 20, 12 << 20
-#: Bytes of text hashed together.
+#: Bytes of text hashed together; longer texts are cut into runs of as many starts.
 CHUNK_BYTES = 1 << 19
 
 _ANCHOR = np.dtype([("gram", "<u8"), ("region", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
@@ -143,6 +143,8 @@ def _anchor_blobs(n_shards: int, n_buckets: int):
     """Stage 1: the anchors of each run of texts, one blob for each shard of grams.
 
     Of regions that are equal within the run only the first travels; the others are covered already.
+    A long text comes in pieces that overlap by all but one byte of a string, so that each string starts
+    in one of them; a region cut there is two with one anchor, and the memory does not grow with the text.
     """
 
     def flush(parts, owners):
@@ -174,18 +176,20 @@ def _anchor_blobs(n_shards: int, n_buckets: int):
         parts, owners, chunk, held, size = [], [], [], 0, 0
         for batch in batches:
             for order, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                owners.append((-(1 << 63) if order is None else order, row))
-                chunk.append(text.as_py())
-                held += len(chunk[-1])
-                size += len(chunk[-1])
-                if held >= CHUNK_BYTES or len(owners) >= 60_000:
-                    parts.append(_marked(chunk, len(owners) - len(chunk)))
-                    chunk, held = [], 0
-                if size >= 32 * CHUNK_BYTES or len(owners) >= 60_000:
-                    if chunk:
+                whole = text.as_py()
+                for at in range(0, max(len(whole), 1), CHUNK_BYTES):
+                    owners.append((-(1 << 63) if order is None else order, row))
+                    chunk.append((at, whole[at : at + CHUNK_BYTES + REPEAT - 1]))
+                    held += len(chunk[-1][1])
+                    size += len(chunk[-1][1])
+                    if held >= CHUNK_BYTES or len(owners) >= 60_000:
                         parts.append(_marked(chunk, len(owners) - len(chunk)))
-                    yield flush(parts, owners)
-                    parts, owners, chunk, held, size = [], [], [], 0, 0
+                        chunk, held = [], 0
+                    if size >= 32 * CHUNK_BYTES or len(owners) >= 60_000:
+                        if chunk:
+                            parts.append(_marked(chunk, len(owners) - len(chunk)))
+                        yield flush(parts, owners)
+                        parts, owners, chunk, held, size = [], [], [], 0, 0
         if chunk:
             parts.append(_marked(chunk, len(owners) - len(chunk)))
         if parts:
@@ -194,8 +198,10 @@ def _anchor_blobs(n_shards: int, n_buckets: int):
     return run
 
 
-def _marked(chunk: list[bytes], first: int) -> np.ndarray:
-    rows, again = anchors_of(chunk)
+def _marked(chunk: list[tuple[int, bytes]], first: int) -> np.ndarray:
+    """The anchors of pieces (where a piece starts in its text, its bytes), places counted in the texts."""
+    rows, again = anchors_of([piece for _, piece in chunk])
+    rows["start"] += np.array([at for at, _ in chunk], np.uint32)[rows["doc"]]
     rows["doc"] += np.uint16(first)
     rows["n"] |= again.astype(np.uint8) << 7
     return rows

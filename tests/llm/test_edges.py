@@ -202,6 +202,19 @@ def test_a_hot_anchor_is_dealt_out_and_stays_exact(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_repeats(rows)
 
 
+def test_repeats_across_the_pieces_of_long_texts(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 256)
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    shared, turn = text(700), text(130)
+    texts = [text(190) + shared + text(411), text(33) + shared[90:] + text(900), turn * 6, text(255) + shared[:101], text(256), text(99), "a" * 1500]
+    rows = [(i, t, None, None, 1) for i, t in enumerate(texts)]
+    got = repeats.remove_repeats(docs(spark, rows), digest=True).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_repeats(rows)
+
+
 def test_maximal_repeats_are_all_found():
     texts = [b"xabcabcay", b"zabcabcaw", b"qabcx"]
     suffix, size, before, inner, where = [], [], [], [], []
