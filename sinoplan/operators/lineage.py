@@ -22,3 +22,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that all executors share."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.plugins import data_gradients
-from sinoplan.operators.lineage import checkpointed, shared_folder
+from sinoplan.operators.lineage import checkpointed, remove_folder, shared_folder
 from sinoplan.operators.project import backward, forward, system_matrix
 from sinoplan.operators.solve import VOXEL, adam_step
 
@@ -83,11 +83,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def adam_run(
     rays: DataFrame, data: DataFrame, vox: DataFrame, shape: tuple[int, int, int], size: float, steps: int, one_in: int = 4, samples: int = 8, term: str = "mse", variation: float = 0.0, rate: float = 1e-3,
     warmup: int = 0, held_out: DataFrame | None = None, every: int = 10, margin: float = 0.0, factor: float = 0.5, wait: int = 3, cooldown: int = 1, floor: float = 0.01, patience: int = 8, clip: float | None = None, folder: str | None = None,
@@ -145,6 +140,6 @@ def adam_run(
             progress = Progress(**{**asdict(progress), "step": n})
         spark.createDataFrame([tuple(asdict(progress).values())], _PROGRESS).coalesce(1).write.mode("overwrite").parquet(fold(n))
         for old in {n - 1, before.best_step} - {n, progress.best_step}:
-            _remove(spark, at(old))
+            remove_folder(spark, at(old))
         done = n
     return spark.read.parquet(at(progress.best_step if score is not None and progress.best is not None else done)).select(*VOXEL, "mu")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sinoplan.plans import alignment, geometry, metrics, ordered, preparing, preprocessing, reconstruct, regions, selfcal, statistics  # noqa: F401
+from sinoplan.plans import alignment, exporting, geometry, metrics, ordered, preparing, preprocessing, reconstruct, regions, selfcal, statistics  # noqa: F401
 from sinoplan.plans.registry import ORACLES, QUERIES
 
 

@@ -36,7 +36,7 @@ def test_broken_file_names_itself(spark, tmp_path):
 
 def test_volume_round_trip_through_a_file(spark, tmp_path):
     vox = spark.range(24).select(F.lit("s1").alias("scan"), (F.col("id") % 2).cast("int").alias("i"), (F.floor(F.col("id") / 2) % 3).cast("int").alias("j"), F.floor(F.col("id") / 6).cast("int").alias("l"), (F.col("id") * 3.0).alias("mu"))
-    assert vff.save_files(vff.encoded_volumes(vox), str(tmp_path)).count() == 1
+    assert vff.save_volumes(vox, str(tmp_path)).count() == 1
     _, raster = vff.decode((tmp_path / "s1.vff").read_bytes())
     for r in vox.collect():
         assert raster[r["l"], 2 - r["j"], r["i"]] == r["mu"]
