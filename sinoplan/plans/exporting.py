@@ -35,8 +35,10 @@ def volume_export(spark, sf_dir):
     anchors = units.resolved_anchors(vox, ["volume"], "mu", mode="fixed", mu_water=0.05)
     folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     export.export_volumes(vox, anchors, folder, xy=0.05, z=0.1, tissue_hu=units.WATER_HU, most=10_000).agg(F.sum("bytes")).first()
-    name = lambda c: F.regexp_extract(c, r"([^/]+?)(\.vff)?$", 1)
-    rows = vff.read_vff(spark, folder).select(name("path").alias("volume"), "z", "b", F.posexplode("vals").alias("a", "hu")).withColumn("hu", F.col("hu").cast("double"))
+    name = lambda c: F.substring_index(F.substring_index(c, "/", -1), ".vff", 1)
+    # Named before they are taken apart: once a row of a file, not once a voxel.
+    rows = vff.read_vff(spark, folder).select(name("path").alias("volume"), "z", "b", "vals")
+    rows = rows.select("volume", "z", "b", F.posexplode("vals").alias("a", "hu")).withColumn("hu", F.col("hu").cast("double"))
     side = prepare.sidecars(spark, folder).withColumn("volume", name("volume"))
     told = units.volume_anchors(side.select("volume"), side)
     # What is read again is kept, so that the files can go.
