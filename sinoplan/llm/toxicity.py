@@ -33,6 +33,8 @@ WRONG_SHARE = 0.2
 WINDOW = 6
 #: Words that a worker remembers.
 KNOWN_WORDS = 300_000
+#: Characters of texts whose words are looked up together, and of one regular expression by which words are ruled out.
+TEXTS, PATTERN = 1 << 20, 10_000
 
 TOKENS = re.compile(r"[\"“”„«»‘’]|\w+")
 QUOTES = frozenset("\"“”„«»‘’")
@@ -47,6 +49,15 @@ def budget(name: str) -> int:
     return next((k for n, k in EDITS if len(name.rstrip("*")) >= n), 0)
 
 
+def spellings(name: str, edits: int) -> set[str]:
+    """Regular expressions of all words within so many edits of a name."""
+    found = {tuple(name)}
+    for _ in range(edits):
+        # Another letter or none in place of one; one put in.
+        found = {(*v[:i], ".?", *v[i + 1 :]) for v in found for i in range(len(v))} | {(*v[:i], ".", *v[i:]) for v in found for i in range(len(v) + 1)}
+    return {"".join(v) for v in found}
+
+
 @dataclass
 class Lexicon:
     """Terms and stems (open-ended beginnings of words) with their log odds, and the trie that automata run over.
@@ -97,6 +108,29 @@ class Lexicon:
             return self.near(word)
         return None
 
+    @functools.cached_property
+    def patterns(self) -> list[str]:
+        """Regular expressions; a word that fits none of them has no match."""
+        found = [f"{t}$" for t in self.terms] + list(self.stems)
+        for name in self.fuzzy:
+            end = "" if name.endswith("*") else "$"
+            found += [f"{x}{end}" for x in sorted(spellings(name.rstrip("*"), budget(name)))]
+        out, size = [], PATTERN
+        for x in found:
+            if size + len(x) >= PATTERN:
+                out.append([])
+                size = 0
+            out[-1].append(x)
+            size += len(x) + 1
+        return [f"^(?:{'|'.join(xs)})" for xs in out]
+
+    def matches(self, words) -> dict[str, tuple[str, int]]:
+        """What ``match`` finds for those words that have a match; nearly all others are ruled out together."""
+        words = pa.array(words, pa.string())
+        fits = [pc.match_substring_regex(words, pattern) for pattern in self.patterns]
+        maybe = words.filter(functools.reduce(pc.or_, fits)).to_pylist() if fits else []
+        return {word: m for word in maybe if (m := self.match(word)) is not None}
+
     def has_piece(self, word: str) -> bool:
         if any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items()):
             return True
@@ -138,6 +172,26 @@ class Lexicon:
         return (best[2], best[0]) if best else None
 
 
+class Matcher:
+    """The words of texts with what a lexicon finds for them; words are remembered."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.seen, self.found = lexicon, set(), {}
+
+    def read(self, texts: list[str]):
+        """Yield each text's words, and the matches of all words that have one (none if no word of the text has)."""
+        for part in chunks(texts, TEXTS):
+            words = [TOKENS.findall(text.lower()) for text in part]
+            new = set().union(*words) - self.seen
+            if len(self.seen) + len(new) > KNOWN_WORDS:
+                self.seen, self.found = set(), {}
+                new = set().union(*words)
+            self.found.update(self.lexicon.matches(list(new)))
+            self.seen |= new
+            for ws in words:
+                yield ws, {} if self.found.keys().isdisjoint(ws) else self.found
+
+
 @dataclass
 class ToxicityModel:
     """A lexicon, log odds of words seen around hits, and weights of a text's features."""
@@ -145,29 +199,25 @@ class ToxicityModel:
     lexicon: Lexicon
     context: dict[str, float]
     weights: np.ndarray
-    known: dict = field(default_factory=dict)
+    known: Matcher | None = None
 
     def __getstate__(self):
         return self.lexicon, self.context, self.weights
 
     def __setstate__(self, state):
         self.lexicon, self.context, self.weights = state
-        self.known = {}
+        self.known = None
 
     def forget(self) -> None:
         """Let go of the words seen."""
-        self.known = {}
-
-    def hits(self, text: str) -> list[tuple[str, int, float, bool]]:
-        """Each hit's term, edits, score in its window, and whether it is quoted."""
-        words = TOKENS.findall(text.lower())
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = self.lexicon.match(word)
-        found = [(i, m) for i, m in enumerate(map(known.__getitem__, words)) if m is not None]
-        return [(*m, *self.hit(words, i, *m)) for i, m in found]
+        self.known = None
+
+    def hits(self, texts: list[str]):
+        """Yield for each text its hits: term, edits, score in its window, and whether it is quoted."""
+        if self.known is None:
+            self.known = Matcher(self.lexicon)
+        for words, found in self.known.read(texts):
+            yield [(*found[w], *self.hit(words, i, *found[w])) for i, w in enumerate(words) if w in found] if found else []
 
     def hit(self, words: list[str], at: int, term: str, edits: int) -> tuple[float, bool]:
         """The score of one hit in its window, and whether it is quoted.
@@ -198,7 +248,7 @@ class ToxicityModel:
         return [(t, 1, max(s - lexicon.odds(t, e) + lexicon.fuzzy[t], 0.0), q) for t, e, s, q in hits if t in lexicon.fuzzy]
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-(self.weights[0] + self.features(self.hits(text)) @ self.weights[1:]))))
+        return float(1 / (1 + np.exp(-(self.weights[0] + self.features(next(self.hits([text]))) @ self.weights[1:]))))
 
 
 FEATURES = 4
@@ -253,12 +303,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(model)
 
     def around(batches):
+        known = Matcher(shared.value.lexicon)
         for batch in batches:
             out = [[], [], []]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = TOKENS.findall(text.lower())
-                match = functools.cache(shared.value.lexicon.match)
-                seen = {w for i, x in enumerate(words) if match(x) for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW] if not match(w)}
+            for (words, found), label in zip(known.read(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                seen = {w for i, x in enumerate(words) if x in found for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW] if w not in found} if found else ()
                 out[0] += seen
                 out[1] += [label] * len(seen)
                 out[2] += [1 - label] * len(seen)
@@ -274,8 +323,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def lines(batches):
         for batch in batches:
             rows = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = fitted.value.hits(text)
+            for hits, label in zip(fitted.value.hits(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
                 rows.append([float(label), 1.0, *fitted.value.features(hits)])
                 # A toxic text stays one if its terms are misspelled, which the sample may not show.
                 if label and (wrong := fitted.value.misspelled(hits)):
@@ -299,11 +347,11 @@ def _fuzzy(sample: DataFrame, lexicon: Lexicon, toxic: int, other: int) -> dict[
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def near(batches):
-        match = functools.lru_cache(KNOWN_WORDS)(shared.value.match)
+        known = Matcher(shared.value)
         for batch in batches:
             out = [[], [], []]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {m[0] for m in map(match, set(TOKENS.findall(text.lower()))) if m is not None and m[1]}
+            for (words, matches), label in zip(known.read(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                found = {m[0] for m in map(matches.get, matches.keys() & set(words)) if m[1]}
                 found |= {family[t] for t in found if t in family}
                 out[0] += found
                 out[1] += [label] * len(found)
@@ -394,7 +442,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for batch in batches:
             first, texts = 0, pc.fill_null(batch.column(1), "").to_pylist()
             for part in chunks(texts):
-                found = [known.hits(text) for text in part]
+                found = list(known.hits(part))
                 x = np.array([known.features(hits) for hits in found])
                 score = 1 / (1 + np.exp(-np.clip(known.weights[0] + x @ known.weights[1:], -40, 40)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([len(h) for h in found], pa.int64()), pa.array([sum(q for *_, q in h) for h in found], pa.int64())], names=schema.names)

@@ -224,6 +224,22 @@ def test_automata_equal_brute_force_with_stems_and_two_edits():
             assert exact or lexicon.match(w) == found
 
 
+def test_words_that_are_ruled_out_together_have_no_match(monkeypatch):
+    draw = random.Random(1)
+    word = lambda a, b: "".join(draw.choice("abcß") for _ in range(draw.randint(a, b)))
+    lexicon = toxicity.Lexicon({word(2, 10): 1.0 for _ in range(25)}, {word(4, 6): 1.0 for _ in range(3)})
+    words = list({word(1, 12) for _ in range(3000)})
+    want = {w: m for w in words if (m := lexicon.match(w)) is not None}
+    assert lexicon.matches(words) == want and 0 < len(want) < len(words)
+    assert toxicity.Lexicon({}, {}).matches(words) == {}
+    # Texts in parts, and words forgotten between them, give what each word gives.
+    monkeypatch.setattr(toxicity, "TEXTS", 100)
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 50)
+    texts = [" ".join(words[i : i + 7]).upper() + ' "' for i in range(0, 700, 7)] + [""]
+    got = [{w: found[w] for w in read if w in found} for read, found in toxicity.Matcher(lexicon).read(texts)]
+    assert got == [{w: m for w in toxicity.TOKENS.findall(text.lower()) if (m := lexicon.match(w))} for text in texts]
+
+
 # -- shared ---------------------------------------------------------------------------------------
 
 
