@@ -66,3 +66,11 @@ def test_toxicity_recall_and_precision(spark):
     held = [(r["predicted"], toxic[r["doc_id"]]) for r in queries.op4_toxicity(spark, large).collect() if r["held_out"] and r["doc_id"] in toxic]
     caught = sum(p and t for p, t in held)
     assert caught / sum(t for _, t in held) >= 0.9 and caught / sum(p for p, _ in held) >= 0.9
+
+
+def test_archive_twin_with_nulls_as_nulls(spark, duck):
+    """Rows as Python has them: data frames give the nulls of a column without a value as NaN or as NA, which no ``==`` compares."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = duck.sql(queries.oracle_sql()["op11_warc"]).project(", ".join(names)).fetchall()
+    got = map(tuple, queries.op11_warc(spark, DIR).select(names).collect())
+    assert sorted(got, key=repr) == sorted(want, key=repr)
