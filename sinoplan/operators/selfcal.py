@@ -314,13 +314,16 @@ def half_scan_planes(vox: DataFrame, rows: DataFrame, order: tuple[list[int], np
     return parts.groupBy("nth", "half", "plane", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def half_scan_scores(vox: DataFrame, rows: DataFrame, order: tuple[list[int], np.ndarray], tries: list[tuple[float, float]], d: Detector) -> DataFrame:
-    """How far the edges of both halves' planes agree (nth, plane, score): correlation of their gradients' sizes."""
+def half_scan_scores(vox: DataFrame, rows: DataFrame, order: tuple[list[int], np.ndarray], tries: list[tuple[float, float]], d: Detector, flat: float = 0.0) -> DataFrame:
+    """How far the edges of both halves' planes agree (nth, plane, score): correlation of their gradients' sizes.
+
+    A plane that is flat in a half, such as one that a candidate moves off the detector, has no correlation; its score is ``flat``.
+    """
     both = half_scan_planes(vox, rows, order, tries, d).groupBy("nth", "plane", "i", "j").agg(*(F.sum(F.when(F.col("half") == h, F.col("v"))).alias(f"h{h}") for h in (0, 1)))
     for h in (0, 1):
         both = gradient(both, ["i", "j"], f"h{h}", ["nth", "plane"]).withColumn(f"e{h}", F.sqrt(F.col("g_i") * F.col("g_i") + F.col("g_j") * F.col("g_j"))).drop("g_i", "g_j")
-    score = F.corr("e0", "e1")
-    return both.groupBy("nth", "plane").agg(F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0))).alias("score"))
+    score = F.try_divide(F.covar_pop("e0", "e1"), F.stddev_pop("e0") * F.stddev_pop("e1"))  # corr() divides by zero where an edge is flat
+    return both.groupBy("nth", "plane").agg(F.coalesce(F.nanvl(score, F.lit(None)), F.lit(float(flat))).alias("score"))
 
 
 def widened(score, grid: list[float], step: float, low: float, high: float, more: int = 3, times: int = 4) -> tuple[np.ndarray, np.ndarray, bool]:

@@ -85,11 +85,11 @@ d AS (SELECT nth, plane, coalesce((lead(h0) OVER x - lag(h0) OVER x) / 2, lead(h
  FROM pl WINDOW x AS (PARTITION BY nth, plane, j ORDER BY i), y AS (PARTITION BY nth, plane, i ORDER BY j))
 SELECT nth, plane, round(corr(sqrt(a0 * a0 + b0 * b0), sqrt(a1 * a1 + b1 * b1)), 6) + 0.0 AS score FROM d GROUP BY nth, plane""")
 def psi_half_scores(spark, sf_dir):
-    """How far both halves of the turn show the same edges, in planes over the whole detector, for three tilts and axes: one level of the search."""
+    """How far both halves of the turn show the same edges, in planes over the whole detector, for three tilts and axes: one level of the search; NaN where a half shows none."""
     rows, views, d = detector(spark, sf_dir)
     planes = max(2, d.n_b // 8)
     grid = selfcal.plane_grid(spark, d, 6.0, 0.3, tuple(p - (planes - 1) / 2 for p in range(planes)))
-    scores = selfcal.half_scan_scores(grid, rows, selfcal.view_order(views), [(-0.02, d.cpa), (0.0, d.cpa), (0.02, d.cpa + 0.5)], d)
+    scores = selfcal.half_scan_scores(grid, rows, selfcal.view_order(views), [(-0.02, d.cpa), (0.0, d.cpa), (0.02, d.cpa + 0.5)], d, math.nan)
     return scores.select("nth", "plane", r6(F.col("score")).alias("score"))
 
 

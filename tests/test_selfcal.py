@@ -125,3 +125,17 @@ def test_planes_equal_plain_sums(spark):
                             if 0 <= i < 10 and 0 <= j < 12:
                                 total += data[k, i, j] * (1 - abs(b - i)) * (1 - abs(a - j))
                 assert abs(total - got[n, half, v["plane"], v["i"], v["j"]]) < 1e-9
+
+
+def test_planes_off_the_detector_have_the_score_of_flat_ones(spark):
+    d = selfcal.Detector(20.0, 30.0, 0.5, 12, 10, 5.5, 4.5)
+    data = np.random.default_rng(3).random((6, 10, 12))
+    rows = spark.createDataFrame([(k, b, data[k, b].tolist()) for k in range(6) for b in range(10)], "k int, b int, vals array<double>")
+    order = list(range(6)), 2 * math.pi * np.arange(6) / 6
+    vox = selfcal.plane_grid(spark, d, 3.0, 0.5, (0.7, 90.0))
+    for flat in ((), (math.nan,)):
+        told = {r["plane"]: r["score"] for r in selfcal.half_scan_scores(vox, rows, order, [(0.0, 5.5)], d, *flat).collect()}
+        assert len(told) == 2 and 0 < abs(told[0]) <= 1 and np.array_equal(told[1], *flat or (0.0,), equal_nan=True)
+    planes = {(r["half"], r["i"], r["j"]): r["v"] for r in selfcal.half_scan_planes(vox.filter("plane = 0"), rows, order, [(0.0, 5.5)], d).collect()}
+    e0, e1 = (np.hypot(*np.gradient(np.array([[planes[h, i, j] for j in range(6)] for i in range(6)]))).ravel() for h in (0, 1))
+    assert abs(told[0] - np.corrcoef(e0, e1)[0, 1]) < 1e-9
