@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows, with a few numbers each, that go to every task.
+FEW = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +28,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_hand(df: DataFrame) -> DataFrame:
+    """One row a group, computed, and broadcast where these are few: else a join by few keys takes all rows to as few tasks before Spark sees the size."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark writes to."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

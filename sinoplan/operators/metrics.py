@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import huber
-from sinoplan.operators.lineage import checkpointed
+from sinoplan.operators.lineage import at_hand, checkpointed
 from sinoplan.operators.spectral import with_vals
+from sinoplan.operators.statistics import lower_median
 
 
 def projection_metrics(pairs: DataFrame, group: list[str], p: str = "p", t: str = "t") -> DataFrame:
@@ -74,20 +76,24 @@ def gain(p: Column, t: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(p * t), F.sum(p * p)), F.lit(1.0))
 
 
+def _beside_median(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """Rows with the lower median of their group; null where the group has no value, and without rows of no group."""
+    known = df.filter(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in group))) if group else df
+    middle = at_hand(lower_median(known, group, value, out))
+    return known.join(middle, group, "left") if group else known.crossJoin(middle)
+
+
 def losses(pairs: DataFrame, group: list[str], p: str = "p", t: str = "t") -> DataFrame:
     """MSE, MSE weighted by exp(-t), and Huber's loss at 1.345 robust deviations (lower median)."""
     r = F.col(p) - F.col(t)
-    delta = pairs.groupBy(*group).agg((1.345 * F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs({p} - {t}))") / 0.6745).alias("delta"))
-    met = pairs.join(delta, group)
-    return met.groupBy(*group).agg(F.avg(r * r).alias("mse"), F.avg(F.exp(-F.col(t)) * r * r).alias("weighted"), F.avg(huber(r, F.col("delta"))).alias("huber"))
+    met = _beside_median(pairs.withColumn("__r", F.abs(r)), group, "__r", "__m")
+    return met.groupBy(*group).agg(F.avg(r * r).alias("mse"), F.avg(F.exp(-F.col(t)) * r * r).alias("weighted"), F.avg(huber(r, 1.345 * F.col("__m") / 0.6745)).alias("huber"))
 
 
 def row_weighted_mse(pairs: DataFrame, group: list[str], length: str = "length", most: float = 4.0, p: str = "p", t: str = "t") -> DataFrame:
     """Residuals weighted by one over the path, within a factor of the (lower) median weight."""
     w = F.when(F.col(length) > 0, 1.0 / F.col(length)).otherwise(0.0)
-    told = pairs.withColumn("__w", w)
-    middle = told.groupBy(*group).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY __w)").alias("__m"))
-    met = told.join(middle, group)
+    met = _beside_median(pairs.withColumn("__w", w), group, "__w", "__m")
     clamped = F.least(F.greatest(F.col("__w"), F.col("__m") / most), F.col("__m") * most) / F.col("__m")
     return met.groupBy(*group).agg(F.avg(clamped * F.pow(F.col(p) - F.col(t), 2)).alias("row_weighted"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinoplan.functions.columns import mirrored
-from sinoplan.operators.lineage import checkpointed
+from sinoplan.operators.lineage import at_hand, checkpointed
 
 
 #: Bins of a factor e, and parts that each bin is split into.
@@ -27,17 +27,19 @@ def magnitude_bin(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(1 << 22)).when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("int")
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
-    """Exact linear quantiles of each group, one row a group: (group, x), x in the order of ``at``.
+def quantiles(df: DataFrame, group: list[str], value: str, at: list[float], lower: bool = False, eager: bool = False) -> DataFrame:
+    """Exact linear quantiles of each group, one row a group: (group, x), x in the order of ``at``; ``lower``: the value at or before each place instead.
 
     Two scans with small shuffles, and no task holds a group. The first counts values in bins by magnitude, which tells in which bin
     each rank lies; the second takes the values of those bins alone, counts equal ones, and puts them in order within 4096 parts of
     the bin's own range, of which only those with a rank go on. So neither a value far off nor very many values close together fill
     one task, unless they differ by less than 2^-20 of their size, or are equal: then they are one row. Nulls are left out.
+    ``eager``: the first scan runs at once, and its few bins come to the rows, which are then not shuffled.
     """
     rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()).withColumn("b0", magnitude_bin(F.col("v")))
     place = F.transform(F.lit([float(p) for p in at]), lambda p: p * (F.col("n") - 1))
-    ranks = F.array_distinct(F.concat(F.transform(place, lambda p: F.floor(p)), F.transform(place, lambda p: F.ceil(p))))
+    ends = [F.transform(place, lambda p: F.floor(p)), F.transform(place, lambda p: F.ceil(p))]
+    ranks = F.array_distinct(F.concat(*ends[: 1 if lower else 2]))
     inside = lambda low, high: F.filter("ranks", lambda r: (r >= low) & (r < high))
     whole = Window.partitionBy(*group)
     upto = Window.unboundedPreceding, 0
@@ -46,6 +48,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> D
     bins = bins.withColumns({"upto": F.sum("m").over(whole.orderBy("b0").rowsBetween(*upto)), "n": F.sum("m").over(whole)}).withColumn("before", F.col("upto") - F.col("m"))
     first = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto")))
     bins = bins.withColumn("ranks", first).filter(F.size("ranks") > 0).select(*group, "b0", "lo", "hi", "before", "n", "ranks")
+    bins = at_hand(bins) if eager else bins
 
     part = F.coalesce(F.least(F.floor(F.nanvl(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0)) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
     some = rows.join(bins, [*group, "b0"]).groupBy(*group, "b0", part.alias("b1"), "v").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("before", "n", "ranks")))
@@ -56,7 +59,12 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> D
     found = found.select(*group, "n", "v", F.explode(inside(F.col("upto") - F.col("m"), F.col("upto"))).alias("rank"))
     found = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("by"), F.first("n").alias("n"))
     read = lambda p: F.element_at("by", F.floor(p)) + (F.element_at("by", F.ceil(p)) - F.element_at("by", F.floor(p))) * (p - F.floor(p))
-    return found.select(*group, F.transform(place, read).alias("x"))
+    return found.select(*group, F.transform(place, (lambda p: F.element_at("by", F.floor(p))) if lower else read).alias("x"))
+
+
+def lower_median(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """The lower of the two middle values of each group, one row a group."""
+    return quantiles(df, group, value, [0.5], lower=True, eager=True).select(*group, F.col("x")[0].alias(out))
 
 
 def named_quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:

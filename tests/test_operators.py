@@ -170,3 +170,28 @@ def test_msssim_has_the_scales_that_the_smaller_side_allows(spark):
     pairs = spark.createDataFrame(rows, "k int, b int, a int, p double, t double")
     got = {r["k"]: r["msssim"] for r in metrics.msssim(pairs, ["k"], F.lit(1.0)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_losses_take_no_group_to_one_task(spark):
+    draw = np.random.default_rng(4)
+    rows = [("x", float(p), float(t), float(n)) for p, t, n in zip(draw.normal(2, 1, 400), draw.normal(2, 1, 400), draw.integers(0, 9, 400), strict=True)]
+    rows += [("y", 1.0, 0.5, 0.25), ("y", 3.0, 1.0, 0.5), ("z", None, 1.0, 1.0), (None, 1.0, 2.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "g string, p double, t double, length double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of unknown size
+    try:
+        found = metrics.losses(pairs, ["g"]).withColumnRenamed("g", "h"), metrics.row_weighted_mse(pairs, ["g"])
+        for f in found:
+            plan = f._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "percentile" not in plan
+        got = {r["g"]: r for r in found[0].join(found[1], F.col("h") == F.col("g")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert set(got) == {"x", "y", "z"} and got["z"]["huber"] is None
+    for g in "xy":
+        p, t, length = (np.array(c) for c in list(zip(*(r for r in rows if r[0] == g), strict=True))[1:])
+        r, w = np.abs(p - t), np.divide(1.0, length, out=np.zeros(len(length)), where=length > 0)
+        lower = lambda x: np.sort(x)[(len(x) - 1) // 2]
+        d, m = 1.345 * lower(r) / 0.6745, lower(w)
+        want = {"mse": r * r, "weighted": np.exp(-t) * r * r, "huber": np.where(r <= d, r * r, 2 * d * r - d * d), "row_weighted": np.clip(w, m / 4, m * 4) / m * r * r}
+        assert all(abs(got[g][c] - x.mean()) < 1e-12 * max(1, x.mean()) for c, x in want.items())
