@@ -282,31 +282,48 @@ def _planes(tries: list[tuple[float, float]], d: Detector):
     return run
 
 
+def _asked(order: tuple[list[int], np.ndarray], tries: list[tuple[float, float]], d: Detector):
+    """Which detector rows (b), and which of their columns (a0 to a1), the voxels of a tile of a plane fall on in each view, for any candidate."""
+    turned = [(math.cos(psi), math.sin(psi), cpa) for psi, cpa in tries]
+    views = [(k, float(t), int(n >= len(order[0]) // 2)) for n, (k, t) in enumerate(zip(*order, strict=True))]
+
+    def run(key, vox):
+        x, y, z = (vox[c].to_numpy() for c in "xyz")
+        told, rows = [], []
+        for k, theta, half in views:
+            c, s = math.cos(theta), math.sin(theta)
+            scale = d.sdd / np.maximum(d.r_s + x * c + y * s, 1e-6) / d.pitch
+            u, v = scale * (y * c - x * s), scale * z
+            met, a0, a1 = np.zeros(d.n_b + 2, bool), d.n_a, -1  # a row more at either end
+            for cp, sp, cpa in turned:
+                p, q = d.cpb + cp * v - sp * u, cpa + cp * u + sp * v
+                on = (p > -1) & (p < d.n_b) & (q > -1) & (q < d.n_a)
+                if on.any():
+                    i, j = np.floor(p[on]).astype(int) + 1, np.floor(q[on])
+                    met[i] = met[i + 1] = True
+                    a0, a1 = min(a0, int(j.min())), max(a1, int(j.max()) + 1)
+            b = np.flatnonzero(met[1:-1])
+            if len(b):
+                told.append((k, theta, half, max(a0, 0), min(a1, d.n_a - 1)))
+                rows.append(b)
+        count = [len(b) for b in rows]
+        names = {"k": np.int32, "theta": np.float64, "half": np.int32, "a0": np.int32, "a1": np.int32}
+        out = {name: np.repeat(np.array([t[n] for t in told], kind), count) for n, (name, kind) in enumerate(names.items())}
+        out["b"] = np.concatenate(rows).astype(np.int32) if rows else np.array([], np.int32)
+        return pa.table({name: np.full(sum(count), k.as_py(), np.int32) for name, k in zip(("box", "si", "sj"), key, strict=True)} | out)
+
+    return run
+
+
 def half_scan_planes(vox: DataFrame, rows: DataFrame, order: tuple[list[int], np.ndarray], tries: list[tuple[float, float]], d: Detector, tile: int = 64, lot: int = 256) -> DataFrame:
     """Planes (nth, half, plane, i, j, v) backprojected from the first and second half of the views, for each of ``tries`` (tilt in radians, column of the axis).
 
-    ``vox``: (plane, i, j, x, y, z). As in ``backproject``, a tile meets of some views at a time the window of the detector that it can fall on,
-    wide enough for all candidates: windows are shuffled once for all of them.
+    ``vox``: (plane, i, j, x, y, z). As in ``backproject``, a tile meets of some views at a time what it falls on of the detector, for all candidates
+    together: pieces of rows are shuffled once for all of them. A tile far off the central row is spread over very many rows, of which its voxels meet few; only these are asked for.
     """
     spark = vox.sparkSession
-    told = spark.createDataFrame([(k, float(t), int(n >= len(order[0]) // 2)) for n, (k, t) in enumerate(zip(*order, strict=True))], "k int, theta double, half int")
     tiled = vox.select(*(F.col(c).cast("int").alias(c) for c in ("plane", "i", "j")), *(F.col(c).cast("double").alias(c) for c in "xyz")).withColumns({f"t{c}": F.floor(F.col(c) / tile).cast("int") for c in "ij"})
-    boxes = tiled.groupBy("plane", "ti", "tj").agg(*(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))))
-    boxes = boxes.select(*(F.col(c).alias(name) for c, name in (("plane", "box"), ("ti", "si"), ("tj", "sj"))), *(f"{c}{n}" for c in "xyz" for n in (0, 1)))
-    met = boxes.crossJoin(F.broadcast(told))  # a tile and a view meet once; a scan has a few thousand views
-    turn, shift = max(abs(psi) for psi, _ in tries), [cpa for _, cpa in tries]
-    u, v = [], []
-    for n in range(8):
-        x, y, z = (F.col(f"{c}{n >> b & 1}") for b, c in enumerate("xyz"))
-        scale = d.sdd / F.greatest(d.r_s + x * F.cos("theta") + y * F.sin("theta"), F.lit(1e-6)) / d.pitch
-        u.append(scale * (y * F.cos("theta") - x * F.sin("theta")))
-        v.append(scale * z)
-    far = lambda c: F.greatest(*(F.abs(x) for x in c))
-    spare_a, spare_b = far(v) * math.sin(turn) + far(u) * (1 - math.cos(turn)), far(u) * math.sin(turn) + far(v) * (1 - math.cos(turn))
-    met = met.withColumns({"a0": F.floor(min(shift) + F.least(*u) - spare_a), "a1": F.floor(max(shift) + F.greatest(*u) + spare_a) + 1, "b0": F.floor(d.cpb + F.least(*v) - spare_b), "b1": F.floor(d.cpb + F.greatest(*v) + spare_b) + 1})
-    first, last = F.greatest(F.col("a0"), F.lit(0)).cast("int"), F.least(F.col("a1"), F.lit(d.n_a - 1)).cast("int")
-    b0, b1 = F.greatest(F.col("b0"), F.lit(0)), F.least(F.col("b1"), F.lit(d.n_b - 1))
-    asked = met.filter((b1 >= b0) & (last >= first)).select("box", "si", "sj", "k", "theta", "half", first.alias("a0"), last.alias("a1"), F.explode(F.sequence(b0.cast("int"), b1.cast("int"))).alias("b"))
+    asked = tiled.groupBy("plane", "ti", "tj").applyInArrow(_asked(order, tries, d), "box int, si int, sj int, k int, theta double, half int, a0 int, a1 int, b int")
     seen = asked.join(rows.select("k", "b", "vals"), ["k", "b"])
     seen = seen.select("box", "si", "sj", F.floor(F.col("k") / lot).cast("int").alias("lot"), "k", "b", "theta", "half", "a0", F.slice("vals", F.col("a0") + 1, F.col("a1") - F.col("a0") + 1).alias("vals"))
     lots = spark.createDataFrame(sorted({(k // lot,) for k in order[0]}), "lot int")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sinoplan.operators import selfcal
@@ -139,3 +140,22 @@ def test_planes_off_the_detector_have_the_score_of_flat_ones(spark):
     planes = {(r["half"], r["i"], r["j"]): r["v"] for r in selfcal.half_scan_planes(vox.filter("plane = 0"), rows, order, [(0.0, 5.5)], d).collect()}
     e0, e1 = (np.hypot(*np.gradient(np.array([[planes[h, i, j] for j in range(6)] for i in range(6)]))).ravel() for h in (0, 1))
     assert abs(told[0] - np.corrcoef(e0, e1)[0, 1]) < 1e-9
+
+
+def test_only_rows_that_voxels_fall_on_are_asked_for(spark):
+    d = selfcal.Detector(20.0, 30.0, 0.5, 12, 4001, 5.5, 2000.0)
+    order = list(range(6)), 2 * math.pi * np.arange(6) / 6
+    vox = selfcal.plane_grid(spark, d, 3.0, 0.5, (0.7, 600.0)).toPandas()
+    ask = selfcal._asked(order, [(0.0, 5.5)], d)
+    found = {}
+    for plane, z in enumerate((0.7, 600.0)):
+        x, y = (vox.loc[vox["plane"] == plane, c].to_numpy() for c in "xy")
+        told = ask([pa.scalar(plane), pa.scalar(0), pa.scalar(0)], pa.table({"x": x, "y": y, "z": np.full(len(x), z)})).to_pydict()
+        assert set(told["box"]) == {plane} and set(told["k"]) == set(range(6))
+        want = set()
+        for k, t in zip(*order, strict=True):
+            b = 2000 + d.sdd * z / (d.r_s + x * math.cos(t) + y * math.sin(t)) / d.pitch
+            want |= {(k, int(r)) for r in np.concatenate([np.floor(b), np.floor(b) + 1])}
+        assert set(zip(told["k"], told["b"], strict=True)) == want
+        found[plane] = len(told["b"])
+    assert found[1] <= 2 * 36 * 6  # its window is some two hundred rows wide in each view
